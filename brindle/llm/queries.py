@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language, lm_score, packing, pieces, substring
+from brindle.llm import language, lm_score, packing, pieces, pii, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scores": op2_lm_scores,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 
 _WORDS = r"""

@@ -148,3 +148,13 @@ def bucket_slices(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]
     starts = np.flatnonzero(runs(bucket)) if len(bucket) else np.zeros(0, dtype=np.int64)
     stops = np.append(starts[1:], len(bucket))
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, stops)]
+
+
+def planes(array: np.ndarray) -> bytes:
+    """An array's bytes, the first of every number, then the second and so on: sorted or small numbers compress."""
+    return np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.dtype.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(dtype).ravel()

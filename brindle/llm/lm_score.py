@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import SHARD_BYTES, bucket_slices, mix, positions, rolling, runs, shard_count, sharded, split_words, word_hashes
+from brindle.llm.common import SHARD_BYTES, bucket_slices, mix, planes, positions, rolling, runs, shard_count, sharded, split_words, unplanes, word_hashes
 
 #: Key under which a shard sends its number of words.
 TOTAL = np.uint64(0)
@@ -62,13 +62,13 @@ def lm_scores(docs: DataFrame, order: int = 2, cutoff: int = 2, backoff: float =
         rows = bucket_slices(keys, n_buckets)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "grams": pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "grams": pa.array([planes(keys[a:b]) for _, a, b in rows], pa.binary()), "counts": pa.array([planes(counts[a:b]) for _, a, b in rows], pa.binary()),
         })
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+        parts = [unplanes(x, np.uint64) for x in table["grams"].to_pylist()]
         keys = np.concatenate(parts)
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()])
+        counts = np.concatenate([unplanes(x, np.int64) for x in table["counts"].to_pylist()])
         order_ = np.argsort(keys)
         first = np.flatnonzero(runs(keys[order_]))
         sums = np.add.reduceat(counts[order_], first)
@@ -77,14 +77,14 @@ def lm_scores(docs: DataFrame, order: int = 2, cutoff: int = 2, backoff: float =
         stops = np.cumsum([len(p) for p in parts])
         return pa.table({
             "shard": table["shard"].cast(pa.int32()), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()),
-            "totals": pa.array([total[b - len(p) : b].tobytes() for p, b in zip(parts, stops)], pa.binary()),
+            "totals": pa.array([planes(total[b - len(p) : b]) for p, b in zip(parts, stops)], pa.binary()),
         })
 
     def score(key: tuple, docs_: pa.Table, answers: pa.Table) -> pa.Table:
         offsets, place, owner, grams = _ngrams(docs_["text"], order)
         keys, _ = _keys(grams, int(offsets[-1]))
         by_bucket = dict(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
-        totals = np.concatenate([np.frombuffer(by_bucket[b], np.int64) for b, _, _ in bucket_slices(keys, n_buckets)])
+        totals = np.concatenate([unplanes(by_bucket[b], np.int64) for b, _, _ in bucket_slices(keys, n_buckets)])
         counts = [totals[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] for k, _ in grams]
         value = counts[0] / max(int(totals[0]), 1)
         for n in range(2, order + 1):

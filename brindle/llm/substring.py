@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import SECOND, SHARD_BYTES, bucket_slices, mix, positions, rolling, runs, shard_count, sharded, split_words, word_hashes
+from brindle.llm.common import SECOND, SHARD_BYTES, bucket_slices, mix, planes, positions, rolling, runs, shard_count, sharded, split_words, unplanes, word_hashes
 
 #: Difference covers: period -> places. Fixed values of the planar difference sets.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -139,12 +139,12 @@ def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, sh
         rows = bucket_slices(keys, n_buckets)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "keys": pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "keys": pa.array([planes(keys[a:b]) for _, a, b in rows], pa.binary()),
             "many": pa.array([np.packbits(many[a:b]).tobytes() for _, a, b in rows], pa.binary()),
         })
 
     def find_repeated(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        parts = [unplanes(x, np.uint64) for x in table["keys"].to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["many"].to_pylist(), parts)]).astype(bool)
         keys = np.concatenate(parts)
         order = np.argsort(keys)
@@ -160,15 +160,15 @@ def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, sh
         rows = bucket_slices(one, n_buckets)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "one": pa.array([one[a:b].tobytes() for _, a, b in rows], pa.binary()), "two": pa.array([two[a:b].tobytes() for _, a, b in rows], pa.binary()),
-            "ids": pa.array([ids[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "one": pa.array([planes(one[a:b]) for _, a, b in rows], pa.binary()), "two": pa.array([planes(two[a:b]) for _, a, b in rows], pa.binary()),
+            "ids": pa.array([planes(ids[a:b]) for _, a, b in rows], pa.binary()),
         })
 
     def find_first(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["one"].to_pylist()]
+        parts = [unplanes(x, np.uint64) for x in table["one"].to_pylist()]
         one = np.concatenate(parts)
-        two = np.concatenate([np.frombuffer(x, np.uint32) for x in table["two"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+        two = np.concatenate([unplanes(x, np.uint32) for x in table["two"].to_pylist()])
+        ids = np.concatenate([unplanes(x, np.int64) for x in table["ids"].to_pylist()])
         order = np.lexsort((ids, two, one))
         flag = np.empty(len(one), dtype=bool)
         flag[order] = ~runs(one[order], two[order])

@@ -131,9 +131,9 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
-    """doc_id, text and the shard that a document belongs to."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"))
+def sharded(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the shard that a document belongs to, and the columns in ``keep`` as _keep_ and their name."""
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
 
 
 def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:

@@ -1,4 +1,4 @@
-"""Connected components by hooking and pointer jumping over DataFrames."""
+"""Connected components by alternating large and small stars over DataFrames."""
 
 from __future__ import annotations
 
@@ -9,27 +9,30 @@ from brindle.llm.common import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``edges`` (columns a, b): the smallest id that links reach.
+    """(id, component) for every id in ``edges`` (columns a, b, of any ordered type): the smallest id that links reach.
 
-    Each round replaces an edge by one between the smallest neighbours so far and cuts the lineage in the
-    shared folder; aggregates combine before the shuffle, so a hub costs a row a task.
+    Each round hangs every id on its smallest neighbour so far and cuts the lineage in the shared
+    folder; aggregates combine before the shuffle, so a hub costs a row a task. Loops (a = b) and
+    repeated edges change nothing; no edges give an empty result.
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")).distinct()
-    labels = None
-    links = cut(pairs, "links")
-    while True:
-        # large star: each id's larger neighbours hang on its smallest one
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")).distinct(), "links")
+    before = _state(links)
+    while before[0]:
         both = links.unionByName(links.select(F.col("up").alias("id"), F.col("id").alias("up")))
         least = both.groupBy("id").agg(F.min("up").alias("m")).select("id", F.least("id", "m").alias("m"))
-        large = both.filter("up > id").join(least, "id").select(F.col("up").alias("id"), F.col("m").alias("up"))
-        large = large.filter("id > up").distinct()
-        # small star: each id and its smaller neighbours hang on the smallest of them
+        large = both.filter("up > id").join(least, "id").select(F.col("up").alias("id"), F.col("m").alias("up")).filter("id > up").distinct()
         lower = large.groupBy("id").agg(F.min("up").alias("m"))
         small = large.join(lower, "id").filter("up > m").select(F.col("up").alias("id"), F.col("m").alias("up"))
-        after = cut(small.unionByName(lower.withColumnRenamed("m", "up")).distinct(), "links")
-        changed = after.exceptAll(links).limit(1).count() or links.exceptAll(after).limit(1).count()
-        links = after
-        if not changed:
+        links = cut(small.unionByName(lower.withColumnRenamed("m", "up")).distinct(), "links")
+        after = _state(links)
+        if after == before:
             break
+        before = after
     labels = links.select("id", F.col("up").alias("component"))
     return labels.unionByName(links.select(F.col("up").alias("id"), F.col("up").alias("component")).distinct())
+
+
+def _state(links: DataFrame) -> tuple[int, int]:
+    """How many links there are, and a digest of them."""
+    row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "up")).alias("x")).first()
+    return row["n"], row["x"] or 0

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from brindle.llm.common import SECOND, SHARD_BYTES, bucket_slices, mix, planes, positions, rolling, runs, shard_count, sharded, split_words, unplanes, word_hashes
 
@@ -52,6 +53,7 @@ class Shard:
         texts = pc.fill_null(table["text"].combine_chunks(), "")
         keys = pa.table({"id": pc.fill_null(ids.cast(pa.int64()), lowest), "text": texts})
         order = pc.sort_indices(keys, [("id", "ascending"), ("text", "ascending")])
+        self.order = order
         self.ids, self.sort_ids = ids.take(order), keys["id"].take(order).to_numpy()
         self.codes, self.offsets, self.words = split_words(texts.take(order))
         self.place, self.owner = positions(self.offsets)
@@ -125,14 +127,14 @@ def _candidates(docs: pa.Table, replies: pa.Table, window: int, n_buckets: int):
     return shard, start, group, one[order][first], two[order][first], order[first]
 
 
-def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the text left).
+def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the text left) and the columns in ``keep``.
 
-    The kept words are joined by one space.
+    The kept words are joined by one space; ``kept`` is the text itself where nothing is removed.
     """
     n_shards = shard_count(docs, shard_bytes)
     n_buckets = n_shards
-    texts = sharded(docs, n_shards)
+    texts = sharded(docs, n_shards, keep)
 
     def emit_anchors(key: tuple, table: pa.Table) -> pa.Table:
         _, _, keys, many = _pack_anchors(table, window, n_buckets)
@@ -193,14 +195,18 @@ def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, sh
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in joined.cast(pa.binary()).to_pylist()], pa.string()),
         }
         if with_text:
-            out["kept"] = joined
+            out["kept"] = pc.if_else(pa.array(n_words == np.diff(left)), pc.fill_null(docs_["text"].combine_chunks().take(shard.order), ""), joined)
+        for name in keep:
+            out[name] = docs_[f"_keep_{name}"].take(shard.order)
         return pa.table(out)
 
     anchors = texts.groupBy("shard").applyInArrow(emit_anchors, "bucket int, shard int, keys binary, many binary")
     repeated = anchors.groupBy("bucket").applyInArrow(find_repeated, _REPLY)
     found = texts.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(emit_windows, "bucket int, shard int, one binary, two binary, ids binary")
     earliest = found.groupBy("bucket").applyInArrow(find_first, _REPLY)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    for name in keep:
+        schema = schema.add(name, docs.schema[name].dataType)
     return texts.groupBy("shard").cogroup(repeated.unionByName(earliest).groupBy("shard")).applyInArrow(decide, schema)
 
 
@@ -213,10 +219,11 @@ def _reply(table: pa.Table, key, parts: list[np.ndarray], flag: np.ndarray, kind
     })
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier.
 
     Returns one row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one
-    space, lowercase hex) and, with ``with_text``, kept. See the module for the defined cases.
+    space, lowercase hex) and, with ``with_text``, kept; then the columns in ``keep``, unchanged. See
+    the module for the defined cases.
     """
-    return windows_table(docs, window, with_text, shard_bytes)
+    return windows_table(docs, window, with_text, shard_bytes, keep)

@@ -1,0 +1,267 @@
+"""Text functions, parsers, scans and chunkers over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.functions import text as X
+from brindle.operators import chunking, relational, scan, topics
+from brindle.plans.registry import query
+from brindle.sources import files as S
+from brindle.sources.files import table
+
+_DROP = "(?is)<(script|style|noscript|template|title)\\b[^>]*>.*?</(script|style|noscript|template|title)>|<!--.*?-->"
+
+
+@query("html_visible_text", rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '{_DROP}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
+SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x20\t\r\n\f]+', ' ', 'g'))) AS sha FROM a""")
+def html_visible_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(X.html_visible_text(F.col("html")), 256).alias("sha"))
+
+
+@query("html_title", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
+
+
+@query("html_to_markdown")
+def html_to_markdown(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("html_cut_at_line", r"SELECT page_id, CASE WHEN length(html) <= 2000 THEN html WHEN regexp_replace(left(html, 2000), '[^\n]*$', '') = '' THEN left(html, 2000) ELSE regexp_replace(left(html, 2000), '[^\n]*$', '') END AS head FROM pages")
+def html_cut_at_line(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.cut_at_line(F.col("html"), 2000).alias("head"))
+
+
+@query("url_to_path", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages)
+SELECT page_id, host || '/' || CASE WHEN path = '' THEN 'index' ELSE path END || '.md' AS path FROM p""")
+def url_to_path(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.url_to_path(F.col("url")).alias("path"))
+
+
+@query("cell_to_text", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || ', ' || CASE WHEN floor(o_totalprice / 1000) * 1000 = o_totalprice THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE '~' END || ', ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ', ' || o_orderpriority AS text FROM orders""")
+def cell_to_text(spark, sf):
+    price = F.when(F.floor(F.col("o_totalprice") / 1000) * 1000 == F.col("o_totalprice"), X.cell_to_text(F.col("o_totalprice"), "double")).otherwise("~")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", price.alias("price"), "o_orderdate", "o_orderpriority")
+    return S.rows_to_text(o, ["o_custkey", "price", "o_orderdate", "o_orderpriority"]).select("o_orderkey", "text")
+
+
+@query("csv_header_period", """SELECT n_nationkey, CASE WHEN (n_nationkey % 20) = 0 THEN 'key, name' || chr(10) || n_nationkey || ', ' || n_name ELSE n_nationkey || ', ' || n_name END AS text FROM nation""")
+def csv_header_period(spark, sf):
+    text = F.concat_ws(", ", F.col("n_nationkey").cast("string"), "n_name")
+    return table(spark, sf, "nation").select("n_nationkey", S.with_header(F.col("n_nationkey"), F.lit("key, name"), text).alias("text"))
+
+
+@query("markdown_sections", r"""WITH m AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\. ', chr(10) || '# ', 'g') AS t FROM documents), s AS (SELECT doc_id, string_split(chr(10) || t, chr(10) || '# ') AS parts FROM m)
+SELECT doc_id, CAST(len(list_filter(parts, lambda p: trim(p, ' ' || chr(10)) <> '')) AS INTEGER) AS sections FROM s""")
+def markdown_sections(spark, sf):
+    md = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\. ", "\n# "))
+    parts = F.filter(F.split(md, "\n# "), lambda p: F.regexp_replace(p, r"[\x20\n]", "") != "")
+    return table(spark, sf, "documents").select("doc_id", F.size(parts).alias("sections"))
+
+
+@query("rst_clean", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\.\. image:: (.*)', '', 'g'), '`(.*?) <(.*?)>`_', '\1', 'g'), '`\.\.([^:]+)::', '', 'g'), ':([A-Za-z0-9_]+):', '', 'g'), '(?m)^\+[-]+\+[-]+\+$', '', 'g'), '[\x20\t\r\n\f]{2,}', '  ', 'g')) AS sha FROM documents""")
+def rst_clean(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.rst_clean(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+
+
+@query("fold_character_runs")
+def fold_character_runs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.fold_character_runs(F.col("text")).alias("text"))
+
+
+@query("markdown_plain", r"SELECT page_id, sha256(regexp_replace(regexp_replace(coalesce(html, ''), '\[(.*?)\]\((.*?)\)', '\1', 'g'), '!\[\[(.*)\]\]', '', 'g')) AS sha FROM pages")
+def markdown_plain(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(X.markdown_plain(F.coalesce("html", F.lit(""))), 256).alias("sha"))
+
+
+@query("first_h1", r"""WITH m AS (SELECT doc_id, source, '# ' || left(text, 30) || chr(10) || text AS t FROM documents), h AS (SELECT doc_id, source, regexp_extract(t, '(?m)^[\x20\t]{0,3}#[\x20\t]+(.+?)[\x20\t]*#*[\x20\t]*$', 1) AS h FROM m)
+SELECT doc_id, CASE WHEN h <> '' THEN h ELSE source END AS title FROM h""")
+def first_h1(spark, sf):
+    t = F.concat(F.lit("# "), F.substring("text", 1, 30), F.lit("\n"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", X.first_h1(t, F.col("source")).alias("title"))
+
+
+@query("approx_token_split", """WITH s AS (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 400)) AS place FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(place // 400 AS INTEGER) AS part, substring(text, place + 1, 400) AS chunk, CAST(ceil(length(substring(text, place + 1, 400)) / 4.0) AS INTEGER) AS tokens FROM s""")
+def approx_token_split(spark, sf):
+    return chunking.token_windows(table(spark, sf, "documents"), 100)
+
+
+@query("truncate_middle", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 200) || chr(10) || '...' || chr(10) || right(text, 200) END AS text FROM documents")
+def truncate_middle(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate_middle(F.col("text"), 500).alias("text"))
+
+
+@query("truncate_head_tail", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 150) || right(text, 150) END AS text FROM documents")
+def truncate_head_tail(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate_head_tail(F.col("text"), 300).alias("text"))
+
+
+@query("page_select", r"""WITH p AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents)
+SELECT doc_id, array_to_string(list_filter([p[1], p[2], p[5], p[2]], lambda x: x IS NOT NULL), chr(12)) AS pages FROM p""")
+def page_select(spark, sf):
+    text = F.regexp_replace("text", r"\. ", "\f")
+    return table(spark, sf, "documents").select("doc_id", X.page_select(text, X.parse_pages("1-2,5,2")).alias("pages"))
+
+
+@query("match_snippet", """WITH m AS (SELECT doc_id, text, instr(lower(text), 'the') AS place FROM documents)
+SELECT doc_id, CASE WHEN place > 0 THEN substring(text, greatest(place - 60, 1), place - greatest(place - 60, 1) + 63) END AS snippet FROM m""")
+def match_snippet(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.match_snippet(F.col("text"), "the").alias("snippet"))
+
+
+@query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("json_in_text", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_in_text(spark, sf):
+    noisy = F.concat(F.lit("answer: "), "props", F.lit(" as asked"))
+    return table(spark, sf, "events").select("event_id", X.json_in_text(noisy, "k long")["k"].alias("k"))
+
+
+@query("labels_from_metadata", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), nullif(string_split(url, '/')[-1], ''), 'unknown') AS label FROM pages")
+def labels_from_metadata(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.label_of(X.html_title(F.col("html")), F.col("url"), F.lit("")).alias("label"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(trim(text) || chr(10) || '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text"), F.to_json(F.struct("lang", "source"))).alias("content_hash"))
+
+
+@query("stream_id_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id % 97, event_id // 97, event_id) AS INTEGER) AS place FROM events WHERE event_id % 97 < 2")
+def stream_id_order(spark, sf):
+    from pyspark.sql import Window
+
+    sid = F.concat((F.col("event_id") % 97).cast("string"), F.lit("-"), F.floor(F.col("event_id") / 97).cast("string"))
+    e = table(spark, sf, "events").filter("event_id % 97 < 2").select("event_id", X.stream_id_key(sid).alias("key"))
+    return e.select("event_id", F.row_number().over(Window.orderBy("key", "event_id")).alias("place"))
+
+
+@query("route_intent", """SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'related|relationship') THEN 'relational' WHEN regexp_matches(t, 'compare|versus| vs ') THEN 'comparative'
+  WHEN regexp_matches(t, 'how many|number of|count|median|sum') THEN 'aggregate' WHEN regexp_matches(t, 'when|recent|latest') THEN 'temporal' ELSE 'factual' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)""")
+def route_intent(spark, sf):
+    from brindle.functions.routing import intent
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
+
+
+@query("claim_confidence", """WITH c AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+@[a-z]+'), lambda x: lower(x))) AS sources FROM documents)
+SELECT doc_id, CASE WHEN len(sources) >= 3 THEN 'high' WHEN len(sources) >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
+def claim_confidence(spark, sf):
+    from brindle.functions.routing import confidence
+
+    sources = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+@[a-z]+"), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", confidence(sources).alias("confidence"))
+
+
+@query("feature_classify", r"""SELECT doc_id, CASE WHEN NOT regexp_matches(t, '(^|[^a-z0-9_])the($|[^a-z0-9_])') THEN NULL WHEN regexp_matches(t, 'and|support') THEN 'positive' END AS class FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)""")
+def feature_classify(spark, sf):
+    found = topics.feature_class(F.coalesce("text", F.lit("")), ["the"], F.lit(False), ["and", "support"], ["\x01"])
+    return table(spark, sf, "documents").select("doc_id", found.alias("class"))
+
+
+# Scans.
+
+
+@query("pii_counts")
+def pii_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *scan.counts(F.col("text"), scan.PII))
+
+
+@query("secret_counts", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')) AS INTEGER) AS {k.lower()}" for k, p in scan.SECRETS.items()) + " FROM documents")
+def secret_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *scan.counts(F.col("text"), scan.SECRETS))
+
+
+@query("injection_hits", "SELECT conv_id, turn, " + ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')) AS INTEGER) AS {k.lower()}" for k, p in scan.INJECTION.items()) + " FROM conversations")
+def injection_hits(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", *scan.counts(F.col("text"), scan.INJECTION))
+
+
+@query("denylist_hits", r"SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '\b(?:license|copyright|the)\b')) AS INTEGER) AS hits FROM documents")
+def denylist_hits(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", scan.denylist(F.coalesce("text", F.lit("")), ["the", "license", "copyright"]).alias("hits"))
+
+
+@query("url_policy", r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') AS host FROM pages)
+SELECT page_id, host = '' OR NOT (host = 'example.com' OR ends_with(host, '.example.com')) AS denied FROM u""")
+def url_policy(spark, sf):
+    return table(spark, sf, "pages").select("page_id", (F.size(scan.denied_links(F.col("url"), allow=["example.com"])) > 0).alias("denied"))
+
+
+_SHINGLES_SQL = """SELECT {k}, CASE WHEN len(t) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(t) - 3, 1) + 1), lambda i: array_to_string(t[i : i + 3], ' '))) END AS s
+FROM (SELECT {k}, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in scan.STOPWORDS) + ")) AS t FROM {t})"
+
+
+@query("groundedness", f"""WITH a AS ({_SHINGLES_SQL.format(k='doc_id', t='documents')}), b AS (SELECT DISTINCT unnest(s) AS x FROM ({_SHINGLES_SQL.format(k='item_id', t='benchmark')})),
+o AS (SELECT doc_id, unnest(s) AS x FROM a), g AS (SELECT doc_id, count(*) AS n, count(b.x) AS k FROM o LEFT JOIN b ON o.x = b.x GROUP BY 1)
+SELECT a.doc_id, coalesce(n, 0) AS n_shingles, round(k / n, 4) AS overlap FROM a LEFT JOIN g ON a.doc_id = g.doc_id""")
+def groundedness(spark, sf):
+    return scan.groundedness(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+
+
+@query("redact_spans")
+def redact_spans(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", scan.redact(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("redact_json", """SELECT event_id, '{"k":"' || 'v' || '","api_key":"***","n":' || event_id || '}' AS text FROM events""")
+def redact_json(spark, sf):
+    raw = F.concat(F.lit('{"k":"v","api_key":"abc'), F.col("event_id").cast("string"), F.lit('","n":'), F.col("event_id").cast("string"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", scan.redact_json(raw).alias("text"))
+
+
+@query("verdict_reduce", """WITH v AS (SELECT user_id, CASE WHEN value < 2 THEN 0 ELSE CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END END AS r FROM events WHERE event_id % 3 = 0)
+SELECT user_id, ['allow', 'flag', 'redact', 'block'][max(r) + 1] AS verdict FROM v GROUP BY 1""")
+def verdict_reduce(spark, sf):
+    action = F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "purchase", "redact").when(F.col("event_type") == "signup", "flag").otherwise("allow")
+    e = table(spark, sf, "events").filter("event_id % 3 = 0").select("user_id", action.alias("action"), (F.col("value") < 2).alias("failed"))
+    return scan.reduce_verdicts(e, "user_id")
+
+
+# Chunkers.
+
+
+@query("chunk_classic")
+def chunk_classic(spark, sf):
+    return chunking.chunk(table(spark, sf, "documents"), "classic")
+
+
+@query("chunk_recursive")
+def chunk_recursive(spark, sf):
+    return chunking.chunk(table(spark, sf, "documents"), "recursive")
+
+
+@query("chunk_semantic")
+def chunk_semantic(spark, sf):
+    return chunking.chunk(table(spark, sf, "documents"), "semantic")
+
+
+@query("chunk_markdown")
+def chunk_markdown(spark, sf):
+    return chunking.markdown(table(spark, sf, "documents"))
+
+
+@query("chunk_parent_child", """WITH p AS (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 800)) AS a FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, a, substring(text, a + 1, 800) AS parent, unnest(range(0, CAST(length(substring(text, a + 1, 800)) AS BIGINT), 200)) AS b FROM p),
+k AS (SELECT doc_id, a, b, substring(parent, b + 1, 200) AS chunk, parent FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS INTEGER) AS part, sha256(chunk) AS chunk_sha, sha256(parent) AS parent_sha FROM k WHERE trim(chunk) <> ''""")
+def chunk_parent_child(spark, sf):
+    return chunking.parent_child(table(spark, sf, "documents")).select("doc_id", "part", F.sha2("chunk", 256).alias("chunk_sha"), F.sha2("parent_text", 256).alias("parent_sha"))
+
+
+@query("report_markdown", """SELECT source, '# ' || source || chr(10) || string_agg('- ' || doc_id || ': ' || n_chars, chr(10) ORDER BY doc_id) AS report FROM documents GROUP BY 1""")
+def report_markdown(spark, sf):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat(F.lit("- "), x["doc_id"].cast("string"), F.lit(": "), x["n_chars"].cast("string")))
+    return table(spark, sf, "documents").groupBy("source").agg(F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.array_join(lines, "\n")).alias("report"))
+
+
+@query("report_sources", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, left(text, 80) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def report_sources(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.substring("text", 1, 80).alias("head"))
+    return relational.dedupe_by(d, F.struct("source", "head"), ["doc_id"], ["source", "doc_id"])

@@ -80,6 +80,9 @@ _WORDS = r"""
 docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 words AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs))"""
 
+_VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64 AND len(list_filter(embedding, lambda c: c <> 0)) > 0)"""
+
 SQL: dict[str, str] = {
     "op2_lm_scores": f"""
 WITH {_WORDS},
@@ -101,4 +104,23 @@ marked AS (SELECT w.doc_id, w.i, w.w, g.i IS NOT NULL AS removed FROM words w LE
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(count(m.i) FILTER (WHERE m.removed) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(m.w, ' ' ORDER BY m.i) FILTER (WHERE NOT m.removed), '')) AS kept_sha256
 FROM docs d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, len(ws)""",
+    "op1_embedding_dedup": f"""
+WITH RECURSIVE {_VECTORS},
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, least(a, min(b)) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counts ON vec_id = counts.a""",
+    "op6_nearest": f"""
+WITH {_VECTORS},
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS m, count(*) AS c FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN c > 1 AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN c > 1 AND page_id IS DISTINCT FROM m THEN m END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h""",
 }

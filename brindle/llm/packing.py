@@ -16,49 +16,130 @@ they occur; columns other than doc_id and text are ignored; an empty table gives
 from __future__ import annotations
 
 import bisect
+import json
 import random
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, slices
+from brindle.llm.common import cut, slices, split_words
 
 #: Pieces that one group holds at about this number.
 GROUP_PIECES = 4000
-#: Words whose ids one task remembers.
-MEMO_WORDS = 300_000
+#: Words of one generation that a worker remembers.
+MEMO_WORDS = 200_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long"
 
 
 class WordIds:
-    """Ids of a text as the bytes of little-endian unsigned 32-bit numbers, word by word.
+    """Ids of texts, word by word.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    words between ASCII white space, which are remembered.
+    The tokenizer drops white space and joins nothing across it, nor a letter or digit and the full
+    stop or comma behind it, so a text's ids are those of its words between ASCII white space. Ids of
+    words are remembered for as long as the worker lives, in two generations of ``MEMO_WORDS``: a
+    word that no text has used for a generation is forgotten. Words of nothing but letters go to the
+    model at once, as the bytes that its byte-level step would make of them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def texts(self, texts: list[bytes | None]) -> list[bytes]:
-        lists = [(t or b"").split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for words in lists for w in words if w not in memo})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([memo[w] for w in words]) for words in lists]
+        spec = json.loads(self.tokenizer.to_str())
+        self.folds = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        by_letters = [x["type"] for x in steps] == ["Split", "ByteLevel"] and "[\\p{L}]+" in steps[0]["pattern"]["Regex"] and not steps[1]["add_prefix_space"]
+        self.bare = Tokenizer(self.tokenizer.model) if by_letters and self.folds else None
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def run(tokenizer, words: list[str]) -> list[bytes]:
+        """Ids of each word, many words as one sequence."""
+        found: list[bytes] = []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            (whole,) = tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)
+            data = array("I", whole.ids).tobytes()
+            if None in whole.word_ids:  # special tokens belong to no word
+                found += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            stops = np.cumsum(np.bincount(np.array(whole.word_ids, dtype=np.int64), minlength=len(part)) * 4).tolist()
+            found += [data[a:b] for a, b in zip([0, *stops], stops)]
+        return found
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [self.bare is not None and t.isalpha() and (t.isascii() or t == t.lower() and unicodedata.is_normalized("NFC", t)) for t in texts]
+        out = dict(zip(compress(words, plain), self.run(self.bare, [byte_level(w) for w in compress(words, plain)])))
+        other = [not p for p in plain]
+        return out | dict(zip(compress(words, other), self.run(self.tokenizer, list(compress(texts, other)))))
+
+    def look_up(self, words: set[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """The words that are known, and those that are not."""
+        recent, older, found, new = self.recent, self.older, {}, []
+        for word in words:
+            ids = recent.get(word)
+            if ids is None:
+                ids = older.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                recent[word] = ids
+            found[word] = ids
+        return found, new
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as the bytes of little-endian unsigned 32-bit numbers."""
+        ended = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
+        found, new = self.look_up({ended.get(w, w) for w in words} | {b".", b","})
+        fresh = self.encode(new)
+        self.recent |= fresh
+        found |= fresh
+        if len(self.recent) > MEMO_WORDS:
+            self.older, self.recent = self.recent, {}
+        return [found[ended[w]] + found[w[-1:]] if w in ended else found[w] for w in words]
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts, likewise."""
+        codes, offsets, words = split_words(pc.ascii_lower(texts) if self.folds else texts)
+        ids = self.ids(words.cast(pa.binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        tokens = flat[np.repeat(begins[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[offsets].tolist()
+        return [tokens[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+@cache
+def _byte_table() -> dict[int, str]:
+    """The characters that byte-level models write bytes as: printable ones themselves, the others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def byte_level(word: bytes) -> str:
+    return word.decode("latin-1").translate(_byte_table())
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker and vocabulary file."""
+    return WordIds(path)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -66,11 +147,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.texts(batch["text"].cast(pa.binary()).to_pylist())):
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.texts(batch["text"])):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

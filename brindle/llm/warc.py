@@ -1,7 +1,7 @@
 """WARC archives: writing, and reading by boundary-chain verification.
 
 Writing is a DataFrame job: every row becomes one record, and Spark's text writer, whose line break
-is the last byte of a record, lays the records down back to back. Of rows with equal payloads the
+is the last byte of a record, lays the records down back to back (and compresses the file). Of rows with equal payloads the
 last is a response and the others are revisits of it that leave the payload out.
 
 Reading: a task looks for everything that could begin a record (the magic, then headers with
@@ -19,6 +19,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -63,9 +64,9 @@ def archive_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_re
     return rows.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_records_: int = ARCHIVE_RECORDS, **options) -> None:
-    """Write one record a row of ``pages`` to archives under ``path``."""
-    archive_records(pages, **options).write.option("lineSep", "\n").option("maxRecordsPerFile", archive_records_).text(path)
+def write_archives(pages: DataFrame, path: str, archive_records_: int = ARCHIVE_RECORDS, compression: str = "gzip", **options) -> None:
+    """Write one record a row of ``pages`` to archives under ``path``; compression is gzip or none."""
+    archive_records(pages, **options).write.option("lineSep", "\n").option("maxRecordsPerFile", archive_records_).option("compression", compression).text(path)
 
 
 def parse_record(data: bytes | memoryview, start: int) -> dict | None:
@@ -128,13 +129,14 @@ def candidates(data: bytes, block_bytes: int = BLOCK_BYTES) -> list[tuple]:
 def read_archives(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per record on the chain of its archive: file, start, page_id, kind, refers_to, payload_bytes, payload_digest.
 
-    Archives are files of at most 2 GB (one is the unit of reading), not compressed.
+    An archive is the unit of reading, a file of at most 2 GB; places are those after decompression
+    where its name ends in .gz.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["path"].to_pylist(), batch["content"]):
-                data = content.as_py()
+                data = gzip.decompress(content.as_py()) if file.endswith(".gz") else content.as_py()
                 rows = [(file, b, s, n, x, len(data), page, kind, to, size, digest) for b, s, n, x, page, kind, size, digest, to in candidates(data, block_bytes)]
                 columns = list(zip(*rows)) if rows else [()] * 11
                 types = [pa.string() if " string" in field else pa.int64() for field in _FOUND.split(", ")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
-from brindle.operators import chunking, relational, scan, topics
+from brindle.operators import chunking, relational, scan, tables, topics
 from brindle.plans.registry import query
 from brindle.sources import files as S
 from brindle.sources.files import table
@@ -255,6 +255,21 @@ def chunk_parent_child(spark, sf):
     return chunking.parent_child(table(spark, sf, "documents")).select("doc_id", "part", F.sha2("chunk", 256).alias("chunk_sha"), F.sha2("parent_text", 256).alias("parent_sha"))
 
 
+@query("overlap_join")
+def overlap_join(spark, sf):
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(400)), lambda i: F.substring(F.col("text"), i + 1, F.lit(440)))
+    chunks = table(spark, sf, "documents").filter("length(text) > 0").select("doc_id", F.posexplode(parts).alias("part", "chunk"))
+    return tables.join_chunks(chunks, "doc_id", "part", "chunk")
+
+
+@query("tableize_runs")
+def tableize_runs(spark, sf):
+    lines = F.concat_ws(" ", F.concat(F.lit("item "), F.col("l_returnflag")), F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", lines.alias("row"))))
+    docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(listed, lambda x: x["row"]), "\n").alias("text"))
+    return tables.tableize(docs)
+
+
 @query("report_markdown", """SELECT source, '# ' || source || chr(10) || string_agg('- ' || doc_id || ': ' || n_chars, chr(10) ORDER BY doc_id) AS report FROM documents GROUP BY 1""")
 def report_markdown(spark, sf):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat(F.lit("- "), x["doc_id"].cast("string"), F.lit(": "), x["n_chars"].cast("string")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import routing, text, vectors
-from brindle.operators import aggregates, chunking, graph, relational, retrieval, scan, topics, windows
+from brindle.operators import aggregates, chunking, graph, relational, retrieval, scan, tables, topics, windows
 from brindle.sources import files
 from brindle.streaming import jobs
 
@@ -175,3 +175,17 @@ def test_text_functions(spark):
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, z array<double>").select(vectors.normalize(F.col("a")), vectors.normalize(F.col("z")), vectors.cosine(F.col("a"), F.col("z"))).first()
     assert np.allclose(row[0], [0.6, 0.8]) and row[1] is None and row[2] is None
+
+
+def test_tables(spark):
+    text = "Report\nRevenue ..... $ 1,234\nCost ..... (56)\nOther ..... —\nend\nChapter 1\nChapter 2\nChapter 3"
+    got = {r["doc_id"]: r["text"] for r in tables.tableize(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()}
+    assert got == {1: "Report\n\n|   |   |\n| --- | --- |\n| Revenue | $1,234 |\n| Cost | (56) |\n| Other | — |\n\nend\nChapter 1\nChapter 2\nChapter 3", 2: None, 3: ""}
+
+
+def test_overlapping_chunks_join(spark):
+    body = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(200))
+    rows = [(1, i, body[a : a + 140]) for i, a in enumerate(range(0, len(body), 100))] + [(2, 0, "short"), (2, 1, "short"), (2, 2, None)]
+    got = {r["k"]: r["page"] for r in tables.join_chunks(spark.createDataFrame(rows, "k int, o int, t string"), "k", "o", "t").collect()}
+    assert got[1].replace("\n\n", "") == body and got[2] == "short\n\nshort"
+    assert tables.overlap("x" * 50, "x" * 40) == 40 and tables.overlap("abc", "abc") == 0

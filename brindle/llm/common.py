@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -88,8 +87,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each distinct word."""
-    return pd.util.hash_array(words.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64)
+    """A 64-bit hash of each distinct word: the sum of what its bytes and their places hash to."""
+    array = words.cast(pa.large_binary())
+    offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
+    lengths = np.diff(offsets)
+    data = np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix((place * 256 + data + 1).astype(np.uint64)))])
+    at = offsets - offsets[0]
+    return mix(sums[at[1:]] - sums[at[:-1]] + lengths.astype(np.uint64) * MULTIPLIER)
 
 
 def rolling(hashes: np.ndarray, width: int, multiplier: np.uint64 = MULTIPLIER) -> np.ndarray:

@@ -152,8 +152,9 @@ class _Find:
         self.up[self.top(i)] = self.top(j)
 
 
-def _numbers(data: list, dtype: type) -> list:
-    return [None if x is None else np.frombuffer(x, dtype) for x in data]
+def _numbers(data: list[bytes | None]) -> list[np.ndarray | None]:
+    """Runs and their counts, in turn, as numbers."""
+    return [None if x is None else np.frombuffer(x, np.uint32 if i % 2 else np.uint64) for i, x in enumerate(data)]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 7) -> DataFrame:
@@ -172,41 +173,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
                 sigs = signatures(key, weight, owner, len(batch), size)
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"], batch["text_hash"], pa.array(class_keys(batch["text"]), pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()),
-                ], names=["doc_id", "text_hash", "cls", "sig"])
+                ], names=["doc_id", "text_hash", "digest", "sig"])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(-1, size)
-            at = pa.array(np.repeat(np.arange(len(sigs)), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sigs, bands, rows).ravel()), batch["cls"].take(at)], names=["key", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sigs, bands, rows).ravel()), pa.array(np.repeat(batch["cls"].to_numpy(), bands))], names=["key", "cls"])
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 key, weight, owner, _ = weighted_runs(batch["text"], words)
                 cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
-                wanted, found = batch["cls"].to_pylist(), class_keys(batch["text"])
-                out = [(c, key[a:b].tobytes(), weight[a:b].astype(np.uint32).tobytes() if (weight[a:b] > 1).any() else None, int(b - a)) for c, f, a, b in zip(wanted, found, cuts, cuts[1:]) if c == f]
+                wanted = zip(batch["cls"].to_pylist(), batch["digest"].to_pylist(), class_keys(batch["text"]), cuts, cuts[1:])
+                out = [(c, key[a:b].tobytes(), weight[a:b].astype(np.uint32).tobytes() if (weight[a:b] > 1).any() else None, int(b - a)) for c, d, f, a, b in wanted if d == f]
                 columns = list(zip(*out)) if out else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["cls", "runs", "counts", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["cls", "runs", "counts", "n"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = source.mapInArrow(sign, "doc_id long, text_hash long, cls binary, sig binary").withColumn("row", F.monotonically_increasing_id())
+    signed = source.mapInArrow(sign, "doc_id long, text_hash long, digest binary, sig binary").withColumn("row", F.monotonically_increasing_id())
     signed = cut(signed, "signed")
     first = F.min(F.struct("doc_id", "row")).alias("first")
-    classes = cut(signed.filter("cls is not null").groupBy("cls").agg(first, F.any_value("sig").alias("sig")), "classes")
+    # a class goes by the row number of its first document from here on
+    classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.any_value("sig").alias("sig"))
+    classes = cut(classes.select("digest", F.col("first.row").alias("cls"), "first", "sig"), "classes")
 
     # Buckets of two classes or more; of those with the same members one is enough.
-    filed = classes.select("cls", "sig").mapInArrow(file, "key long, cls binary")
+    filed = classes.select("cls", "sig").mapInArrow(file, "key long, cls long")
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x")).filter("n > 1")
     chosen = sizes.groupBy("n", "m", "x").agg(F.min("key").alias("key"), F.count("*").alias("times"))
     bucketed = cut(filed.join(chosen.select("key", "n", "times"), "key"), "bucketed")
 
     # The runs of classes that share a bucket.
     shared = bucketed.groupBy("cls").agg(F.sum((F.col("n") - 1) * F.col("times")).alias("degree"))
-    texts = shared.select("cls").join(classes, "cls").select("cls", F.col("first.doc_id").alias("doc_id"), F.col("sig"))
-    listed = source.select("doc_id", "text").join(texts.select(F.col("doc_id").alias("of"), "cls"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text")
-    listed = listed.mapInArrow(list_runs, "cls binary, runs binary, counts binary, n long").dropDuplicates(["cls"])
+    texts = shared.select("cls").join(classes, "cls").select("cls", "digest", F.col("first.doc_id").alias("of"))
+    listed = source.select("doc_id", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "digest", "text")
+    listed = listed.mapInArrow(list_runs, "cls long, runs binary, counts binary, n long").dropDuplicates(["cls"])
     listed = cut(listed.join(classes.select("cls", "sig"), "cls"), "runs")
 
     # Each class with the most central one of its buckets.
@@ -217,10 +219,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [_numbers(batch[c].to_pylist(), t) for c, t in (("runs_a", np.uint64), ("counts_a", np.uint32), ("runs_b", np.uint64), ("counts_b", np.uint32))]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array([probability_jaccard(*x) >= threshold for x in zip(*sides)], pa.bool_())], names=["a", "b", "ok"])
+            sides = zip(*(batch[c] for c in ("runs_a", "counts_a", "runs_b", "counts_b")))
+            ok = [probability_jaccard(*_numbers([x.as_py() for x in one])) >= threshold for one in sides]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    near = pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").mapInArrow(verify, "a binary, b binary, ok boolean")
+    near = pairs.join(side("b", "b"), "b").join(side("a", "a"), "a").mapInArrow(verify, "a long, b long, ok boolean")
     links = cut(near.filter("ok").select("a", "b"), "central-links")
     labels = cut(components(links), "labels")
 
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         def tile(table: pa.Table) -> pa.Table:
             table = table.sort_by([("grp", "ascending"), ("loose", "descending"), ("cls", "ascending")])
             names, comps, groups_, loose = (table[c].to_pylist() for c in ("cls", "comp", "grp", "loose"))
-            runs_, counts = _numbers(table["runs"].to_pylist(), np.uint64), _numbers(table["counts"].to_pylist(), np.uint32)
+            both = [_numbers(x) for x in zip(table["runs"].to_pylist(), table["counts"].to_pylist())]
             sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, size)
             found, start = [], 0
             while start < len(names):
@@ -265,18 +268,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
                     close = (sigs[split:stop] == sigs[i]).mean(axis=1)
                     pairs_ += [(-close[j], i, j + split) for j in np.flatnonzero(close >= least)]
                 for _, i, j in sorted(pairs_):
-                    if names[i] != names[j] and find.top(i - start) != find.top(j - start) and probability_jaccard(runs_[i], counts[i], runs_[j], counts[j]) >= threshold:
+                    if names[i] != names[j] and find.top(i - start) != find.top(j - start) and probability_jaccard(*both[i], *both[j]) >= threshold:
                         find.join(i - start, j - start)
                         found.append((names[i], names[j]))
                 start = stop
-            return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-        more = tiles.groupBy("call").applyInArrow(tile, "a binary, b binary")
+        more = tiles.groupBy("call").applyInArrow(tile, "a long, b long")
         labels = components(links.unionByName(more))
     else:
         labels = labels.select("id", "component")
-    named = classes.select("cls", "first").join(labels, F.col("cls") == F.col("id"), "left").select("cls", "first", F.coalesce("component", "cls").alias("comp"))
+    named = classes.select("digest", "cls", "first").join(labels, F.col("cls") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "cls").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("first").alias("head"))
-    of = named.join(heads, "comp").select("cls", "head")
-    out = signed.join(of, "cls", "left").withColumn("head", F.coalesce("head", F.struct("doc_id", "row")))
+    of = named.join(heads, "comp").select("digest", "head")
+    out = signed.join(of, "digest", "left").withColumn("head", F.coalesce("head", F.struct("doc_id", "row")))
     return out.select("doc_id", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"), "text_hash")

@@ -30,6 +30,8 @@ from brindle.llm.common import mix, rolling, slices, split_words
 ORDERS = (2, 3, 4, 5)
 #: Byte values of the word-boundary marks; they don't occur in UTF-8.
 BEGIN, END = 0xFE, 0xFF
+#: Sampling keys are below this number.
+_KEYS = 1 << 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -156,8 +158,12 @@ def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int =
 
 def fit(docs: DataFrame, sample: int = 2000, seed: int = 0) -> LanguageModel | None:
     """Train on at most ``sample`` labelled rows outside the held-out fold; whole texts, a bounded number of rows."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    chosen = labelled.orderBy(F.xxhash64("doc_id", "text"), "lang").limit(sample).toArrow()
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_KEYS))
+    labelled = docs.select("doc_id", "text", "lang", key.alias("_key")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    # the smallest keys are the sample; a bound that leaves about four times as many keeps the last step small however many tasks there are
+    n = labelled.count()
+    some = labelled if n <= 4 * sample else labelled.filter(F.col("_key") < _KEYS * 4 * sample // n)
+    chosen = some.orderBy("_key", "doc_id", "lang").limit(sample).toArrow()
     langs = chosen["lang"].to_pylist()
     return train(chosen["text"].to_pylist(), langs, seed=seed) if langs else None
 

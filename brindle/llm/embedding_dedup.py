@@ -8,7 +8,8 @@ substring, the threshold and the wanted recall of a pair right at the threshold;
 with the logarithm of the number of vectors, so that a key holds few of them. Candidates are
 compared by cosine of the original vectors in double precision, in tiles; a key that holds more
 vectors than a tile is dealt into pairs of blocks. Each pair is settled by the first table that
-files it, so counts add up. Tasks return counts and one link a vector, never pairs.
+files it, so counts add up. Tasks return counts and a spanning forest of their links (each vector hangs
+on the smallest that its links reach within the call), never pairs.
 
 Equal vectors are one class with a count, and links between them are counted, not made.
 
@@ -92,6 +93,19 @@ def _pairs_of_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of linked places: ``root`` holds the root of every place, before and after."""
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high > low
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, sample: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: cosine of at least ``threshold`` is a link."""
     width = modal_width(vectors)
@@ -146,7 +160,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         codes = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=integer).reshape(-1, tables)[order]
         unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         norms = np.sqrt(dot_in_order(x, x))
-        n_links, up = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        n_links, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         starts = np.flatnonzero(runs(key))
         large = np.diff(np.append(starts, len(key))) > 64
         small = ~np.repeat(large, np.diff(np.append(starts, len(key))))
@@ -175,9 +189,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
                 i, j = i[ok], j[ok]
                 np.add.at(n_links, i, counts[j])
                 np.add.at(n_links, j, counts[i])
-                np.minimum.at(up, i, ids[j])
-                np.minimum.at(up, j, ids[i])
-        some = n_links > 0
+                _unite(root, i, j)
+        least = ids.copy()
+        np.minimum.at(least, root, ids)
+        some, up = n_links > 0, least[root]
         return pa.table({"id": pa.array(ids[some], pa.int64()), "n": pa.array(n_links[some], pa.int64()), "up": pa.array(up[some], pa.int64())})
 
     found = cut(filed.withColumn("grp", grp).groupBy("tab", "grp").applyInArrow(link, _LINKS), "vector-links")

@@ -36,6 +36,20 @@ def test_embedding_components(spark):
             assert r["n_links"] == 0 and r["kept"]
 
 
+def test_smaller_ids_that_only_a_larger_one_links(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in range(100):  # 3t - 3t+2 - 3t+1: the middle one has the largest id
+        u, v = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        rows += [(3 * t + k, (np.cos(a) * u + np.sin(a) * v).tolist()) for k, a in enumerate(np.radians([-20.0, 20.0, 0.0]))]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()}
+    whole = [t for t in range(100) if [got[3 * t + k]["n_links"] for k in range(3)] == [1, 1, 2]]
+    assert len(whole) > 90
+    for t in whole:
+        assert [got[3 * t + k]["component_id"] for k in range(3)] == [3 * t] * 3
+        assert [got[3 * t + k]["kept"] for k in range(3)] == [True, False, False]
+
+
 def test_hot_key_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 32)
     rng = np.random.default_rng(1)

@@ -3,15 +3,17 @@
 Features of a word are its byte n-grams (2 to 5, with word-boundary marks), hashed into buckets.
 A text's vector is the mean of the embeddings of all its features, and a linear softmax sits on
 top; both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``sample`` of them, chosen by a hash of doc_id: a documented bound). Scores are calibrated on a
-part of the sample that training does not see: a temperature, and a rejection threshold below
-which no more than a thousandth of correctly labelled texts lie.
+(``sample`` of them, chosen by a hash of doc_id: a documented bound). Scores are calibrated on rows
+that training does not see, each fifth of the sample under a model of the other four: a temperature
+of at least 1 (a smaller one would push every score to 1, strange texts' too), and as rejection
+threshold the score below which a thousandth of these rows' rightly predicted texts lie.
 
 After training, embedding and softmax fold into one table of a few numbers a bucket, so that
 prediction is a sum over words, computed once for each distinct word of a slice.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0.0 and rejected;
-rows with a null language teach nothing; with no labelled row every text is ``und``; repeated rows are
+rows with a null language teach nothing; with no labelled row every text is ``und``; with fewer than
+20, or a single language, no text with a letter is rejected; repeated rows are
 predicted as often as they occur; columns other than doc_id, text and (for training) lang are ignored.
 """
 
@@ -114,21 +116,15 @@ def _bags(texts: pa.Array, n_buckets: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int = 16, epochs: int = 20, rate: float = 0.2, seed: int = 0) -> LanguageModel:
-    """Stochastic gradient descent; a fifth of the rows calibrates."""
-    labels = sorted(set(langs))
-    y = np.array([labels.index(x) for x in langs], dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    bags = _bags(pa.array(texts, pa.string()), n_buckets)
-    order = rng.permutation(len(y))
-    n_cal = len(y) // 5 if len(y) >= 20 else 0
-    calibrate, learn = order[:n_cal], order[n_cal:]
+def _descend(bags: np.ndarray, y: np.ndarray, learn: np.ndarray, n_labels: int, dim: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent on the rows ``learn``: the folded table and the bias."""
+    n_buckets = bags.shape[1]
     scale = float(n_buckets) ** 0.5  # evens out that a mean over many features is small
     embedding = rng.normal(0, 1, (n_buckets, dim)).astype(np.float32) / scale
-    weights = np.zeros((dim, len(labels)), dtype=np.float32)
-    bias = np.zeros(len(labels), dtype=np.float32)
-    share = np.bincount(y[learn], minlength=len(labels)).astype(np.float32)
-    balance = (share.sum() / np.maximum(share, 1) / len(labels))[y]
+    weights = np.zeros((dim, n_labels), dtype=np.float32)
+    bias = np.zeros(n_labels, dtype=np.float32)
+    share = np.bincount(y[learn], minlength=n_labels).astype(np.float32)
+    balance = (share.sum() / np.maximum(share, 1) / n_labels)[y]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in np.array_split(rng.permutation(learn), max(1, len(learn) // 32)):
@@ -141,18 +137,32 @@ def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int =
             weights -= step * hidden.T @ error
             bias -= step * error.sum(axis=0)
             embedding -= step * (x.T @ back)
-    table = (embedding * scale @ weights).astype(np.float64)
-    model = LanguageModel(labels, table, bias.astype(np.float64), 1.0, 0.0)
+    return (embedding * scale @ weights).astype(np.float64), bias.astype(np.float64)
+
+
+def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int = 16, epochs: int = 20, rate: float = 0.2, seed: int = 0) -> LanguageModel:
+    """The model of four fifths of the rows, calibrated on every fifth under the model of the others."""
+    labels = sorted(set(langs))
+    y = np.array([labels.index(x) for x in langs], dtype=np.int64)
+    rng = np.random.default_rng(seed)
+    bags = _bags(pa.array(texts, pa.string()), n_buckets)
+    order = rng.permutation(len(y))
+    n_cal = len(y) // 5 if len(y) >= 20 else 0
+    folds = np.split(order, n_cal * np.arange(1, 5)) if n_cal else [order[:0]]
+    logits = np.zeros((len(y), len(labels)))
+    model = None
+    for fold in folds:
+        table, bias = _descend(bags, y, order[~np.isin(order, fold)], len(labels), dim, epochs, rate, rng)
+        logits[fold] = bags[fold] @ table + bias
+        model = model or LanguageModel(labels, table, bias, 1.0, 0.0)
     if n_cal:
-        logits = bags[calibrate] @ table + bias
-        grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(n_cal), y[calibrate]], 1e-12)).mean() for t in grid]
+        grid = np.geomspace(1, 20, 60)
+        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(logits / model.temperature)
-        right = p.argmax(axis=1) == y[calibrate]
+        right = p.argmax(axis=1) == y
         if right.any():
-            floor = np.quantile(p.max(axis=1)[right], 0.001)
-            model.threshold = float(min(floor / 2, 1 / len(labels) + 0.05))
+            model.threshold = float(np.quantile(p.max(axis=1)[right], 0.001))
     return model
 
 

@@ -74,6 +74,20 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in clean) / len(clean) < 0.01
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spread(spark)
+    model = language.fit(docs)
+    rng = random.Random(4)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x4F00)))]
+    strange = [" ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(40)) for a in alphabets for _ in range(50)]
+    got = {r["doc_id"]: r["rejected"] for r in language.predict(documents(spark, list(enumerate(strange))), model).collect()}
+    for a in range(len(alphabets)):
+        assert sum(got[50 * a + i] for i in range(50)) >= 48
+    held = language.predict(docs.filter(language.held_out()), model, ("lang", "text")).collect()
+    clean = [r["rejected"] for r in held if r["text"] and r["lang"] and len(r["text"].split()) > 20]
+    assert sum(clean) / len(clean) < 0.02
+
+
 def test_language_awkward(spark):
     got = language.predict(awkward(spark), None).collect()
     assert {r["lang_pred"] for r in got} == {"und"} and all(r["rejected"] for r in got)

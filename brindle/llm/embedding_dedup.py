@@ -1,7 +1,9 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, reranking.
 
 Rotations are learned on a bounded sample (``sample`` vectors, a documented bound): each turns the
-principal components so that their signs are balanced binary codes close to the data. A code is cut
+principal components so that their signs are balanced binary codes close to the data. A code is the
+signs of a whole vector through the origin, not of its distance to the mean, since only there a pair's
+angle is that of its cosine: what all vectors share makes keys larger, not the tables too few. It is cut
 into substrings, each the key of one table; two vectors are candidates where a table files both under
 one key and their codes differ in few bits. The number of tables follows from the width of a
 substring, the threshold and the wanted recall of a pair right at the threshold; the width grows
@@ -39,10 +41,9 @@ GROUP_ROWS = 8192
 _LINKS = "id long, n long, up long"
 
 
-def learn_rotations(sample: np.ndarray, bits: int, count: int, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean, and ``count`` projections to ``bits`` balanced signs, by alternating codes and rotation."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
+def learn_rotations(sample: np.ndarray, bits: int, count: int, rounds: int = 30, seed: int = 0) -> list[np.ndarray]:
+    """``count`` projections to ``bits`` balanced signs, by alternating codes and rotation."""
+    centred = sample - sample.mean(axis=0)
     _, _, axes = np.linalg.svd(centred.T @ centred)
     base = axes[:bits].T
     projected = centred @ base
@@ -55,24 +56,24 @@ def learn_rotations(sample: np.ndarray, bits: int, count: int, rounds: int = 30,
             u, _, v = np.linalg.svd(codes.T @ projected)
             rotation = (u @ v).T
         found.append(base @ rotation)
-    return mean, found
+    return found
 
 
 def plan_tables(n: int, width: int, threshold: float, recall: float) -> tuple[int, int, int]:
     """Bits of a code, bits of a substring, number of tables."""
-    bits = min(64, width)
+    bits = width  # all of them: a projection to fewer would leave out part of the angle
     part = min(bits, max(8, math.ceil(math.log2(max(n, 2)))))
     flip = math.acos(threshold) / math.pi  # chance that a bit differs right at the threshold
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** part))
     return bits, part, max(1, tables)
 
 
-def _keys(x: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], part: int, tables: int) -> np.ndarray:
+def _keys(x: np.ndarray, rotations: list[np.ndarray], part: int, tables: int) -> np.ndarray:
     """The key of every vector in every table."""
     out = np.empty((len(x), tables), dtype=np.int64)
     table = 0
     for rotation in rotations:
-        signs = (x - mean) @ rotation >= 0
+        signs = x @ rotation >= 0
         for at in range(0, signs.shape[1] - part + 1, part):
             if table < tables:
                 out[:, table] = signs[:, at : at + part] @ (1 << np.arange(part, dtype=np.int64))
@@ -118,14 +119,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     bits, part, tables = plan_tables(n, width, threshold, recall)
     fit = matrix(classes.orderBy(F.xxhash64("x"), "id").limit(sample).select("x").toArrow()["x"], width)
-    mean, rotations = learn_rotations(fit / np.linalg.norm(fit, axis=1, keepdims=True), bits, -(-tables // (bits // part)))
+    rotations = learn_rotations(fit / np.linalg.norm(fit, axis=1, keepdims=True), bits, -(-tables // (bits // part)))
     spread = max(1, -(-n // GROUP_ROWS))  # groups of a table
 
     def file(batches):
         for batch in batches:
             x = matrix(batch["x"], width)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            keys = _keys(unit, mean, rotations, part, tables)
+            keys = _keys(unit, rotations, part, tables)
             flat = keys.ravel()
             table = np.tile(np.arange(tables), len(x))
             at = np.repeat(np.arange(len(x)), tables)

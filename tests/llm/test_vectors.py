@@ -50,6 +50,19 @@ def test_smaller_ids_that_only_a_larger_one_links(spark):
         assert [got[3 * t + k]["kept"] for k in range(3)] == [True, False, False]
 
 
+def test_recall_where_vectors_share_a_direction(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(0.83 * unit(rng.normal(size=32)) + 0.56 * unit(rng.normal(size=(600, 32))))
+    away = rng.normal(size=x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    x = np.concatenate([x, 0.905 * x + np.sqrt(1 - 0.905**2) * away])
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = embedding_dedup.near_duplicates(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    assert sum(r["n_links"] for r in got) >= 0.95 * link.sum()
+
+
 def test_hot_key_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 32)
     rng = np.random.default_rng(1)

@@ -13,7 +13,8 @@ Magic inside of a payload is a candidate that no record leads to, and is rejecte
 Defined cases: a null html is an empty payload; a null url is an empty target; line breaks in a url
 become spaces; payloads below ``min_revisit`` bytes are never revisits; rows that repeat a page_id
 and its payload are responses all, if the page_id is the largest of its payload; a null page_id
-sorts before all others; a chain that a damaged or cut record breaks ends before it;
+sorts before all others; headers are of any length; a chain that a damaged or cut record breaks ends
+before it, and a round trip that loses a record so fails;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,8 +36,6 @@ from brindle.llm.common import cut, fresh_path
 BLOCK_BYTES = 1 << 20
 #: Records that a writer task puts into one archive.
 ARCHIVE_RECORDS = 2000
-#: Longest header that a record may have, in bytes.
-HEADER_BYTES = 1 << 16
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n")
@@ -69,20 +68,19 @@ def write_archives(pages: DataFrame, path: str, archive_records_: int = ARCHIVE_
     archive_records(pages, **options).write.option("lineSep", "\n").option("maxRecordsPerFile", archive_records_).option("compression", compression).text(path)
 
 
-def parse_record(data: bytes | memoryview, start: int) -> dict | None:
+def parse_record(data: bytes, start: int) -> dict | None:
     """The record that begins at ``start``, or None if there is none: headers, where its block begins and its successor."""
-    head = bytes(data[start : start + HEADER_BYTES])
-    if not _MAGIC.match(head):
+    if not _MAGIC.match(data, start):
         return None
-    end = head.find(b"\r\n\r\n")
-    length = _LENGTH.search(head, 0, end + 2) if end >= 0 else None
+    end = data.find(b"\r\n\r\n", start)
+    length = _LENGTH.search(data, start, end + 2) if end >= 0 else None
     if length is None:
         return None
-    begin = start + end + 4
+    begin = end + 4
     after = begin + int(length[1])
-    if bytes(data[after : after + 4]) != b"\r\n\r\n":
+    if data[after : after + 4] != b"\r\n\r\n":
         return None
-    return {"head": head[:end], "begin": begin, "end": after, "next": after + 4}
+    return {"head": data[start:end], "begin": begin, "end": after, "next": after + 4}
 
 
 def _header(head: bytes, name: bytes) -> bytes:
@@ -174,8 +172,14 @@ def read_archives(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` to fresh archives in the shared folder and read them: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` to fresh archives in the shared folder and read them: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Fails unless as many records are read as rows were given.
+    """
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path, **options)
-    records = read_archives(pages.sparkSession, path)
+    records = cut(read_archives(pages.sparkSession, path), "records")
+    given, read = pages.count(), records.count()
+    if given != read:
+        raise ValueError(f"{given} pages were written, {read} records can be read: a chain ends before its archive does")
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import warc
@@ -62,3 +63,16 @@ def test_repeated_and_null_ids_and_empty(spark):
     got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.round_trip(pages(spark, [(1, "u", big), (2, "u", big), (2, "u", big), (None, "u", big)])).collect())
     assert got == [("1", "revisit", 2), ("2", "response", None), ("2", "response", None), ("None", "revisit", 2)]
     assert warc.round_trip(pages(spark, [])).collect() == []
+
+
+def test_long_url_keeps_later_records(spark):
+    rows = [(i, "http://h/" + "u" * (200_000 if i == 2 else 5), f"page {i}") for i in range(6)]
+    got = warc.round_trip(pages(spark, rows).coalesce(1)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected(rows)
+
+
+def test_lost_record_fails(spark, monkeypatch):
+    whole = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: whole(*a).filter("page_id <> 1"))
+    with pytest.raises(ValueError, match="3 pages were written, 2 records"):
+        warc.round_trip(pages(spark, [(i, "u", "x") for i in range(3)]))

@@ -17,15 +17,17 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Text handled at once inside a task, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Text of one shard, in bytes: what one task of a sharded operator holds.
 SHARD_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; own one only where unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; an own one only where unset and all is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -3,7 +3,7 @@
 Features of a word are its byte n-grams (2 to 5, with word-boundary marks), hashed into buckets.
 A text's vector is the mean of the embeddings of all its features, and a linear softmax sits on
 top; both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``sample`` of them, chosen by a hash of doc_id: a documented bound). Scores are calibrated on rows
+(``sample`` of them, chosen by a hash of doc_id and text: a documented bound). Scores are calibrated on rows
 that training does not see, each fifth of the sample under a model of the other four: a temperature
 of at least 1 (a smaller one would push every score to 1, strange texts' too), and as rejection
 threshold the score below which a thousandth of these rows' rightly predicted texts lie.
@@ -140,12 +140,11 @@ def _descend(bags: np.ndarray, y: np.ndarray, learn: np.ndarray, n_labels: int,
     return (embedding * scale @ weights).astype(np.float64), bias.astype(np.float64)
 
 
-def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int = 16, epochs: int = 20, rate: float = 0.2, seed: int = 0) -> LanguageModel:
-    """The model of four fifths of the rows, calibrated on every fifth under the model of the others."""
+def train(bags: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 20, rate: float = 0.2, seed: int = 0) -> LanguageModel:
+    """The model of four fifths of the rows (see ``_bags``), calibrated on every fifth under the model of the others."""
     labels = sorted(set(langs))
     y = np.array([labels.index(x) for x in langs], dtype=np.int64)
     rng = np.random.default_rng(seed)
-    bags = _bags(pa.array(texts, pa.string()), n_buckets)
     order = rng.permutation(len(y))
     n_cal = len(y) // 5 if len(y) >= 20 else 0
     folds = np.split(order, n_cal * np.arange(1, 5)) if n_cal else [order[:0]]
@@ -166,39 +165,60 @@ def train(texts: list[str], langs: list[str], n_buckets: int = 4096, dim: int =
     return model
 
 
-def fit(docs: DataFrame, sample: int = 2000, seed: int = 0) -> LanguageModel | None:
-    """Train on at most ``sample`` labelled rows outside the held-out fold; whole texts, a bounded number of rows."""
+def fit(docs: DataFrame, sample: int = 2000, n_buckets: int = 4096, seed: int = 0) -> LanguageModel | None:
+    """Train on at most ``sample`` labelled rows outside the held-out fold.
+
+    Whole texts become feature counts where they lie; the driver gets ``sample`` rows of ``n_buckets`` numbers.
+    """
+
+    def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            rows = [row.tobytes() for part in slices(pa.RecordBatch.from_arrays([whole], names=["text"]), "text") for row in _bags(part["text"], n_buckets)]
+            yield pa.array(rows, pa.binary())
+
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_KEYS))
-    labelled = docs.select("doc_id", "text", "lang", key.alias("_key")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    # the smallest keys are the sample; a bound that leaves about four times as many keeps the last step small however many tasks there are
-    n = labelled.count()
-    some = labelled if n <= 4 * sample else labelled.filter(F.col("_key") < _KEYS * 4 * sample // n)
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select("doc_id", "text", "lang", key.alias("_key"))
+    # the smallest keys are the sample
+    last = labelled.select("_key").orderBy("_key").limit(sample).agg(F.max("_key")).first()[0]
+    if last is None:
+        return None
+    some = labelled.filter(F.col("_key") <= last).select("_key", "doc_id", "lang", F.arrow_udf(bags, "binary")("text").alias("bag"))
     chosen = some.orderBy("_key", "doc_id", "lang").limit(sample).toArrow()
-    langs = chosen["lang"].to_pylist()
-    return train(chosen["text"].to_pylist(), langs, seed=seed) if langs else None
+    counts = np.frombuffer(b"".join(chosen["bag"].to_pylist()), dtype=np.float32).reshape(-1, n_buckets)
+    return train(counts, chosen["lang"].to_pylist(), seed=seed)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and rejected of every row, with the columns in ``keep``.
+def predicted(text: Column, model: LanguageModel | None) -> Column:
+    """(lang_pred, score, rejected) of a text. Texts alone reach Python, a slice at a time; other columns stay where they are.
 
     The folded model (labels, one small table of fixed size) travels with the task.
     """
-    wanted = list(dict.fromkeys(["doc_id", "text", *keep]))
-    inner = docs.select(*wanted, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    fields = [f for f in inner.schema.fields if f.name in wanted and (f.name in keep or f.name == "doc_id")]
-    names = [f.name for f in fields]
-    schema = inner.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                letters = batch["_letters"].to_numpy(zero_copy_only=False)
-                labels, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
-                if model is not None:
-                    best, p = model.predict(batch["text"])
-                    labels = np.where(letters, np.array(model.labels, dtype=object)[best], "und")
-                    score = np.where(letters, p, 0.0)
-                rejected = ~letters | (score < (model.threshold if model is not None else 1.0))
-                yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(labels, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
-
-    return inner.mapInArrow(run, schema)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for whole, letters in batches:
+            batch = pa.RecordBatch.from_arrays([whole, letters], names=["text", "letters"])
+            parts = [_verdicts(part["text"], part["letters"], model) for part in slices(batch, "text")]
+            yield pa.concat_arrays(parts) if parts else pa.array([], _VERDICT)
+
+    return F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
+_VERDICT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+
+
+def _verdicts(texts: pa.Array, has_letter: pa.Array, model: LanguageModel | None) -> pa.Array:
+    letters = has_letter.to_numpy(zero_copy_only=False)
+    labels, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
+    if model is not None:
+        best, p = model.predict(texts)
+        labels = np.where(letters, np.array(model.labels, dtype=object)[best], "und")
+        score = np.where(letters, p, 0.0)
+    rejected = ~letters | (score < (model.threshold if model is not None else 1.0))
+    return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(score), pa.array(rejected)], fields=list(_VERDICT))
+
+
+def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep``, then lang_pred, score and rejected of every row; a kept column of such a name is left out."""
+    kept = [c for c in dict.fromkeys(("doc_id", *keep)) if c not in ("lang_pred", "score", "rejected")]
+    marked = docs.select(*(F.col(c).alias(f"_keep_{c}") for c in kept), predicted(F.col("text"), model).alias("_verdict"))
+    return marked.select(*(F.col(f"_keep_{c}").alias(c) for c in kept), "_verdict.lang_pred", "_verdict.score", "_verdict.rejected")

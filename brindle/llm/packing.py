@@ -36,7 +36,7 @@ from brindle.llm.common import cut, slices, split_words
 #: Pieces that one group holds at about this number.
 GROUP_PIECES = 4000
 #: Words of one generation that a worker remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long"
 

@@ -56,7 +56,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     predicted = language.predict(docs, language.fit(docs))
-    return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+    return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

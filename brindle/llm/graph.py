@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut
 
 
+#: Parts that the links of a hub are dealt into, and how many times the links in all a hub's are at least one of.
+SALTS, HUBS = 32, 5000
+
+
+def _with_least(both: DataFrame, n_links: int) -> DataFrame:
+    """id, up and m, the smallest of an id and its neighbours, for each of its links.
+
+    An id of more than a ``HUBS``-th of all links is a hub; there are at most two times ``HUBS`` such, so they are broadcast,
+    and a hub's links meet its m in parts.
+    """
+    most = max(1000, n_links // HUBS)
+    least = both.groupBy("id").agg(F.min("up").alias("m"), F.count("*").alias("c")).select("id", F.least("id", "m").alias("m"), "c")
+    hubs = least.filter(F.col("c") > most).select("id", F.lit(True).alias("hub"))
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64("up"), F.lit(SALTS)).cast("int")).otherwise(0)
+    links = both.join(F.broadcast(hubs), "id", "left").withColumn("part", part).drop("hub")
+    parts = F.when(F.col("c") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return links.join(least.select("id", "m", F.explode(parts).alias("part")), ["id", "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (columns a, b, of any ordered type): the smallest id that links reach.
 
     Each round hangs every id on its smallest neighbour so far and cuts the lineage in the shared
-    folder; aggregates combine before the shuffle, so a hub costs a row a task. Loops (a = b) and
+    folder; aggregates combine before the shuffle and a hub's links are dealt into parts. Loops (a = b) and
     repeated edges change nothing; no edges give an empty result.
     """
     links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")).distinct(), "links")
     before = _state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("up").alias("id"), F.col("id").alias("up")))
-        least = both.groupBy("id").agg(F.min("up").alias("m")).select("id", F.least("id", "m").alias("m"))
-        large = both.filter("up > id").join(least, "id").select(F.col("up").alias("id"), F.col("m").alias("up")).filter("id > up").distinct()
+        large = _with_least(both, before[0]).filter("up > id").select(F.col("up").alias("id"), F.col("m").alias("up")).filter("id > up").distinct()
         lower = large.groupBy("id").agg(F.min("up").alias("m"))
         small = large.join(lower, "id").filter("up > m").select(F.col("up").alias("id"), F.col("m").alias("up"))
         links = cut(small.unionByName(lower.withColumnRenamed("m", "up")).distinct(), "links")

@@ -19,6 +19,7 @@ predicted as often as they occur; columns other than doc_id, text and (for train
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,20 +100,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _bags(texts: pa.Array, n_buckets: int) -> np.ndarray:
-    """Mean feature counts of each text, one dense row each."""
+    """Feature counts of each text, one dense row each, scaled down where they would not fit into 16 bits."""
     codes, offsets, words = split_words(texts)
     buckets, owner = _buckets(words, n_buckets)
     order = np.argsort(owner, kind="stable")
     begin = np.searchsorted(owner[order], np.arange(len(words) + 1))
     buckets = buckets[order]
-    out = np.zeros((len(texts), n_buckets), dtype=np.float32)
+    out = np.zeros((len(texts), n_buckets), dtype=np.uint16)
     for i in range(len(texts)):
         used, times = np.unique_counts(codes[offsets[i] : offsets[i + 1]])
         n = begin[used + 1] - begin[used]
         if n.sum():
             at = np.repeat(begin[used] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out[i] = np.bincount(buckets[at], weights=np.repeat(times, n), minlength=n_buckets)
-            out[i] /= out[i].sum()
+            counts = np.bincount(buckets[at], weights=np.repeat(times, n), minlength=n_buckets)
+            out[i] = counts // max(1, -(-counts.max() // 0xFFFF))
     return out
 
 
@@ -141,7 +142,7 @@ def _descend(bags: np.ndarray, y: np.ndarray, learn: np.ndarray, n_labels: int,
 
 
 def train(bags: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 20, rate: float = 0.2, seed: int = 0) -> LanguageModel:
-    """The model of four fifths of the rows (see ``_bags``), calibrated on every fifth under the model of the others."""
+    """The model of four fifths of the rows (mean feature counts), calibrated on every fifth under the model of the others."""
     labels = sorted(set(langs))
     y = np.array([labels.index(x) for x in langs], dtype=np.int64)
     rng = np.random.default_rng(seed)
@@ -168,12 +169,12 @@ def train(bags: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 20, r
 def fit(docs: DataFrame, sample: int = 2000, n_buckets: int = 4096, seed: int = 0) -> LanguageModel | None:
     """Train on at most ``sample`` labelled rows outside the held-out fold.
 
-    Whole texts become feature counts where they lie; the driver gets ``sample`` rows of ``n_buckets`` numbers.
+    Whole texts become feature counts where they lie; the driver gets ``sample`` rows of ``n_buckets`` small numbers, compressed.
     """
 
     def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for whole in batches:
-            rows = [row.tobytes() for part in slices(pa.RecordBatch.from_arrays([whole], names=["text"]), "text") for row in _bags(part["text"], n_buckets)]
+            rows = [zlib.compress(row.tobytes(), 1) for part in slices(pa.RecordBatch.from_arrays([whole], names=["text"]), "text") for row in _bags(part["text"], n_buckets)]
             yield pa.array(rows, pa.binary())
 
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_KEYS))
@@ -184,7 +185,8 @@ def fit(docs: DataFrame, sample: int = 2000, n_buckets: int = 4096, seed: int =
         return None
     some = labelled.filter(F.col("_key") <= last).select("_key", "doc_id", "lang", F.arrow_udf(bags, "binary")("text").alias("bag"))
     chosen = some.orderBy("_key", "doc_id", "lang").limit(sample).toArrow()
-    counts = np.frombuffer(b"".join(chosen["bag"].to_pylist()), dtype=np.float32).reshape(-1, n_buckets)
+    counts = np.frombuffer(b"".join(map(zlib.decompress, chosen["bag"].to_pylist())), dtype=np.uint16).reshape(-1, n_buckets).astype(np.float32)
+    counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
     return train(counts, chosen["lang"].to_pylist(), seed=seed)
 
 

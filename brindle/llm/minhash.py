@@ -35,6 +35,8 @@ from brindle.llm.graph import components
 TILE_ROWS, TILE_COLUMNS = 256, 1024
 #: Bytes of runs that one call holds at about this number.
 TILE_BYTES = 8 << 20
+#: Copies of a text look their class up in so many parts.
+SALTS = 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,8 +197,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     signed = cut(signed, "signed")
     first = F.min(F.struct("doc_id", "row")).alias("first")
     # a class goes by the row number of its first document from here on
-    classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.any_value("sig").alias("sig"))
-    classes = cut(classes.select("digest", F.col("first.row").alias("cls"), "first", "sig"), "classes")
+    classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.any_value("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = cut(classes.select("digest", F.col("first.row").alias("cls"), "first", "sig", "copies"), "classes")
 
     # Buckets of two classes or more; of those with the same members one is enough.
     filed = classes.select("cls", "sig").mapInArrow(file, "key long, cls long")
@@ -236,9 +238,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         members = left.select("cls", "comp").distinct().join(groups, F.col("cls") == F.col("id")).select("cls", "comp", "grp")
         members = cut(members.join(listed.select("cls", "n"), "cls"), "members")
         parts = members.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("runs"))
-        totals = parts.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("runs").alias("runs"))
+        totals = parts.groupBy("grp").agg(F.max(F.struct("c", "comp", "runs")).alias("top"), F.sum("c").alias("c"), F.sum("runs").alias("runs"))
         blocks = lambda n, size_, b: F.greatest(F.ceil(n / F.lit(size_)), F.ceil(b * 8 / F.lit(TILE_BYTES))).cast("int")
-        totals = totals.select("grp", F.col("top.comp").alias("main"), blocks(F.col("c") - F.col("top.c"), TILE_ROWS, F.col("runs") * 0).alias("rows"), blocks(F.col("c"), TILE_COLUMNS, F.col("runs")).alias("columns"), (F.col("runs") * 8).alias("bytes"))
+        totals = totals.select("grp", F.col("top.comp").alias("main"), blocks(F.col("c") - F.col("top.c"), TILE_ROWS, F.col("runs") - F.col("top.runs")).alias("rows"), blocks(F.col("c"), TILE_COLUMNS, F.col("runs")).alias("columns"), (F.col("runs") * 8).alias("bytes"))
         totals = totals.withColumn("rows", F.greatest("rows", F.lit(1)))
         calls = max(1, -(-(totals.agg(F.sum("bytes")).first()[0] or 0) // TILE_BYTES))
         placed = members.join(totals, "grp")
@@ -278,8 +280,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         labels = components(links.unionByName(more))
     else:
         labels = labels.select("id", "component")
-    named = classes.select("digest", "cls", "first").join(labels, F.col("cls") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "cls").alias("comp"))
+    named = classes.select("digest", "cls", "first", "copies").join(labels, F.col("cls") == F.col("id"), "left").select("digest", "cls", "first", "copies", F.coalesce("component", "cls").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("first").alias("head"))
-    of = named.join(heads, "comp").select("digest", "head")
-    out = signed.join(of, "digest", "left").withColumn("head", F.coalesce("head", F.struct("doc_id", "row")))
+    of = named.join(heads, "comp").select("digest", "cls", "head", "copies")
+    # a text without copies goes by its row; the copies of a text are dealt into parts, so that one of many is not one task's
+    copied = of.filter("copies > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("head").alias("shared"))
+    single = of.filter("copies = 1").select(F.col("cls").alias("row"), F.col("head").alias("own"))
+    worded = signed.filter("digest is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    found = worded.join(copied, ["digest", "salt"], "left").join(single, "row", "left").select("doc_id", "row", "text_hash", F.coalesce("shared", "own").alias("head"))
+    bare = signed.filter("digest is null").select("doc_id", "row", "text_hash", F.struct("doc_id", "row").alias("head"))
+    out = found.unionByName(bare)
     return out.select("doc_id", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"), "text_hash")

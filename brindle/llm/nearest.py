@@ -7,7 +7,7 @@ from the norms of the quantisation residuals; pairs whose upper bound does not r
 k-th largest lower bound are dropped, the rest is computed again in double precision, and a heap a
 query keeps the tile's k best. A last heap merges the tiles of a query.
 
-Defined cases: vectors that are null, empty, zero, of another length than most or hold null or
+Defined cases: vectors whose vec_id is null, and those that are null, empty, zero, of another length than most or hold null or
 non-finite components take no part, as query or candidate; ties go to the smaller vec_id; rows that
 repeat a vec_id are candidates each, but never of a query with the same vec_id; a query with
 fewer candidates than k gets them all; other columns are ignored.
@@ -77,7 +77,7 @@ def tile_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of every query row with all other rows."""
     width = modal_width(vectors)
-    rows = vectors.filter(usable(width)).select("vec_id", F.col("embedding").cast("array<double>").alias("x"), is_query.alias("is_query"))
+    rows = vectors.filter(usable(width) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("x"), is_query.alias("is_query"))
     queries = rows.filter("is_query")
     sizes = rows.agg(F.count("*").alias("all"), F.count_if("is_query").alias("queries")).first()
     n_c, n_q = max(1, -(-sizes["all"] // block)), max(1, -(-sizes["queries"] // block))

@@ -41,6 +41,16 @@ MEMO_WORDS = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long"
 
 
+# The steps of a tokenizer whose texts fall into words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds:
     """Ids of texts, word by word.
 
@@ -56,6 +66,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
+        self.by_words = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and not spec["post_processor"]
         self.folds = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         by_letters = [x["type"] for x in steps] == ["Split", "ByteLevel"] and "[\\p{L}]+" in steps[0]["pattern"]["Regex"] and not steps[1]["add_prefix_space"]
@@ -111,7 +122,9 @@ class WordIds:
         return [found[ended[w]] + found[w[-1:]] if w in ended else found[w] for w in words]
 
     def texts(self, texts: pa.Array) -> list[bytes]:
-        """Ids of whole texts, likewise."""
+        """Ids of whole texts, likewise; whole texts at once where the tokenizer does not fall into words as described."""
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
         codes, offsets, words = split_words(pc.ascii_lower(texts) if self.folds else texts)
         ids = self.ids(words.cast(pa.binary()).to_pylist())
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
@@ -199,7 +212,7 @@ def crossover(into: list[list[int]], of: list[list[int]], sizes: list[int], capa
     return best_fit(inject + keep, loose, sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = 4, generations: int = 12) -> list[list[int]]:
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = 8, generations: int = 40) -> list[list[int]]:
     """One island's epoch: the best packing that it finds."""
     bound = -(-sum(sizes) // capacity)
     solutions = [*elites, best_fit([], list(range(len(sizes))), sizes, capacity)]
@@ -286,7 +299,7 @@ def _placing(level: int):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 2, epochs: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 3, epochs: int = 3, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Give every piece (doc_id, piece, start, length, ids_crc32, part) a sequence_id and an offset."""
     out_schema = f"{_PIECE}, sequence_id long, offset long, fill long"
     done, left, level = None, cut(pieces, "pieces"), 0

@@ -3,13 +3,14 @@
 A text is normalised by longest-prefix matching through the model's compiled character map (a
 double-array trie; empty in identity models), each normalised byte remembering the source byte
 that it came from. The normalised text falls into segments that no piece crosses (pieces hold the
-space mark only at their beginning, and control characters stand alone), whose ids a task
-remembers; each piece is projected back to the span of original bytes that it stands for.
+space mark only at their beginning, and line breaks stand alone), whose ids the library gives and a
+worker remembers; each piece is projected back to the span of original bytes that it stands for. Models
+whose pieces may cross such segments are given whole texts. Digests are taken of what this yields.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; spans are byte
 offsets into the UTF-8 of the original text, end exclusive (the dummy space at the beginning is the
 empty span 0:0); repeated rows are returned as often as they occur; columns other than doc_id and
-text are ignored.
+text are ignored. Of a character that becomes several byte pieces, the last has the span, the others are empty before it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame
 from brindle.llm.common import slices
 
 MARK = "▁".encode()
-#: Segments that one task remembers.
-MEMO_SEGMENTS = 200_000
+#: Segments that a worker remembers, and the bytes that such a one has at most.
+MEMO_SEGMENTS, MEMO_SEGMENT_BYTES = 150_000, 64
 #: Type numbers of the model file.
 BYTE = 6
 
@@ -68,6 +71,20 @@ class Normalizer:
         self.dummy, self.remove, self.space = dummy_prefix, remove_extra, MARK if escape else b" "
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        if not len(self.map.units) and not self.remove:
+            return self._unmapped(data)
+        return self._mapped(data)
+
+    def _unmapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """With an empty map every character becomes itself, and a space the space mark."""
+        raw = np.frombuffer(data, np.uint8)
+        place = np.arange(len(raw))
+        begins = np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, place, 0)) if len(raw) else place
+        source = np.repeat(begins, np.where(raw == 32, len(self.space), 1)) if b" " in data and len(self.space) > 1 else begins
+        prefix = self.space if data and self.dummy else b""
+        return prefix + data.replace(b" ", self.space), np.concatenate([np.zeros(len(prefix), np.int64), source, [len(data)]])
+
+    def _mapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
         chunks: list[tuple[bytes, int]] = []
         at = 0
         while at < len(data):
@@ -104,11 +121,21 @@ class Normalizer:
             joined = joined[: -len(self.space)]
             end = source[len(joined)]
             source = source[: len(joined)]
-        return joined, np.array([*source, end], dtype=np.int64)
+        return joined, np.array([*source, end if joined else 0], dtype=np.int64)
+
+
+class Encoded(NamedTuple):
+    """A text's ids, as numbers and in decimal, the original bytes of each piece, and what the ids decode to."""
+
+    ids: list[int]
+    joined: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    decoded: str
 
 
 class PieceModel:
-    """One model: encoding by remembered segments, spans, decoding."""
+    """One model: normalising, encoding by remembered segments, spans, decoding."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -120,22 +147,21 @@ class PieceModel:
         proto.ParseFromString(blob)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=blob)
         spec = proto.normalizer_spec
-        self.identity = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
+        identity = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
         self.normalizer = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.encode() for p in proto.pieces]
+        self.is_byte = [p.type == BYTE for p in proto.pieces]
         texts = [p.piece for p in proto.pieces if p.type != BYTE]
-        crossing = any("▁" in t.lstrip("▁") for t in texts) or any(p.type == 4 for p in proto.pieces)
-        self.newline_alone = not any("\n" in t for t in texts)
-        self.segmented = self.identity and not crossing and self.newline_alone and proto.trainer_spec.byte_fallback and self.piece_id("▁") is not None
-        self.memo: dict[bytes, tuple[int, bytes, bytes]] = {}
+        crossing = any("▁" in t.lstrip("▁") for t in texts) or any(p.type == 4 for p in proto.pieces) or any("\n" in t for t in texts)
+        self.mark = self.processor.piece_to_id("▁")
+        # ids of a segment must not depend on what stands around it, nor on a second normalisation
+        self.segmented = identity and not crossing and proto.trainer_spec.byte_fallback and self.processor.id_to_piece(self.mark) == "▁"
+        self.memo: dict[bytes, tuple[bytes, bytes, bytes]] = {}
         self.newline = len(self.processor.encode("\n"))
 
-    def piece_id(self, piece: str) -> int | None:
-        at = self.processor.piece_to_id(piece)
-        return at if self.processor.id_to_piece(at) == piece else None
-
     #: A segment is a run of space marks with the word after it; a line break stands alone.
     SEGMENT = re.compile(rb"\n|(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81)[^\n])+|(?:\xe2\x96\x81)+", re.S)
+    #: The same where all marks are spaces.
     PLAIN = re.compile(rb"\n| *[^ \n]+| +")
 
     def ids_of(self, segment: bytes) -> list[int]:
@@ -143,92 +169,85 @@ class PieceModel:
         text = segment.decode("utf-8", "replace")
         if text.startswith("▁"):
             text = text[1:].replace("▁", " ")
-            return self.processor.encode(text) if text else [self.piece_id("▁")]
+            return self.processor.encode(text) if text else [self.mark]
         # without a space mark: behind a line break, whose ids and mark are taken off again
         return self.processor.encode("\n" + text.replace("▁", " "))[self.newline :]
 
-    def encode(self, data: bytes) -> list[int]:
-        """Ids of a whole text."""
-        if not data:
-            return []
-        if not self.segmented:
-            return self.processor.encode(data.decode("utf-8", "replace"))
-        return [i for s in self.SEGMENT.findall(MARK + data.replace(b" ", MARK)) for i in self.ids_of(s)]
-
-    def spans(self, data: bytes, ids: list[int]) -> list[tuple[int, int]]:
-        """Original byte span of every id."""
-        _, source = self.normalizer(data)
-        ends = np.minimum(np.cumsum([len(self.surface[i]) for i in ids]), len(source) - 1)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ids else ends
-        return [(int(source[a]), int(source[b])) for a, b in zip(starts, ends)]
+    def _segment(self, key: bytes) -> tuple[bytes, bytes, bytes]:
+        """A segment's ids, the length of each piece in normalised bytes (both as 32-bit numbers), the ids in decimal."""
+        ids = self.ids_of(key.replace(b" ", MARK))
+        found = np.array(ids, "<u4").tobytes(), np.array([len(self.surface[i]) for i in ids], "<u4").tobytes(), ",".join(map(str, ids)).encode()
+        if len(key) <= MEMO_SEGMENT_BYTES:
+            if len(self.memo) >= MEMO_SEGMENTS:
+                self.memo = {}
+            self.memo[key] = found
+        return found
+
+    def _pieces(self, data: bytes, normal: bytes) -> tuple[list[int], bytes, np.ndarray]:
+        """Ids, in decimal too, and the normalised bytes of each piece."""
+        if self.segmented:
+            keys = self.SEGMENT.findall(normal) if MARK in data else self.PLAIN.findall(normal.replace(MARK, b" "))
+            get, make = self.memo.get, self._segment
+            found = [get(k) or make(k) for k in keys]
+            ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4").tolist()
+            return ids, b",".join([f[2] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), "<u4")
+        pieces = self.processor.encode(data.decode("utf-8", "replace"), return_type="proto").pieces
+        ids = [p.id for p in pieces]
+        sizes = [1 if self.is_byte[p.id] else len(p.piece.encode()) for p in pieces]
+        return ids, ",".join(map(str, ids)).encode(), np.array(sizes, dtype=np.int64)
+
+    def encoded(self, data: bytes) -> Encoded:
+        """A whole text."""
+        normal, source = self.normalizer(data)
+        ids, joined, sizes = self._pieces(data, normal)
+        cuts = np.minimum(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), len(source) - 1)
+        places = source[cuts]
+        return Encoded(ids, joined, places[:-1], places[1:], self.processor.decode(ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
-    def remembered(self, segment: bytes) -> tuple[int, bytes, bytes]:
-        ids = self.ids_of(segment)
-        text = b"".join([self.surface[i] for i in ids]).replace(MARK, b" ")
-        self.memo[segment] = found = (len(ids), ",".join(map(str, ids)).encode(), text)
-        return found
 
-    def digests(self, data: bytes) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids joined by commas, sha256 of the decoded text."""
-        if not self.segmented:
-            ids = self.encode(data)
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo = {}
-        memo, remembered = self.memo, self.remembered
-        if MARK in data:
-            segments = self.SEGMENT.findall(MARK + data.replace(b" ", MARK)) if data else []
-        else:  # the same segments, before the spaces become marks
-            segments = self.PLAIN.findall(b" " + data) if data else []
-            found = [memo.get(s) or self._plain(s) for s in segments]
-            return self._digest(found)
-        return self._digest([memo.get(s) or remembered(s) for s in segments])
-
-    def _plain(self, segment: bytes) -> tuple[int, bytes, bytes]:
-        self.memo[segment] = found = self.remembered(segment.replace(b" ", MARK))
-        return found
+@cache
+def piece_model(path: str) -> PieceModel:
+    """One for each worker and model file."""
+    return PieceModel(path)
 
-    @staticmethod
-    def _digest(found: list[tuple[int, bytes, bytes]]) -> tuple[int, str, str]:
-        text = b"".join([f[2] for f in found])
-        text = text[1:] if text.startswith(b" ") else text
-        return sum([f[0] for f in found]), hashlib.sha256(b",".join([f[1] for f in found])).hexdigest(), hashlib.sha256(text).hexdigest()
+
+def digests(one: Encoded) -> tuple[int, str, str, str]:
+    """Number of ids; sha256 of the ids joined by commas, of the decoded text, of the spans (start, end of each in turn, little-endian 32-bit)."""
+    spans = np.stack([one.starts, one.ends], axis=1).astype("<u4").tobytes()
+    return len(one.ids), *(hashlib.sha256(x).hexdigest() for x in (one.joined, one.decoded.encode(), spans))
 
 
-_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _FULL = "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string"
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
-def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
+def _each(docs: DataFrame, model_path: str, schema: str, columns) -> DataFrame:
+    """doc_id and what ``columns`` makes of every list of encoded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
+        model = piece_model(model_path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = [model.digests(t or b"") for t in batch["text"].cast(pa.binary()).to_pylist()]
-                n, ids, text = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                texts = [model.encoded(t or b"") for t in batch["text"].cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *columns(texts)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DIGESTS)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per document: doc_id, ids, starts and ends (original bytes of each piece), decoded."""
+    numbers = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+    return _each(docs, model_path, _FULL, lambda t: [numbers([e.ids for e in t]), numbers([e.starts for e in t]), numbers([e.ends for e in t]), pa.array([e.decoded for e in t], pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                texts = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
-                ids = [model.encode(t) for t in texts]
-                spans = [model.spans(t, i) for t, i in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())),
-                    pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())), pa.array([model.decode(i) for i in ids], pa.string()),
-                ], names=["doc_id", "ids", "starts", "ends", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, _FULL)
+
+def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """The same as digests: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256, spans_sha256."""
+
+    def columns(texts: list[Encoded]) -> list[pa.Array]:
+        rows = [digests(e) for e in texts]
+        return [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))]
+
+    return _each(docs, model_path, _DIGESTS, columns)

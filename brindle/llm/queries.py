@@ -86,13 +86,14 @@ _VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddi
 SQL: dict[str, str] = {
     "op2_lm_scores": f"""
 WITH {_WORDS},
-one AS (SELECT w, count(*) AS c FROM words GROUP BY w),
-pairs AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM words),
-two AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w),
+g AS (SELECT doc_id, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT w, count(*) AS c FROM g GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM g WHERE v IS NOT NULL GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
 scored AS (
-  SELECT p.doc_id, log10(CASE WHEN two.c >= 2 THEN two.c / ctx.c WHEN p.v IS NULL THEN one.c / n.n ELSE 0.4::DOUBLE * (one.c / n.n) END) AS s
-  FROM pairs p JOIN one ON p.w = one.w LEFT JOIN one ctx ON p.v = ctx.w LEFT JOIN two ON p.v = two.v AND p.w = two.w
-  CROSS JOIN (SELECT count(*) AS n FROM words) n)
+  SELECT g.doc_id, log10(CASE WHEN c3.c >= 2 THEN c3.c / x2.c WHEN c2.c >= 2 THEN c2.c / x1.c ELSE c1.c / n.n END * CASE WHEN g.u IS NULL OR c3.c >= 2 THEN 1 ELSE 0.4::DOUBLE END * CASE WHEN g.v IS NULL OR c2.c >= 2 THEN 1 ELSE 0.4::DOUBLE END) AS s
+  FROM g JOIN one c1 ON g.w = c1.w LEFT JOIN one x1 ON g.v = x1.w LEFT JOIN two c2 ON g.v = c2.v AND g.w = c2.w LEFT JOIN two x2 ON g.u = x2.v AND g.v = x2.w
+  LEFT JOIN three c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w CROSS JOIN (SELECT count(*) AS n FROM words) n)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 4) AS log10_score, round(sum(s) / len(ws), 6) AS mean_log10
 FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id, len(ws)""",
     "op5_substring_dedup": f"""

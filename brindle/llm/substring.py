@@ -30,8 +30,8 @@ from brindle.llm.common import SECOND, SHARD_BYTES, bucket_slices, mix, planes,
 
 #: Difference covers: period -> places. Fixed values of the planar difference sets.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: 8-byte keys that one bucket holds at about this number.
-BUCKET_KEYS = 1_000_000
+#: 8-byte keys that one bucket holds at about this number, and bytes of a word with what parts it from the next.
+BUCKET_KEYS, WORD_BYTES = 1_000_000, 6
 
 _REPLY = "shard int, kind int, bucket int, bits binary"
 
@@ -92,13 +92,14 @@ def _sorted(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, runs(*(k[order] for k in keys))
 
 
-def _pack_anchors(table: pa.Table, window: int, n_buckets: int):
+def _pack_anchors(table: pa.Table, window: int):
+    """A shard, its anchors' starts and hashes, the distinct hashes and which of them occur more than once."""
     shard = Shard(table, window)
-    at, keys = shard.anchors()
-    keys = np.sort(keys)
+    at, hashes = shard.anchors()
+    keys = np.sort(hashes)
     first = np.flatnonzero(runs(keys)) if len(keys) else np.zeros(0, np.int64)
     many = np.diff(np.append(first, len(keys))) > 1
-    return shard, at, keys[first], many
+    return shard, at, hashes, keys[first], many
 
 
 def _flags(replies: pa.Table, kind: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -113,10 +114,9 @@ def _flags(replies: pa.Table, kind: int, keys: np.ndarray, n_buckets: int) -> np
 
 def _candidates(docs: pa.Table, replies: pa.Table, window: int, n_buckets: int):
     """A shard's windows around repeated anchors: starts, and their distinct hashes with the first of each."""
-    shard, at, keys, _ = _pack_anchors(docs, window, n_buckets)
+    shard, at, hashes, keys, _ = _pack_anchors(docs, window)
     flags = _flags(replies, 1, keys, n_buckets)
     if len(at):
-        _, hashes = shard.anchors()
         at = at[flags[np.searchsorted(keys, hashes)]]
     start = shard.windows(at) if len(at) else np.zeros(0, np.int64)
     one = rolling(shard.hashes, window)[start] if len(start) else np.zeros(0, np.uint64)
@@ -127,17 +127,18 @@ def _candidates(docs: pa.Table, replies: pa.Table, window: int, n_buckets: int):
     return shard, start, group, one[order][first], two[order][first], order[first]
 
 
-def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def windows_table(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = (), bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the text left) and the columns in ``keep``.
 
     The kept words are joined by one space; ``kept`` is the text itself where nothing is removed.
     """
     n_shards = shard_count(docs, shard_bytes)
-    n_buckets = n_shards
+    period, cover, _ = cover_for(window)
+    n_buckets = max(1, n_shards * shard_bytes * len(cover) // (WORD_BYTES * period * bucket_keys))
     texts = sharded(docs, n_shards, keep)
 
     def emit_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, keys, many = _pack_anchors(table, window, n_buckets)
+        _, _, _, keys, many = _pack_anchors(table, window)
         rows = bucket_slices(keys, n_buckets)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
@@ -219,11 +220,11 @@ def _reply(table: pa.Table, key, parts: list[np.ndarray], flag: np.ndarray, kind
     })
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, with_text: bool = False, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = (), bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier.
 
     Returns one row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one
     space, lowercase hex) and, with ``with_text``, kept; then the columns in ``keep``, unchanged. See
     the module for the defined cases.
     """
-    return windows_table(docs, window, with_text, shard_bytes, keep)
+    return windows_table(docs, window, with_text, shard_bytes, keep, bucket_keys)

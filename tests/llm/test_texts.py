@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import language, lm_score, pii, substring
 from tests.llm.data import awkward, documents, empty, sentence
@@ -35,7 +37,7 @@ def test_substring_equals_brute_force(spark):
         parts = [rng.choice([sentence(rng, rng.randrange(0, 30)), rng.choice(passages), "a b " * rng.randrange(0, 30)]) for _ in range(4)]
         rows.append((i, " ".join(parts)))
     rows += [(80, None), (81, ""), (82, "x " * 200), (83, "\xa0 ".join("abcdefghijklmnopqrstuvwxyz"))]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(documents(spark, rows), shard_bytes=2000).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(documents(spark, rows), shard_bytes=2000, bucket_keys=100).collect()}
     assert got == substring_brute(rows)
 
 
@@ -44,21 +46,26 @@ def test_substring_carries_columns(spark):
     assert (row["kept"], row["lang"], row["shard"], row["n_chars"]) == ("a  b\n", "en", 3, 5)
 
 
-def test_lm_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_equal_brute_force(spark, order):
     rng = random.Random(2)
-    rows = [(i, sentence(rng, rng.randrange(0, 60))) for i in range(60)] + [(99, None)]
-    one, two = Counter(), Counter()
-    for _, t in rows:
-        w = (t or "").split()
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    n = sum(one.values())
-    got = {r["doc_id"]: r for r in lm_score.lm_scores(documents(spark, rows), shard_bytes=1000).collect()}
-    for i, t in rows:
-        w = (t or "").split()
-        s = sum(math.log10(two[p, x] / one[p] if p is not None and two[p, x] >= 2 else one[x] / n * (1 if p is None else 0.4)) for p, x in zip([None, *w], w))
-        assert got[i]["n_words"] == len(w) and abs(got[i]["log10_score"] - s) < 1e-6
-        assert got[i]["mean_log10"] is None if not w else abs(got[i]["mean_log10"] - s / len(w)) < 1e-6
+    base = sentence(rng, 300).split()
+    rows = [(i, sentence(rng, rng.randrange(0, 60)) + " " + " ".join(base[(k := rng.randrange(250)) : k + rng.randrange(50)])) for i in range(60)] + [(99, None)]
+    counts = Counter(tuple(w[i : i + n]) for _, t in rows for w in [(t or "").split()] for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    n_all = sum(c for g, c in counts.items() if len(g) == 1)
+
+    def score(gram):
+        if len(gram) == 1:
+            return counts[gram] / n_all
+        return counts[gram] / counts[gram[:-1]] if counts[gram] >= 2 else 0.4 * score(gram[1:])
+
+    for run in (lambda d: lm_score.lm_scores(d, order, shard_bytes=1000), lambda d: lm_score.lm_scores_by_rows(d, order)):
+        got = {r["doc_id"]: r for r in run(documents(spark, rows)).collect()}
+        for i, t in rows:
+            w = (t or "").split()
+            s = sum(math.log10(score(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))
+            assert got[i]["n_words"] == len(w) and abs(got[i]["log10_score"] - s) < 1e-6
+            assert got[i]["mean_log10"] is None if not w else abs(got[i]["mean_log10"] - s / len(w)) < 1e-6
 
 
 def spread(spark):
@@ -132,7 +139,8 @@ def test_pii_base_spans_equal_the_patterns(spark, model):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), repr(t)
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
-        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(filter(None, got[i]["spans"].split(",")))
+        found = list(filter(None, got[i]["spans"].split(",")))
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(found) and got[i]["n_spans"] == len(found)
 
 
 def test_pii_method_adds_and_rejects(spark, model):
@@ -140,6 +148,46 @@ def test_pii_method_adds_and_rejects(spark, model):
     assert "email:" in got[1] and "phone:" in got[2] and got[3] == ""
 
 
+def test_pii_held_out_templates(spark, model):
+    """Texts of templates that no tree has seen: what is accepted is nearly always right, and most is."""
+    x, y, template = pii._proposals(spark, 4000)
+    total = sum(pii._apply(t, x) for t in model.trees)
+    accepted = 1 / (1 + np.exp(-(model.slope * total + model.shift))) >= model.threshold
+    held = template % 4 == 1
+    assert y[held & accepted].mean() >= 0.95 and accepted[held & (y == 1)].mean() >= 0.6
+
+
+def test_pii_adds_spans_on_planted_rows(spark, model):
+    rng = random.Random(9)
+    docs = [r for r in spread(spark).select("doc_id", "text").filter("length(text) > 200").orderBy("doc_id").limit(120).collect()]
+    secret = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    makes = [lambda: f'token = "{secret()}"', lambda: f"call me: {rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}", lambda: f"write to jo{rng.randrange(99)} (at) mail.example.com"]
+    rows, want = [], {}
+    for i, r in enumerate(docs):
+        head, tail = r["text"][:100] + " ", " " + r["text"][100:]
+        inner = makes[i % 3]() if i % 2 else "and no more than that"
+        rows.append((i, head + inner + tail))
+        want[i] = (len(head), len(head) + len(inner)) if i % 2 else None
+    before = {r["doc_id"]: r["n_spans"] for r in pii.find(documents(spark, list(enumerate(d["text"] for d in docs))), model).collect()}
+    got = {r["doc_id"]: r for r in pii.find(documents(spark, rows), model).collect()}
+    caught = [any(want[i][0] <= s["start"] and s["end"] <= want[i][1] for s in got[i]["found"]) for i in want if want[i]]
+    assert sum(caught) / len(caught) >= 0.9
+    assert all(got[i]["n_spans"] == before[i] for i in want if not want[i])
+
+
+def test_pii_many_matches_in_one_text(spark, model):
+    text = " ".join(f"u{i}@h.example.org" for i in range(6000))
+    row = pii.find(documents(spark, [(1, text)]), model).first()
+    assert row["n_email"] == 6000 and row["found"][5999]["end"] == len(text)
+
+
+def test_pii_leaves_columns_of_its_own_names_alone(spark, model):
+    docs = documents(spark, [(1, "a@b.co")]).withColumn("found", F.lit("mine")).withColumn("n_email", F.lit(7))
+    row = pii.redact(docs, model).first()
+    assert (row["text"], row["_text"], row["found"], row["n_email"], row["shard"]) == ("[EMAIL]", "y", "mine", 7, 3)
+    assert pii.find(docs, model, ("doc_id", "found", "_text")).first()["n_email"] == 1
+
+
 def test_pii_redacts(spark, model):
     got = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, [(1, "😀 a@b.co!"), (2, None), (3, "none")]), model).collect()}
     assert got == {1: "😀 [EMAIL]!", 2: None, 3: "none"}

@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from brindle.llm import packing, pieces
@@ -29,6 +31,37 @@ def test_pieces_equal_the_library(spark):
         assert tuple(got[i][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")) == want, repr(t)
 
 
+def test_normaliser_equals_the_library():
+    """The compiled map of the library's own rules, as no model here has a map."""
+    for rule in ("nmt_nfkc", "nmt_nfkc_cf"):
+        for remove in (True, False):
+            library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=remove)
+            proto = sentencepiece_model_pb2.ModelProto()
+            proto.ParseFromString(library.serialized_model_proto())
+            spec = proto.normalizer_spec
+            own = pieces.Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+            for text in ["  ﬁne ½ Å  e\u0301 ㌔  x ", "日本\u3000語", "", "   ", "a¨b \u3000 ", "①②ｱ ﾞ", "cafe\u0301 ΣΑΣ", "\x00\x07a\tb\nc", "😀" * 3]:
+                data = text.encode()
+                norm, source = own(data)
+                want, offsets = library.normalize(text, with_offsets=True)
+                assert norm.decode() == want, repr(text)
+                cuts = np.cumsum([0, *(len(c.encode()) for c in want)])
+                assert [len(data[: source[k]].decode()) for k in cuts] == offsets, repr(text)
+
+
+def test_query_spans_equal_the_library(spark):
+    texts = ["hello  wörld. A b", "日本 ab 😀 c", "a\nb", "▁x y", "tab\tand ½"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in pieces.encode(documents(spark, list(enumerate(texts))), PIECES).collect()}
+    digest = {r["doc_id"]: r["spans_sha256"] for r in pieces.encode_digests(documents(spark, list(enumerate(texts))), PIECES).collect()}
+    for i, t in enumerate(texts):
+        proto = sp.encode(t, return_type="proto")
+        assert got[i]["ids"] == [p.id for p in proto.pieces]
+        want = [(p.begin, p.end) for p in proto.pieces]
+        assert list(zip(got[i]["starts"], got[i]["ends"])) == want, repr(t)
+        assert digest[i] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+
+
 def test_spans_cover_the_source(spark):
     texts = ["hello  wörld", "日本 ab", "a\nb"]
     for r in pieces.encode(documents(spark, list(enumerate(texts))), PIECES).collect():
@@ -86,6 +119,42 @@ def test_crossover_keeps_every_item():
     assert sorted(i for c in child for i in c) == list(range(80)) and max(sum(sizes[i] for i in c) for c in child) <= 100
 
 
+def uneven(seed):
+    """120 sizes of 20 to 100 for sequences of 150: best fit mostly needs one or two more than the bound."""
+    rng = random.Random(seed)
+    return [rng.randint(20, 100) for _ in range(120)]
+
+
+def test_evolution_packs_tighter_than_best_fit():
+    above = better = 0
+    for seed in range(100, 108):
+        sizes = uneven(seed)
+        bound, plain = -(-sum(sizes) // 150), len(packing.best_fit([], list(range(len(sizes))), sizes, 150))
+        bins = packing.evolve(sizes, 150, seed, [], generations=150)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= 150
+        assert bound <= len(bins) <= plain
+        above += plain > bound
+        better += len(bins) < plain
+    assert above >= 6 and better >= 3
+
+
+def test_islands_with_migration_pack_tighter_than_best_fit(spark):
+    better = 0
+    for seed in (101, 102, 104):
+        sizes = uneven(seed)
+        frame = spark.createDataFrame([(i, 0, 0, n, 0, i * 7919 % 1000) for i, n in enumerate(sizes)], packing._PIECE)
+        rows = packing.pack(frame, 150).collect()
+        better += len({r["sequence_id"] for r in rows}) < len(packing.best_fit([], list(range(len(sizes))), sizes, 150))
+    assert better >= 2
+
+
+def test_other_tokenizers_take_whole_texts():
+    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a  b\nc", "", "x, y. z"]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not words.by_words and [list(np.frombuffer(x, "<u4")) for x in words.texts(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_awkward_and_empty(spark):
     assert pieces.encode_digests(awkward(spark), PIECES).count() == 13
     assert len({(r["doc_id"], r["piece"]) for r in packing.pack_documents(awkward(spark), WORDS).collect()}) >= 10

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,22 +42,45 @@ def test_round_trip(spark):
     assert sorted(tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == expected(rows)
 
 
-def test_many_blocks(spark, tmp_path):
-    rows = [(i, "u", "z" * (37 * i % 900)) for i in range(300)]
-    for compression, block in (("none", 64), ("gzip", 1000), ("gzip", 1 << 20)):
-        path = f"file://{tmp_path}/{block}"
+def test_many_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choices("abcdefgh<>\r\n", k=37 * i % 900))) for i in range(300)]
+    want = sorted(x[:3] for x in expected(rows))
+    for compression, size in (("none", 64), ("none", 5000), ("gzip", 300), ("gzip", 8 << 20)):
+        path = f"file://{tmp_path}/{compression}{size}"
         warc.write_archives(pages(spark, rows).coalesce(1), path, compression=compression)
-        assert warc.read_archives(spark, path, block).count() == 300
+        got = warc.read_archives(spark, path, size).select("page_id", "payload_bytes", "payload_digest").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_members_are_plain_gzip_with_a_record_each(spark, tmp_path):
+    rows = [(i, "u", f"body {i} " * 50) for i in range(4)]
+    warc.write_archives(pages(spark, rows).coalesce(1), f"file://{tmp_path}/a")
+    (name,) = (tmp_path / "a" / "gz").glob("part-*")
+    data, heads = name.read_bytes(), []
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 4
+    while data:
+        one = zlib.decompressobj(31)
+        heads.append(one.decompress(data)[:10])
+        data = one.unused_data
+    assert heads == [b"WARC/1.1\r\n"] * 4
 
 
 def test_broken_chain_ends_before_the_damage(spark, tmp_path):
     values = [r["value"] for r in warc.archive_records(pages(spark, [(i, "u", f"body {i}") for i in range(5)]).coalesce(1)).collect()]
-    data = b"".join(v.encode() + b"\n" for v in values)
+    data = b"".join(v.encode() for v in values)
     third = data.index(b"body 3")
     (tmp_path / "a.warc").write_bytes(data[:third] + data[third + 1 :])
     (tmp_path / "b.warc").write_bytes(data[:-3])
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(v.encode()) for v in values[:3]) + b"\x1f\x8b\x08\0rubbish")
     got = {r["file"].rsplit("/", 1)[1]: r["n"] for r in warc.read_archives(spark, f"file://{tmp_path}").groupBy("file").agg(F.count("*").alias("n")).collect()}
-    assert got == {"a.warc": 3, "b.warc": 4}
+    assert got == {"a.warc": 3, "b.warc": 4, "c.warc.gz": 3}
+
+
+def test_very_large_payload(spark):
+    rows = [(0, "u", "before"), (1, "u", "é0123456789" * 1_500_000), (2, "u", "after")]
+    got = warc.round_trip(pages(spark, rows).coalesce(1)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected(rows)
 
 
 def test_repeated_and_null_ids_and_empty(spark):

@@ -30,6 +30,19 @@ def strategy(intent_: Column, certainty: Column, threshold: float = 0.65) -> Col
     return F.when(certainty < threshold, "hybrid").otherwise(chosen)
 
 
+# What names a metric and a dimension in a question, in order of priority.
+METRIC_WORDS = {"median_comments": ("median", "中位"), "sum_reactions": ("reaction", "点赞")}
+DIMENSION_WORDS = {"source_type": ("source", "来源", "类型"), "label": ("label", "标签"), "month": ("month", "月", "趋势"), "state": ("state", "状态")}
+
+
+def aggregate_spec(question: Column) -> Column:
+    """(metric, dimension) that a question asks for; count by repository if it names none."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    named = lambda words: reduce(lambda a, b: a | b, map(q.contains, words))
+    first = lambda table, default: F.coalesce(*(F.when(named(words), name) for name, words in table.items()), F.lit(default))
+    return F.struct(first(METRIC_WORDS, "count").alias("metric"), first(DIMENSION_WORDS, "repository").alias("dimension"))
+
+
 def confidence(sources: Column, high: int = 3) -> Column:
     """high, medium or low by the number of sources that differ in more than case and outer space."""
     n = F.size(F.array_distinct(F.transform(sources, lambda x: F.lower(F.trim(x)))))

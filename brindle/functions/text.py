@@ -58,7 +58,7 @@ def html_to_markdown(html: Column) -> Column:
     md = F.regexp_replace(md, r"(?s)<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         md = F.replace(md, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(md, r"\n\s*\n\s*(?:\n\s*)+|\n[ \t]*\n", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(md, r"\n\s*\n\s*(?:\n\s*)+|\n[ \t]*\n", "\n\n"), r"^[\x20\t\r\n]+|[\x20\t\r\n]+$", "")
 
 
 def cut_at_line(text: Column, n: int) -> Column:
@@ -154,6 +154,48 @@ def json_in_text(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
+def ilike(text: Column, term: Column | str) -> Column:
+    """True where the text holds the term, whatever the case; % and _ in the term stand for themselves."""
+    pattern = F.regexp_replace(F.lit(term) if isinstance(term, str) else term, r"([\\%_])", r"\\$1")
+    return F.call_function("ilike", text, F.concat(F.lit("%"), pattern, F.lit("%")))
+
+
+def utc(text: Column) -> Column:
+    """An ISO-8601 text as a timestamp, one without a zone as UTC; null if it is none. The session's zone must be UTC."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "[zZ]$", "+00:00"))
+
+
+def iso_z(at: Column) -> Column:
+    """A timestamp as ISO-8601 in UTC, ending in Z, microseconds only where there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, ".SSSSSS")
+    return F.concat(whole, F.when(micros == ".000000", "").otherwise(micros), F.lit("Z"))
+
+
+def label_names(labels: Column) -> Column:
+    """Names of a JSON list of labels, each an object with a name or a string; empty ones go, and what is no list has none."""
+    items = F.from_json(labels, "array<string>")
+    name = lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))
+    return F.coalesce(F.filter(F.transform(items, name), lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
+
+
+def in_document_scope(path: Column, extensions: tuple[str, ...] = ("md", "mdx", "rst", "txt")) -> Column:
+    """True for a README at the root or a text file below docs/; paths that are absolute or climb are not."""
+    p = F.regexp_replace(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
+    ends = "|".join(extensions)
+    fine = ~p.rlike(r"^/|(?:^|/)\.\.(?:/|$)")
+    return F.coalesce(fine & p.rlike(rf"(?i)^readme(?:\.(?:[^/]*\.)?(?:{ends}))?$|^docs/(?:.*/)?[^/]+\.(?:{ends})$"), F.lit(False))
+
+
+def is_html_url(url: Column, host: str = "github.com") -> Column:
+    """True for an https url of the host itself."""
+    return F.coalesce(F.lower(url).rlike(rf"^https://{host.replace('.', '[.]')}(?:[/?#]|$)"), F.lit(False))
+
+
+def round_half_even(value: Column, digits: int = 0) -> Column:
+    return F.bround(value, digits)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

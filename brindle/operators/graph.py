@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared folder."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from brindle.sources.shared import cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -40,7 +27,8 @@ def one_hop(edges: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = 500) -> DataFrame:
-    """Nodes within ``hops`` of the seeds, the first ``max_nodes`` by hop, then name (the limit is the feature)."""
+    """Nodes within ``hops`` (1 or 2) of the seeds, the first ``max_nodes`` by hop, then name (the limit is the feature)."""
+    hops = min(max(hops, 1), 2)
     found = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         more = one_hop(edges, found.select("node")).withColumn("hop", F.lit(hop))
@@ -48,6 +36,13 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = 5
     return found.orderBy("hop", "node").limit(max_nodes)
 
 
+def induced(edges: DataFrame, nodes: DataFrame, max_edges: int = 2000) -> DataFrame:
+    """The first ``max_edges`` edges, in order of their ends, both of which are among ``nodes`` (the limit is the feature)."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+    return edges.orderBy("src", "dst").limit(max_edges)
+
+
 def overview(edges: DataFrame, n: int) -> DataFrame:
     """Edges among the ``n`` nodes of highest degree (1 to 250)."""
     n = min(max(n, 1), 250)
@@ -70,7 +65,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     """
     flow = both_ways(edges.select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = flow.groupBy("src").agg(F.sum("weight").alias("total"))
-    flow = _cut(flow.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    flow = cut(flow.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "flow")
     nodes = flow.select(F.col("src").alias("node")).distinct()
     weight = F.greatest("weight", F.lit(0.0))
     sums = seeds.join(nodes, "node", "left_semi").agg(F.sum(weight).alias("s"), F.count("*").alias("n")).first()
@@ -79,14 +74,14 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     else:
         part = weight / sums["s"] if sums["s"] else F.lit(1.0 / sums["n"])
         start = nodes.join(seeds.select("node", part.alias("seed")), "node", "left").fillna(0.0, ["seed"])
-    start = _cut(start)
+    start = cut(start, "start")
     n = start.count()
     rank = start.select("node", F.col("seed").alias("score"))
     for i in range(iterations):
         sent = rank.join(flow, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         after = start.join(sent, F.col("node") == F.col("dst"), "left").select("node", (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
         if (i + 1) % cut_every == 0:
-            after = _cut(after)
+            after = cut(after, "ranks")
             before = rank.withColumnRenamed("score", "before")
             moved = after.join(before, "node").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0
             if moved < n * tolerance:
@@ -95,6 +90,41 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     return rank
 
 
+def damp_hubs(scores: DataFrame, doc_freq: DataFrame) -> DataFrame:
+    """node, score: the mass of a node that many documents name counts less, by 1 / ln(2 + doc_freq)."""
+    named = scores.join(doc_freq.select("node", "doc_freq"), "node", "left")
+    return named.select("node", (F.col("score") / F.log(F.lit(2.0) + F.coalesce("doc_freq", F.lit(0)))).alias("score"))
+
+
+def merge_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """All edges after an insert, and the degree of both ends with it: (edges, degrees)."""
+    columns = ["source_id", "src", "dst", "weight"]
+    whole = edges.select(*columns).unionByName(more.select(*columns))
+    ends = whole.select("source_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    return whole, ends.groupBy("source_id", "node").agg(F.count("*").alias("degree"))
+
+
+def link_chunks(links: DataFrame, more: DataFrame) -> DataFrame:
+    """Links of nodes to chunks after an insert: a link that is there already stays as it is."""
+    keys = ["source_id", "node", "chunk"]
+    return links.select(*keys).unionByName(more.select(*keys)).dropDuplicates(keys)
+
+
+def pending(chunks: DataFrame, progress: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` chunks, in order, that no run has completed (the cap is the feature)."""
+    done = progress.filter("status = 'completed'").select("source_id", "chunk").distinct()
+    return chunks.select("source_id", "chunk").join(done, ["source_id", "chunk"], "left_anti").orderBy("source_id", "chunk").limit(cap)
+
+
+def segments(sources: DataFrame, with_graph: DataFrame) -> DataFrame:
+    """source_id, place, has_graph, segment: neighbouring sources without a graph are one batch, each with one is its own."""
+    flag = with_graph.select("source_id").distinct().withColumn("_g", F.lit(True))
+    known = sources.join(flag, "source_id", "left").withColumn("has_graph", F.coalesce("_g", F.lit(False))).drop("_g")
+    order = Window.orderBy("place")  # the sources of one question are few
+    fresh = F.col("has_graph") | F.coalesce(F.lag("has_graph").over(order), F.lit(True))
+    return known.withColumn("_fresh", fresh.cast("int")).withColumn("segment", F.sum("_fresh").over(order) - 1).drop("_fresh")
+
+
 def normalize_entities(entities: DataFrame) -> DataFrame:
     """Nameless entities go; the key is the name trimmed, in lower case; a weight that is no number is 1."""
     name = F.lower(F.trim("name"))

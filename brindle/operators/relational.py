@@ -76,12 +76,96 @@ def confirm_missing(state: DataFrame, seen: DataFrame, key: str, after: int = 2)
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
-    """One graph node per (source_id, normalized_name): mentions counted, first type, descriptions that differ in order of place."""
-    listed = F.array_sort(F.collect_list(F.struct("place", "description")))
-    texts = F.filter(F.array_distinct(F.transform(listed, lambda x: x["description"])), lambda x: x != "")
-    return mentions.groupBy("source_id", "normalized_name").agg(
-        F.count("*").alias("doc_freq"), F.min_by("type", F.when(F.col("type").isNotNull(), F.col("place"))).alias("type"), F.array_join(texts, " ").alias("description")
-    )
+    """One graph node per (source_id, normalized_name): mentions counted, first type, descriptions that differ in order of place.
+
+    Equal descriptions meet before they are listed, so a node of many mentions is as large as what they say.
+    """
+    keys = ["source_id", "normalized_name"]
+    typed = F.min(F.when(F.col("type").isNotNull(), F.struct("place", "type")))
+    first = mentions.groupBy(*keys, "description").agg(F.count("*").alias("n"), F.min("place").alias("place"), typed.alias("t"))
+    said = F.array_sort(F.collect_list(F.when(F.col("description") != "", F.struct("place", "description"))))
+    merged = first.groupBy(*keys).agg(F.sum("n").alias("doc_freq"), F.min("t").alias("t"), F.array_join(F.transform(said, lambda x: x["description"]), " ").alias("description"))
+    return merged.select(*keys, "doc_freq", F.col("t.type").alias("type"), "description")
+
+
+def replace_by_path(index: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """A chunk index after whole paths were read again: all their old chunks go, the new ones come."""
+    return index.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*index.columns))
+
+
+def delete_by_path(index: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """A chunk index without the chunks of some paths (or sources, whatever ``keys`` name)."""
+    return index.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def upsert_by_key(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the source, and those of the target whose key it has not; keys are unique on each side."""
+    return source.select(*target.columns).unionByName(target.join(source.select(*keys), keys, "left_anti"))
+
+
+def mark_seen(rows: DataFrame, seen: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows with ``seen_at`` set to ``at`` where they were seen."""
+    flag = seen.select(key).distinct().withColumn("_seen", F.lit(True))
+    return rows.join(flag, key, "left").withColumn("seen_at", F.when(F.col("_seen"), F.lit(at).cast("timestamp_ntz")).otherwise(F.col("seen_at"))).drop("_seen")
+
+
+def changed_first(changed: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Per key the row that an update changed, else the one that is there, with ``changed``."""
+    both = changed.withColumn("changed", F.lit(True)).unionByName(existing.withColumn("changed", F.lit(False)))
+    rest = [c for c in both.columns if c not in (key, "changed")]
+    top = both.groupBy(key).agg(F.max_by(F.struct(*rest), "changed").alias("_top"), F.max("changed").alias("changed"))
+    return top.select(key, *(F.col(f"_top.{c}").alias(c) for c in rest), "changed")
+
+
+def owns_all(rows: DataFrame, asked: DataFrame, key: str, owner: Column) -> DataFrame:
+    """One row, ok: true if every id that is asked for is a row of the owner."""
+    mine = rows.filter(owner).select(key).distinct().withColumn("_mine", F.lit(1))
+    return asked.select(key).distinct().join(mine, key, "left").agg((F.count("_mine") == F.count("*")).alias("ok"))
+
+
+def owned_by(rows: DataFrame, owners: DataFrame, key: str, user: str) -> DataFrame:
+    """Rows whose parent (``key`` in ``owners``) is the user's, looked up again on each read."""
+    return rows.join(owners.filter(F.col("user_id") == user).select(key), key, "left_semi")
+
+
+def with_label(rows: DataFrame, labels: DataFrame, key: str, wanted: bool) -> DataFrame:
+    """Rows with the label of a dimension where it is grouped by, else with none; rows without one stay."""
+    return rows.join(labels.select(key, "label"), key, "left") if wanted else rows.withColumn("label", F.lit(None).cast("string"))
+
+
+def with_progress(sources: DataFrame, progress: DataFrame, key: str) -> DataFrame:
+    """Sources with a state: none without progress, else failed, processing or done by its status."""
+    state = F.when(F.col("status").isNull(), "none").when(F.col("status") == "failed", "failed").when(F.col("done") < F.col("total"), "processing").otherwise("done")
+    return sources.join(progress.select(key, "status", "done", "total"), key, "left").withColumn("state", state).drop("status", "done", "total")
+
+
+def fixture_filter(rows: DataFrame, repositories: list[str], sources: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of the repositories and source types, whatever the case; with a bound on the day, rows without one go."""
+    for column, names in (("repository", repositories), ("source_type", sources)):
+        if names:
+            rows = rows.filter(F.lower(column).isin(*(n.lower() for n in names)))
+    for bound, keep in ((since, lambda b: F.col("day") >= b), (until, lambda b: F.col("day") <= b)):
+        if bound:
+            rows = rows.filter(keep(F.lit(bound).cast("date")))
+    return rows
+
+
+def report(rows: DataFrame, section: list[str], order: str, line: str) -> DataFrame:
+    """The section columns and report: a Markdown heading of them, and a list of its lines in order. A section is one text, so as small as a reader wants it."""
+    listed = F.array_sort(F.collect_list(F.struct(order, line)))
+    lines = F.transform(listed, lambda x: F.concat(F.lit("- "), x[line]))
+    title = F.concat_ws(" ", F.lit("##"), *(F.col(c).cast("string") for c in section))
+    return rows.groupBy(*section).agg(F.array_join(lines, "\n").alias("_lines")).select(*section, F.concat(title, F.lit("\n"), F.col("_lines")).alias("report"))
+
+
+def report_claims(claims: DataFrame, section: str, key: str, kind: str, cited: str) -> DataFrame:
+    """section, key, kind, first: claims split by kind, one that cites nothing is a risk; ``first`` marks the first claim of each source.
+
+    Sources meet by a hash, so a section however large is dealt to many tasks.
+    """
+    tagged = claims.select(section, key, F.when(F.col(cited).isNull(), "risk").otherwise(F.col(kind)).alias(kind), F.xxhash64(cited).alias("_h"), F.col(cited).isNull().alias("_none"))
+    heads = tagged.filter("not _none").groupBy(section, "_h").agg(F.min(key).alias(key)).select(section, key, F.lit(True).alias("first"))
+    return tagged.join(heads, [section, key], "left").select(section, key, kind, F.coalesce("first", F.lit(False)).alias("first"))
 
 
 def keep_or_reset(progress: DataFrame, attempt: DataFrame, key: str) -> DataFrame:

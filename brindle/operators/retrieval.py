@@ -1,35 +1,79 @@
 """Vector search, keyword search, rank fusion and its evaluation.
 
-Few queries are compared with all rows: the query side is bounded by its caller and is broadcast
-behind a check of its size; every comparison stays in generated code, and only the best rows of a
-task reach the next stage.
+Queries are compared with all rows in blocks of both; only the best rows of a tile reach the next stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 from brindle.functions.text import words
+from brindle.sources.shared import cut
 
-#: Queries that a search takes at once; their vectors are broadcast.
-MAX_QUERIES = 1000
+#: Queries and rows of a tile.
+QUERY_BLOCK, ROW_BLOCK = 1024, 32768
+#: Search terms whose set travels with the plan; more are joined.
+MAX_TERMS = 20_000
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", within: list[str] | None = None) -> DataFrame:
     """query_id, vec_id, score, rank (from 1): the k best rows of every query, exactly; per ``within`` group if given.
 
     ``rows`` has vec_id and embedding, ``queries`` query_id and query. measure is cosine (larger is
-    nearer) or l2 (squared, smaller is nearer); ties go to the smaller vec_id.
+    nearer) or l2 (squared, smaller is nearer), rounded to 6 places; ties go to the smaller vec_id. Both sides are dealt into blocks;
+    a pair of blocks is a tile that returns its k best. Vectors of another length than the queries' (the longest) or
+    with null or non-finite components take no part, nor do zero vectors by cosine.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
-    score = {"cosine": V.cosine(F.col("embedding"), F.col("query")), "l2": V.squared_l2(F.col("embedding"), F.col("query"))}[measure]
-    scored = rows.join(F.broadcast(queries)).select("query_id", "vec_id", *(within or []), F.round(score, 6).alias("score")).filter("score is not null")
+    within = within or []
+    width = queries.agg(F.max(F.size("query"))).first()[0] or 0
+    fine = lambda c: V.finite(F.col(c), width) if measure == "cosine" else V.finite(F.col(c), width) | (F.size(c) == width) & F.forall(c, lambda v: v == 0)
+    left = queries.filter(fine("query")).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    right = rows.filter(fine("embedding")).select("vec_id", *within, F.col("embedding").cast("array<double>").alias("embedding"))
+    n_q, n_r = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // ROW_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("*", deal("query_id", n_q).alias("q"), every(n_r).alias("r"))
+    right = right.select("*", deal("vec_id", n_r).alias("r"), every(n_q).alias("q"))
+    groups = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in within)
+    ids = {"query_id": dict(queries.dtypes)["query_id"], "vec_id": dict(rows.dtypes)["vec_id"]}
+    schema = f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, {groups + ', ' if within else ''}score double"
+
+    def tile(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not (q.num_rows and r.num_rows):
+            return pa.table({f.name: pa.array([], f.type) for f in [q.schema.field("query_id"), r.schema.field("vec_id"), *(r.schema.field(c) for c in within), pa.field("score", pa.float64())]})
+        a, b = (np.asarray(t[c].combine_chunks().flatten(), dtype=float).reshape(-1, width) for t, c in ((q, "query"), (r, "embedding")))
+        if measure == "cosine":
+            score = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+        else:
+            score = (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
+        far = np.round(-score if measure == "cosine" else score, 6)
+        vec = r["vec_id"].to_numpy()
+        parts = {}
+        for i, g in enumerate(zip(*(r[c].to_pylist() for c in within)) if within else [()] * len(vec)):
+            parts.setdefault(g, []).append(i)
+        at_q, at_r = [], []
+        for members in map(np.array, parts.values()):
+            own = far[:, members]
+            limit = np.partition(own, k - 1, axis=1)[:, k - 1] if len(members) > k else np.full(len(own), np.inf)
+            for i, (row, most) in enumerate(zip(own, limit)):
+                near = np.flatnonzero(row <= most)
+                near = members[near[np.lexsort((vec[members[near]], row[near]))[:k]]]
+                at_q += [i] * len(near)
+                at_r += near.tolist()
+        found = r.take(pa.array(at_r, pa.int64())).select(["vec_id", *within])
+        value = far[at_q, at_r] if at_q else np.zeros(0)
+        return found.add_column(0, "query_id", q["query_id"].take(pa.array(at_q, pa.int64()))).append_column("score", pa.array(-value if measure == "cosine" else value))
+
+    scored = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(tile, schema)
     order = F.desc("score") if measure == "cosine" else F.asc("score")
-    w = Window.partitionBy("query_id", *(within or [])).orderBy(order, "vec_id")
+    w = Window.partitionBy("query_id", *within).orderBy(order, "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -59,22 +103,73 @@ def best_hit(hits: DataFrame, record: str, n: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank: keyword search by BM25 over lower-case words.
 
-    Terms meet the query's terms before anything is grouped, so only their postings are shuffled.
+    Each text is cut into words once; of those only the queries' terms go on, with the number of all, so that postings alone
+    are shuffled. Terms are a set in the plan up to ``MAX_TERMS`` of them, and a join beyond.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    tokens = docs.select("doc_id", F.size(words(F.col("text"))).alias("size"), words(F.col("text")).alias("ws"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(words(F.coalesce("text", F.lit(""))))).alias("mean"))
     wanted = terms.select("term").distinct()
-    postings = tokens.select("doc_id", "size", F.explode("ws").alias("term")).join(F.broadcast(wanted), "term").groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
+    tokens = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("ws"))
+    listed = [r["term"] for r in wanted.limit(MAX_TERMS + 1).collect()]
+    if len(listed) <= MAX_TERMS:
+        tokens = cut(tokens.select("doc_id", F.size("ws").alias("size"), F.filter("ws", lambda w: w.isin(listed)).alias("ws")), "terms")
+        every = tokens.select("doc_id", "size", F.explode("ws").alias("term"))
+    else:
+        tokens = tokens.select("doc_id", F.size("ws").alias("size"), "ws")
+        every = tokens.select("doc_id", "size", F.explode("ws").alias("term")).join(wanted, "term", "left_semi")
+    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean")).first()
+    postings = every.groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats)).join(F.broadcast(terms), "term")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    scored = postings.join(frequency, "term").join(terms, "term")
+    idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(stats["mean"] or 1.0)))
     total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def points_found(docs: DataFrame, points: DataFrame, run: int = 3) -> DataFrame:
+    """item_id, doc_id: texts that hold a point, case and white space aside. docs has doc_id and t, points item_id and point, both collapsed.
+
+    A point's first and last word may lie within words of a text; those between can't, so a text that holds
+    it shares its first inner run of ``run`` words. Points with fewer inner words are looked for in every text, a block of them at a time.
+    """
+    ws = F.split("point", " ")
+    anchored = points.filter(F.size(ws) >= run + 2).select("item_id", "point", F.xxhash64(F.slice(ws, 2, run)).alias("h"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (run - 1), F.lit(1)))
+    runs = docs.select("doc_id", F.split("t", " ").alias("ws")).filter(F.size("ws") >= run).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("ws", i, F.lit(run)))))).alias("h"))
+    pairs = runs.join(anchored.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    found = pairs.join(docs, "doc_id").join(anchored.select("item_id", "point"), "item_id").filter(F.col("t").contains(F.col("point"))).select("item_id", "doc_id")
+    short = points.filter(F.size(ws) < run + 2).select("item_id", "point")
+    blocks = max(1, -(-short.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        few = short.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        found = found.unionByName(docs.join(F.broadcast(few), F.col("t").contains(F.col("point"))).select("item_id", "doc_id"))
+    return found
+
+
+def seeds(nodes: DataFrame, question: DataFrame, k: int = 10) -> DataFrame:
+    """node, weight: the k nodes nearest to a question's vector by cosine, those without a vector left out; weights below 0 count as 0."""
+    named = nodes.filter("embedding is not null").select(F.col("node").alias("vec_id"), "embedding")
+    near = nearest(named, question, k)
+    return near.select(F.col("vec_id").alias("node"), F.greatest("score", F.lit(0.0)).alias("weight"))
+
+
+def per_source(hits: DataFrame, k: int, over: int = 1) -> DataFrame:
+    """Of ranked hits (source, rank) the first of every source: k split evenly over the sources, one at least, times ``over``."""
+    n = hits.agg(F.count_distinct("source").alias("n")).first()["n"]
+    return hits.filter(F.col("rank") <= max(1, k // max(n, 1)) * over)
+
+
+def ceiling(hits: DataFrame, chunks: int, n_sources: int) -> DataFrame:
+    """The first hits, at least one a source: max(chunks, n_sources) of them."""
+    return hits.orderBy("rank").limit(max(chunks, n_sources))
+
+
+def run_stages(hits: DataFrame, stages: list[Callable[[DataFrame, dict], DataFrame]], context: dict) -> DataFrame:
+    """Post-retrieval stages, functions of (hits, context), one after the other."""
+    return reduce(lambda found, stage: stage(found, context), stages, hits)
+
+
 def lexical_score(query: Column, text: Column, title: Column | None = None) -> Column:
     """Share of the query's words found in the text, and a quarter of the share found in the title."""
     q = F.array_distinct(words(query))
@@ -111,7 +206,3 @@ def prescreen(hits: DataFrame, keep: Column, max_keep: int) -> DataFrame:
 def rerank(hits: DataFrame, score: Column | None, n: int) -> DataFrame:
     """The ``n`` first by a score, or in the given order without one."""
     return hits.orderBy(*([F.desc_nulls_last(score)] if score is not None else []), "rank").limit(n)
-
-
-#: Retrieval strategies by name.
-RETRIEVERS = {"classic": nearest, "keyword": bm25}

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from brindle.operators.aggregates import reassemble
 
-#: A numeric cell: sums of money, percentages, negative numbers in brackets, a dash for none.
-_NUMBER = r"(?:\$*\(?-?\d[\d,.]*\)?%?|—)"
+# What makes a row. A numeric cell (money, percentages, negative numbers in brackets, a dash for none),
+# a label with dot leaders before its values, and a label before values that begin at a digit, a dollar sign or a bracket.
+NUMBER = r"(?:\$*\(?-?\d[\d,.]*\)?%?|—)"
+LEADER = r"^(.*?)\s*\.{3,}\s*(.+)$"
+TRAILING = r"^(.*?[^\s\d,.])\s+([\d$(].*)$"
 
 
 def tableize(docs: DataFrame, min_rows: int = 3) -> DataFrame:
@@ -22,12 +25,12 @@ def tableize(docs: DataFrame, min_rows: int = 3) -> DataFrame:
     """
     lines = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     bare = F.trim("raw")
-    leader = bare.rlike(r"^.*?\s*\.{3,}\s*.+$")
-    of = lambda group: F.when(leader, F.regexp_extract(bare, r"^(.*?)\s*\.{3,}\s*(.+)$", group)).otherwise(F.regexp_extract(bare, r"^(.*?[^\s\d,.])\s+([\d$(].*)$", group))
+    leader = bare.rlike(LEADER)
+    of = lambda group: F.when(leader, F.regexp_extract(bare, LEADER, group)).otherwise(F.regexp_extract(bare, TRAILING, group))
     label = F.regexp_replace(of(1), r"^[ .]+|[ .]+$", "")
     values = F.split(F.trim(F.regexp_replace(of(2), r"\$\s+", r"\$")), r"\s+")
     parsed = lines.select("doc_id", "line", "raw", leader.alias("leader"), label.alias("label"), values.alias("values"))
-    ok = (F.col("label") != "") & ~F.col("label").rlike(f"^{_NUMBER}$") & F.forall("values", lambda v: v.rlike(f"^{_NUMBER}$")) & (F.col("leader") | (F.size("values") >= 2))
+    ok = (F.col("label") != "") & ~F.col("label").rlike(f"^{NUMBER}$") & F.forall("values", lambda v: v.rlike(f"^{NUMBER}$")) & (F.col("leader") | (F.size("values") >= 2))
     in_doc = Window.partitionBy("doc_id", "ok").orderBy("line")
     island = Window.partitionBy("doc_id", "ok", "island")
     marked = parsed.withColumn("ok", ok).withColumn("island", F.col("line") - F.row_number().over(in_doc)).withColumn("width", F.size("values"))

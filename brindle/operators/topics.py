@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
+from brindle.sources.shared import cut
 
 # Words that never name a topic.
 STOPWORDS = (
@@ -29,7 +30,7 @@ def clusters(vectors: DataFrame, k: int | None = None, most: int = 12, iteration
     Vectors that can't be normalised take no part. The centroids (k of them, at most ``most``) are all
     that the driver holds; assignment and means run on the cluster.
     """
-    unit = vectors.select("vec_id", V.normalize(F.col("embedding")).alias("x")).filter("x is not null")
+    unit = cut(vectors.select("vec_id", V.normalize(F.col("embedding")).alias("x")).filter("x is not null"), "unit")
     n = unit.count()
     if not n:
         return unit.select("vec_id", F.lit(0).alias("cluster"))
@@ -59,15 +60,26 @@ def clusters(vectors: DataFrame, k: int | None = None, most: int = 12, iteration
 
 
 def labels(titles: DataFrame, n: int = 5) -> DataFrame:
-    """cluster, label: its ``n`` most frequent title words, ties in order."""
-    word = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-z][a-z0-9_'-]*|[一-鿿]{2,}"), F.lit(0)))
-    counts = titles.select("cluster", word.alias("word")).filter(~F.col("word").isin(*STOPWORDS) & (F.length("word") > 2)).groupBy("cluster", "word").agg(F.count("*").alias("n"))
+    """cluster, label: its ``n`` most frequent title words, ties in order; quotes, hyphens and underscores around a word go."""
+    word = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-z0-9][a-z0-9_'-]*|[一-鿿]{2,}"), F.lit(0)))
+    bare = titles.select("cluster", word.alias("raw")).select("cluster", F.regexp_replace("raw", r"['_-]+$", "").alias("word"))
+    counts = bare.filter(~F.col("word").isin(*STOPWORDS) & (F.col("word") != "") & ~F.col("word").rlike("^[0-9]+$")).groupBy("cluster", "word").agg(F.count("*").alias("n"))
     w = Window.partitionBy("cluster").orderBy(F.desc("n"), "word")
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     listed = F.array_sort(F.collect_list(F.struct("rank", "word")))
     return top.groupBy("cluster").agg(F.array_join(F.transform(listed, lambda x: x["word"]), " / ").alias("label"))
 
 
+def snapshot_id(clusters_: DataFrame, version: str = "v1", digits: int = 12) -> DataFrame:
+    """One row, snapshot_id: sha256 over the version and each cluster's sorted members and rounded centroid, in order.
+
+    clusters_ has cluster, members (array of ids) and centroid; clusters are few.
+    """
+    line = F.to_json(F.struct("cluster", F.sort_array("members").alias("members"), F.transform("centroid", lambda v: F.round(v.cast("double"), digits)).alias("centroid")))
+    listed = F.array_sort(F.collect_list(F.struct("cluster", line.alias("line"))))
+    return clusters_.agg(F.sha2(F.concat_ws("\n", F.lit(version), F.transform(listed, lambda x: x["line"])), 256).alias("snapshot_id"))
+
+
 def feature_class(text: Column, terms: list[str], official: Column, positive: list[str], negative: list[str], around: int = 60) -> Column:
     """positive, negative or null: a term as a whole word, with a negative cue near it or a positive one anywhere."""
     text = F.lower(text)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.sources.shared import cut
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "_rank") -> DataFrame:
@@ -40,44 +46,88 @@ def signal(rows: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def budget_prefix(rows: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows of each group in order, as long as the running cost stays below the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(w)).filter(F.col("used") < budget)
-
+    """Rows of each group in order, as long as the running cost stays below the budget.
 
-def budget_skip(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Rows of each group in order; one that does not fit is skipped and the next may fit.
-
-    Costs are whole and at least 1, so a group keeps fewer rows than the budget; a row that costs the
-    budget or more can never be kept and goes before the shuffle. Groups stream through, sorted:
-    a task holds one running sum.
+    Where costs are whole and at least 1 no group keeps more rows than the budget: such rows beyond go before the
+    shuffle, and a task's share of a group is bounded. Rows without a cost or of cost 0 stay in.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    fields = {f.name: f.dataType for f in rows.schema.fields}
-    names = [order, key, "used"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    free = rows.filter(F.coalesce(cost, F.lit(0)) < 1)
+    paid = rows.filter(F.col(cost) >= 1).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget).drop("_n")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    return paid.unionByName(free).withColumn("used", F.sum(cost).over(running)).filter(F.col("used") < budget)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, used, begun = None, 0, False
-        for batch in batches:
-            keep, sums = [], []
-            for i, (k, c) in enumerate(zip(batch[key].to_pylist(), batch[cost].to_pylist())):
-                if not begun or k != current:
-                    current, used, begun = k, 0, True
-                if c is not None and used + c < budget:
-                    used += c
-                    keep.append(i)
-                    sums.append(used)
-            taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken[order], taken[key], pa.array(sums, pa.int64())], names=names)
 
-    from pyspark.sql import types as T
+def budget_skip(rows: DataFrame, key: str, order: str, cost: str, budget: int, chunk: int = 10_000) -> DataFrame:
+    """order, key, used: rows of each group in order; one that does not fit is skipped and the next may fit.
 
-    schema = T.StructType([T.StructField(order, fields[order]), T.StructField(key, fields[key]), T.StructField("used", T.LongType())])
-    fits = rows.select(order, key, cost).filter(F.col(cost) < budget)
-    return fits.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
+    Costs are whole and at least 1. A group is folded ``chunk`` rows at a time, found before the shuffle; what is
+    left of it after a round are the later rows that still fit into what is left of its budget. So no task
+    holds more of a group than a chunk, however large it is.
+    """
+    schema = T.StructType([*(rows.schema[c] for c in (key, order)), *(T.StructField(c, T.LongType()) for c in ("_row", "used")), *(T.StructField(c, T.BooleanType()) for c in ("kept", "more"))])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rank")
+        used, keep, sums = table["_base"][0].as_py(), [], []
+        for i, c in enumerate(table["_cost"].to_pylist()):
+            if used + c < budget:
+                used += c
+                keep.append(i)
+                sums.append(used)
+        last = table.num_rows - 1
+        picked = table.take(pa.array([*keep, last])).select([key, order, "_row"])
+        flags = [True] * len(keep) + [False]
+        more = [False] * len(keep) + [table.num_rows == chunk]
+        return picked.append_column("used", pa.array([*sums, used], pa.int64())).append_column("kept", pa.array(flags)).append_column("more", pa.array(more))
+
+    fits = rows.select(key, order, F.col(cost).cast("long").alias("_cost")).filter(F.col("_cost") < budget)
+    left = cut(fits.withColumn("_row", F.monotonically_increasing_id()).withColumn("_base", F.lit(0).cast("long")), "budget")
+    w = Window.partitionBy(key).orderBy(order, "_row")
+    rounds = []
+    while True:
+        ranked = left.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= chunk)
+        folded = cut(ranked.groupBy(key).applyInArrow(fold, schema), "budget")
+        rounds.append(folded.filter("kept").select(order, key, "used"))
+        state = folded.filter("more").select(F.col(key).alias("_key"), F.struct(F.col(order).alias("o"), F.col("_row").alias("r")).alias("_last"), F.col("used").alias("_used"))
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        later = left.join(state, F.col(key).eqNullSafe(F.col("_key")))
+        later = later.filter((F.struct(F.col(order).alias("o"), F.col("_row").alias("r")) > F.col("_last")) & (F.col("_used") + F.col("_cost") < budget))
+        left = cut(later.select(key, order, "_cost", "_row", F.col("_used").alias("_base")), "budget")
+
+
+def dispatch(hits: DataFrame, known: tuple[str, ...], budget: int, otherwise: str = "classic") -> DataFrame:
+    """query_id, retriever, doc, used: what each retriever found, merged under one token budget.
+
+    hits has query_id, source, retriever, rank, doc and tokens. Sources go to the group of their retriever (an unknown one
+    to ``otherwise``), groups in order of their first source. Each gets an even share of the budget, the first what
+    is left over, and skips what does not fit; groups are then appended up to nine tenths of the budget (100 at
+    least). The hits of a query, the best of every source, are what one call holds.
+    """
+    schema = T.StructType([hits.schema["query_id"], T.StructField("retriever", T.StringType()), hits.schema["doc"], T.StructField("used", T.LongType())])
+    cap = max(int(budget * 0.9), 100)
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("source", "rank", "retriever", "doc", "tokens"))))
+        groups: dict[str, list] = {}
+        for _, _, retriever, doc, tokens in rows:
+            groups.setdefault(retriever, []).append((doc, tokens))
+        out, used = [], 0
+        for place, (retriever, found) in enumerate(groups.items()):
+            share, own = budget // len(groups) + (place < budget % len(groups)), 0
+            for doc, tokens in found:
+                if own + tokens >= share:
+                    continue
+                own += tokens
+                if used + tokens < cap:
+                    used += tokens
+                    out.append((retriever, doc, used))
+        query = table["query_id"].take(pa.array([0] * len(out), pa.int64()))
+        return pa.table({"query_id": query, "retriever": pa.array([r for r, _, _ in out], pa.string()), "doc": pa.array([d for _, d, _ in out], table["doc"].type), "used": pa.array([u for _, _, u in out], pa.int64())})
+
+    named = hits.select("query_id", "source", F.when(F.col("retriever").isin(*known), F.col("retriever")).otherwise(otherwise).alias("retriever"), "rank", "doc", F.col("tokens").cast("long").alias("tokens"))
+    return named.groupBy("query_id").applyInArrow(fold, schema)
 
 
 def split_budget(groups: DataFrame, key: str, budget: int) -> DataFrame:
@@ -100,3 +150,11 @@ def page(rows: DataFrame, order: list[Column], size: int, offset: int) -> DataFr
     w = Window.orderBy(*order)
     numbered = more.withColumn("_n", F.row_number().over(w)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > size)
     return numbered.filter(F.col("_n") <= size).drop("_n")
+
+
+def sorted_page(rows: DataFrame, columns: dict[str, str], by: str, descending: bool, key: str, size: int, offset: int) -> DataFrame:
+    """One page in the order of one of the named columns, either way; ``key`` breaks ties."""
+    if by not in columns:
+        raise ValueError(f"sort by one of {tuple(columns)}")
+    first = F.desc(columns[by]) if descending else F.asc(columns[by])
+    return rows.orderBy(first, key).offset(offset).limit(size)

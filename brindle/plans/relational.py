@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.functions.text import ilike, in_document_scope
 from brindle.operators import relational as R
 from brindle.plans.registry import query
 from brindle.plans.tables import RECORDS_SQL, edges, records
@@ -33,10 +34,10 @@ def any_ts_window(spark, sf):
     return records(spark, sf).filter(F.exists(F.array_compact(F.array("published", "created")), lambda x: x.between(low, high))).select("id")
 
 
-@query("ilike_escape", r"SELECT page_id FROM pages WHERE url ILIKE '%page=2\_%' ESCAPE '\' OR url ILIKE '%EXAMPLE.COM%'")
+@query("ilike_escape", r"SELECT page_id FROM pages WHERE url ILIKE '%PAGE=2%' ESCAPE '\' OR url ILIKE '%\_%' ESCAPE '\' OR html ILIKE '%50\%%' ESCAPE '\'")
 def ilike_escape(spark, sf):
-    url = F.lower("url")
-    return table(spark, sf, "pages").filter(url.contains("page=2_") | url.contains("example.com")).select("page_id")
+    wanted = ilike(F.col("url"), "PAGE=2") | ilike(F.col("url"), "_") | ilike(F.col("html"), "50%")
+    return table(spark, sf, "pages").filter(wanted).select("page_id")
 
 
 @query("coalesce_not_in", "SELECT doc_id FROM documents WHERE coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END, 'agent_stream') NOT IN ('src1', 'schedule', 'agent_stream')")
@@ -91,20 +92,27 @@ def coalesce_occurred_at(spark, sf):
     return records(spark, sf).select("id", F.date_format(F.coalesce("published", "created"), "yyyy-MM-dd").alias("occurred"))
 
 
-@query("doc_scope_filter", r"""SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '^(README(\.[a-z]+)?|en/.*[0-9]|docs/.+\.(md|rst|txt))$')""")
+_PATHS_SQL = """paths AS (SELECT doc_id, ['README.md', './readme', 'docs/' || source || '/a.rst', 'docs/x.png', '/docs/a.md', 'docs/../a.md', 'src/docs/a.md', 'DOCS/' || lang || '.TXT', 'readme.old.md', 'notreadme.md'][doc_id % 10 + 1] AS path FROM documents)"""
+
+
+def _paths(spark, sf):
+    names = F.array(F.lit("README.md"), F.lit("./readme"), F.concat(F.lit("docs/"), "source", F.lit("/a.rst")), *map(F.lit, ("docs/x.png", "/docs/a.md", "docs/../a.md", "src/docs/a.md")), F.concat(F.lit("DOCS/"), "lang", F.lit(".TXT")), F.lit("readme.old.md"), F.lit("notreadme.md"))
+    return table(spark, sf, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 10).cast("int")).alias("path"))
+
+
+@query("doc_scope_filter", rf"""WITH {_PATHS_SQL} SELECT doc_id, path FROM paths WHERE doc_id % 10 IN (0, 1, 2, 7, 8) AND path IS NOT NULL""")
 def doc_scope_filter(spark, sf):
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
-    return table(spark, sf, "pages").filter(path.rlike(r"^(README(\.[a-z]+)?|en/.*[0-9]|docs/.+\.(md|rst|txt))$")).select("page_id")
+    return _paths(spark, sf).filter(in_document_scope(F.col("path")))
 
 
 @query("normalize_union", """
-SELECT 'document-' || doc_id AS id, source AS repository, 'documentation' AS source_type, left(text, 100) AS title FROM documents
-UNION ALL SELECT 'page-' || page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'release', left(html, 100) FROM pages
-UNION ALL SELECT 'message-' || conv_id || '-' || turn, role, 'comment', left(text, 100) FROM conversations
-UNION ALL SELECT 'benchmark-' || item_id, 'benchmark', 'issue', left(text, 100) FROM benchmark""")
+SELECT 'document-' || doc_id AS id, source AS repository, 'documentation' AS source_type, text AS title FROM documents
+UNION ALL SELECT 'page-' || page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'release', html FROM pages
+UNION ALL SELECT 'message-' || conv_id || '-' || turn, role, 'comment', text FROM conversations
+UNION ALL SELECT 'benchmark-' || item_id, 'benchmark', 'issue', text FROM benchmark""")
 def normalize_union(spark, sf):
     ident = lambda kind, *cs: F.concat_ws("-", F.lit(kind), *(F.col(c).cast("string") for c in cs)).alias("id")
-    title = lambda c: F.substring(c, 1, 100).alias("title")
+    title = lambda c: F.col(c).alias("title")
     kind = lambda k: F.lit(k).alias("source_type")
     parts = [
         table(spark, sf, "documents").select(ident("document", "doc_id"), F.col("source").alias("repository"), kind("documentation"), title("text")),
@@ -164,16 +172,14 @@ def explode_labels(spark, sf):
     return records(spark, sf).select("id", F.explode("labels").alias("label"))
 
 
-_CLUSTERS_SQL = "clusters AS (SELECT label AS cluster, list(vec_id % 997) AS ids FROM embeddings GROUP BY 1)"
 
 
-@query("or_join_membership", f"""WITH {_CLUSTERS_SQL}, u AS (SELECT cluster, unnest(ids) AS id FROM clusters)
-SELECT DISTINCT cluster, doc_id FROM u JOIN documents ON doc_id = id OR doc_id = id * 2 + 1""")
+@query("or_join_membership", """SELECT DISTINCT label AS cluster, doc_id FROM embeddings JOIN documents ON doc_id = vec_id OR doc_id = vec_id * 2 + 1""")
 def or_join_membership(spark, sf):
-    clusters = table(spark, sf, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.collect_list(F.col("vec_id") % 997).alias("ids"))
+    members = table(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.array("vec_id").alias("ids"))
     half = F.when(F.col("doc_id") % 2 == 1, ((F.col("doc_id") - 1) / 2).cast("long"))
     docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("own"), half.alias("external"))
-    return R.either_key(clusters, "ids", docs, ["own", "external"], ["doc_id"])
+    return R.either_key(members, "ids", docs, ["own", "external"], ["doc_id"])
 
 
 @query("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -226,7 +232,8 @@ def join_dim_twice(spark, sf):
 
 @query("exists_any", "SELECT EXISTS (SELECT 1 FROM events WHERE event_type = 'error' AND value > 90) AS found")
 def exists_any(spark, sf):
-    return table(spark, sf, "events").agg((F.count_if((F.col("event_type") == "error") & (F.col("value") > 90)) > 0).alias("found"))
+    found = table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 90)).limit(1)  # the first that is found ends the scan
+    return found.agg((F.count("*") > 0).alias("found"))
 
 
 # Sets.
@@ -358,13 +365,11 @@ d AS (SELECT source_id, normalized_name, description, min(place) AS first FROM m
 SELECT n.*, t.description FROM (SELECT source_id, normalized_name, count(*) AS doc_freq, arg_min(type, place) FILTER (type IS NOT NULL) AS type FROM m GROUP BY 1, 2) n
 JOIN (SELECT source_id, normalized_name, string_agg(description, ' ' ORDER BY first) AS description FROM d GROUP BY 1, 2) t USING (source_id, normalized_name)""")
 def graph_node_merge(spark, sf):
-    m = table(spark, sf, "lineitem").select(
+    mentions = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("source_id"), F.lower("l_returnflag").alias("normalized_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"),
         F.when(F.col("l_linenumber") != 1, F.col("l_linestatus")).alias("type"), F.concat("l_linestatus", (F.col("l_linenumber") % 3).cast("string")).alias("description"),
     )
-    first = m.groupBy("source_id", "normalized_name", "description").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min(F.when(F.col("type").isNotNull(), F.struct("place", "type"))).alias("t"))
-    listed = F.array_sort(F.collect_list(F.struct("place", "description")))
-    return first.groupBy("source_id", "normalized_name").agg(F.sum("n").alias("doc_freq"), F.min("t").alias("t"), F.array_join(F.transform(listed, lambda x: x["description"]), " ").alias("description")).select("source_id", "normalized_name", "doc_freq", F.col("t.type").alias("type"), "description")
+    return R.merge_nodes(mentions)
 
 
 @query("sql_passthrough", "SELECT r_name, count(*) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
@@ -390,12 +395,17 @@ def graph_one_hop(spark, sf):
     return one_hop(e, spark.range(1).select(F.lit("s1").alias("node")))
 
 
-@query("graph_overview", """WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e), t AS (SELECT node FROM n GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 50)
+_RING_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 's' || (l_partkey % 97) AS dst FROM lineitem)"
+
+
+@query("graph_overview", f"""WITH {_RING_SQL}, n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE dst <> src), t AS (SELECT node FROM n GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 50)
 SELECT src, dst FROM e WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)""")
 def graph_overview(spark, sf):
     from brindle.operators.graph import overview
 
-    return overview(edges(spark, sf), 50)
+    node = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    e = table(spark, sf, "lineitem").select(node(F.col("l_suppkey")).alias("src"), node(F.col("l_partkey") % 97).alias("dst")).distinct()
+    return overview(e, 50)
 
 
 @query("chunk_rank_by_mass", """WITH m AS (SELECT 's' || l_suppkey AS node, round(sum(l_quantity) / 1000, 9) AS mass FROM lineitem GROUP BY 1) SELECT l_orderkey AS chunk, round(sum(mass), 6) AS score FROM lineitem JOIN m ON node = 's' || l_suppkey GROUP BY 1
@@ -411,10 +421,12 @@ def chunk_rank_by_mass(spark, sf):
 
 @query("ppr_scores")
 def ppr_scores(spark, sf):
-    from brindle.operators.graph import personalized_pagerank
+    from brindle.operators.graph import damp_hubs, degrees, personalized_pagerank
 
     seeds = spark.createDataFrame([("s1", 1.0), ("s2", 0.5)], "node string, weight double")
-    return personalized_pagerank(edges(spark, sf).withColumn("weight", F.lit(1.0)), seeds, iterations=20)
+    e = edges(spark, sf)
+    freq = degrees(e).withColumnRenamed("degree", "doc_freq")
+    return damp_hubs(personalized_pagerank(e.withColumn("weight", F.lit(1.0)), seeds, iterations=20), freq)
 
 
 @query("entity_normalize", """SELECT DISTINCT lower(trim(c_name)) AS normalized_name, coalesce(TRY_CAST(c_mktsegment AS DOUBLE), 1.0) AS weight FROM customer WHERE trim(c_name) <> ''""")

@@ -12,13 +12,13 @@ from brindle.plans.registry import query
 from brindle.plans.tables import RECORDS_SQL, records
 from brindle.sources.files import table
 
-_PAIRS_SQL = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id < 5),
+_PAIRS_SQL = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 100 = 0),
 cos AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query), 6) AS score FROM embeddings, q)"""
 
 
 def _queries(spark, sf):
-    """Five query vectors: what a caller asks for."""
-    return table(spark, sf, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The query set: every vector whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _vectors(spark, sf):
@@ -35,7 +35,7 @@ def knn_threshold(spark, sf):
     return R.above(R.nearest(_vectors(spark, sf), _queries(spark, sf), 10), 0.3)
 
 
-@query("knn_l2", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id < 5),
+@query("knn_l2", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 100 = 0),
 l2 AS (SELECT query_id, vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), query) ^ 2, 6) AS score FROM embeddings, q)
 SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM l2) WHERE rank <= 10""")
 def knn_l2(spark, sf):
@@ -70,10 +70,11 @@ def rrf_fuse_total_order(spark, sf):
     return R.fuse(_lists(spark, sf), ["source", "doc_id"])
 
 
-@query("best_hit_per_record", f"WITH {_PAIRS_SQL}, h AS (SELECT label, score, query_id AS rank FROM cos WHERE vec_id >= 5), b AS (SELECT label, score, rank, row_number() OVER (PARTITION BY label ORDER BY score DESC, rank) AS rn FROM h) SELECT label, score, rank FROM b WHERE rn = 1 ORDER BY score DESC, label LIMIT 6")
+@query("best_hit_per_record", f"WITH {_PAIRS_SQL}, h AS (SELECT label, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank, query_id FROM cos WHERE vec_id <> query_id), b AS (SELECT label, score, rank, row_number() OVER (PARTITION BY label ORDER BY score DESC, rank) AS rn FROM h WHERE rank <= 3) SELECT label, score, CAST(rank AS INTEGER) AS rank FROM b WHERE rn = 1 ORDER BY score DESC, label LIMIT 6")
 def best_hit_per_record(spark, sf):
-    q = _queries(spark, sf)
-    hits = _vectors(spark, sf).filter("vec_id >= 5").join(F.broadcast(q)).select("label", F.col("query_id").alias("rank"), F.round(V.cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    near = R.nearest(_vectors(spark, sf), _queries(spark, sf), 4, within=["label"]).filter("vec_id <> query_id")
+    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
+    hits = near.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("label", "rank", "score")
     return R.best_hit(hits, "label", 6)
 
 
@@ -86,7 +87,7 @@ def hydrate_ranked(spark, sf):
 
 
 @query("keyword_bm25", """
-WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id < 3),
+WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM d),
 p AS (SELECT term, doc_id, any_value(size) AS size, count(*) AS tf FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
@@ -94,7 +95,7 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), stats GROUP BY 1, 2)
 SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def keyword_bm25(spark, sf):
-    questions = table(spark, sf, "benchmark").filter("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    questions = table(spark, sf, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), questions, 10)
 
 
@@ -129,15 +130,14 @@ def citation_precision(spark, sf):
     return _evaluated(spark, sf).select("q", F.round(R.citation_precision(F.col("expected"), F.col("retrieved")), 6).alias("score"))
 
 
-@query("answer_points", r"""WITH p AS (SELECT item_id, trim(regexp_replace(lower(left(text, 20)), '[\x20\t\r\n\f]+', ' ', 'g')) AS point FROM benchmark)
+@query("answer_points", r"""WITH p AS (SELECT item_id, trim(regexp_replace(lower(text), '[\x20\t\r\n\f]+', ' ', 'g')) AS point FROM benchmark)
 SELECT item_id, count(doc_id) AS hits FROM p LEFT JOIN (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x20\t\r\n\f]+', ' ', 'g')) AS t FROM documents) ON contains(t, point) GROUP BY 1""")
 def answer_points(spark, sf):
     from brindle.functions.text import collapse
 
-    points = table(spark, sf, "benchmark").select("item_id", collapse(F.substring("text", 1, 20)).alias("point"))
+    points = table(spark, sf, "benchmark").select("item_id", collapse(F.col("text")).alias("point"))
     docs = table(spark, sf, "documents").select("doc_id", collapse(F.coalesce("text", F.lit(""))).alias("t"))
-    # every answer point is looked for in every text: the points are a bounded question set
-    hits = docs.join(F.broadcast(points), F.col("t").contains(F.col("point"))).groupBy("item_id").agg(F.count("*").alias("hits"))
+    hits = R.points_found(docs, points).groupBy("item_id").agg(F.count("*").alias("hits"))
     return points.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -175,11 +175,12 @@ def topic_clusters(spark, sf):
     return T.clusters(table(spark, sf, "embeddings"))
 
 
-@query("cluster_labels", """
-WITH w AS (SELECT source AS cluster, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_''-]*')) AS word FROM documents),
-c AS (SELECT cluster, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, word) AS rank FROM c)
-SELECT cluster, string_agg(word, ' / ' ORDER BY rank) AS label FROM r WHERE rank <= 5 GROUP BY 1""")
+@query("cluster_labels", r"""
+WITH r AS (SELECT source AS cluster, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_''-]*')) AS raw FROM documents),
+w AS (SELECT cluster, regexp_replace(raw, '[''_-]+$', '') AS word FROM r),
+c AS (SELECT cluster, word, count(*) AS n FROM w WHERE word <> '' AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, word) AS rank FROM c)
+SELECT cluster, string_agg(word, ' / ' ORDER BY rank) AS label FROM k WHERE rank <= 5 GROUP BY 1""")
 def cluster_labels(spark, sf):
     return T.labels(table(spark, sf, "documents").select(F.col("source").alias("cluster"), F.col("text").alias("title")))
 

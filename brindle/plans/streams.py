@@ -33,13 +33,13 @@ def events_session(spark, sf):
     return _window(J.drain(J.sessions(J.events_stream(spark, f"{sf}/events.parquet"))))
 
 
-_CHUNKS_SQL = "WITH c AS (SELECT conv_id AS message_id, turn AS sequence_no, CASE turn % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'answer' WHEN 2 THEN 'source' ELSE 'tool' END AS kind, left(coalesce(text, ''), 20) AS payload, 'call' || (turn % 2) AS call_id FROM conversations)"
+_CHUNKS_SQL = "WITH c AS (SELECT conv_id AS message_id, turn AS sequence_no, CASE turn % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'answer' WHEN 2 THEN 'source' ELSE 'tool' END AS kind, coalesce(text, '') AS payload, 'call' || (turn % 2) AS call_id FROM conversations)"
 
 
 def _chunks(spark, sf):
     kind = F.when(F.col("turn") % 4 < 2, "answer").when(F.col("turn") % 4 == 2, "source").otherwise("tool")
     return table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), kind.alias("kind"), F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("payload"), F.concat(F.lit("call"), (F.col("turn") % 2).cast("string")).alias("call_id")
+        F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("payload"), F.concat(F.lit("call"), (F.col("turn") % 2).cast("string")).alias("call_id")
     )
 
 
@@ -83,13 +83,40 @@ def stale_sweep(spark, sf):
     return o.join(alive, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("state_delta", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS changed FROM events""")
+@query("state_delta", """WITH v AS (SELECT user_id, event_id, event_type AS t, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS q FROM events), m AS (SELECT *, lag(t) OVER w AS bt, lag(q) OVER w AS bq FROM v WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, concat_ws(';', CASE WHEN bt IS NULL OR bt <> t THEN 'type=' || t END, CASE WHEN bq IS NULL OR bq <> q THEN 'value=' || q END) AS delta FROM m""")
 def state_delta(spark, sf):
-    before = F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("y"))
-    after = F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("z"), F.lit("c"), F.when(F.col("event_id") % 2 == 1, "new"))
-    e = table(spark, sf, "events").select("event_id", before.alias("before"), after.alias("after"))
-    delta = J.state_delta("before", "after")
-    return e.select("event_id", F.size(F.map_filter(delta, lambda k, v: v.isNotNull())).alias("changed"))
+    from pyspark.sql import Window
+
+    after = F.create_map(F.lit("type"), "event_type", F.lit("value"), F.floor(F.col("value") / 10).cast("string"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", after.alias("after"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy("user_id").orderBy("event_id")), F.create_map().cast("map<string,string>")))
+    entries = F.transform(F.map_entries(J.state_delta("before", "after")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.select("event_id", F.array_join(entries, ";").alias("delta"))
+
+
+@query("journal_append", "SELECT user_id AS message_id, CAST(event_id AS BIGINT) AS sequence_no FROM events")
+def journal_append(spark, sf):
+    """Every event appended twice to an ordered journal; the repeat is rejected."""
+    events = J.table_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("sequence_no"), F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return J.drain(J.journal(events.drop("copy"), "60 days"), "append").select("message_id", "sequence_no")
+
+
+@query("usage_events", "SELECT conv_id, turn, CAST(CASE WHEN turn % 3 = 0 THEN 7 ELSE ceil(length(coalesce(text, '')) / 4.0) END AS BIGINT) AS prompt_tokens, CAST(ceil(length(role) / 4.0) AS BIGINT) AS generated_tokens FROM conversations")
+def usage_events(spark, sf):
+    calls = table(spark, sf, "conversations").select(
+        F.struct("conv_id", "turn").alias("request_id"), F.when(F.col("turn") % 3 == 0, 7).alias("provider_prompt_tokens"), F.lit(None).cast("long").alias("provider_generated_tokens"), F.col("text").alias("prompt"), F.col("role").alias("answer")
+    )
+    return J.usage_events(calls).select("request_id.conv_id", "request_id.turn", "prompt_tokens", "generated_tokens")
+
+
+@query("sentence_segments")
+def sentence_segments(spark, sf):
+    """Every conversation, a turn a chunk, in segments of whole sentences."""
+    path = f"{sf}/conversations.parquet"
+    ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
+    chunks = J.table_stream(spark, path).join(ends, "conv_id")
+    return J.drain(J.segment_stream(chunks.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), "text", (F.col("turn") == F.col("end")).alias("last"))), "append")
 
 
 @query("stream_redact_equiv")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import routing, text, vectors
 from brindle.operators import aggregates, chunking, graph, relational, retrieval, scan, tables, topics, windows
-from brindle.sources import files
+from brindle.sources import files, shared
 from brindle.streaming import jobs
 
 
@@ -17,15 +17,25 @@ def one(spark, value, *columns):
 
 
 @pytest.mark.parametrize(("value", "label", "hits"), [
-    ("reach me at ada@example.com please", "EMAIL", 1), ("call 555-123-4567 tomorrow", "PHONE", 1), ("ssn is 123-45-6789 ok", "US_SSN", 1),
-    ("card 4111 1111 1111 1111 expires soon", "CREDIT_CARD", 1), ("id 1234 5678 9012 3456", "CREDIT_CARD", 0), ("", "EMAIL", 0), (None, "EMAIL", 0),
+    ("write: mo.lin+x@post.example.net!", "EMAIL", 1), ("dial (212) 555-0188 or 212.555.0199", "PHONE", 2), ("number 219-09-9999, not 000-12-3456", "US_SSN", 1),
+    ("paid by 5555-5555-5555-4444 today", "CREDIT_CARD", 1), ("paid by 5555-5555-5555-4445 today", "CREDIT_CARD", 0), ("host 203.0.113.9, build 1.2.3.4.5", "IPV4", 1), ("", "EMAIL", 0), (None, "EMAIL", 0),
 ])
 def test_personal_data(spark, value, label, hits):
     assert len(one(spark, value, scan.matches(F.col("t"), label, scan.PII[label]))[0]) == hits
 
 
 def test_redaction(spark):
-    assert one(spark, "mail ada@example.com now", scan.redact(F.col("t")))[0] == "mail [EMAIL] now"
+    assert one(spark, "to mo@post.example.net, ok", scan.redact(F.col("t")))[0] == "to [EMAIL], ok"
+
+
+def test_secrets(spark):
+    block = "-----BEGIN EC PRIVATE KEY-----\nabc\ndef\n-----END EC PRIVATE KEY-----"
+    mask = lambda t: one(spark, t, scan.redact(F.col("t"), scan.SECRETS))[0]
+    assert mask(f"x {block} y") == "x [PRIVATE_KEY] y"
+    assert mask("-----BEGIN PRIVATE KEY-----\n" + "k" * 50) == "[PRIVATE_KEY]\n" + "k" * 50  # never ended: the header alone
+    assert mask("passwd: 'abcdefgh12345678' set") == "passwd: '[GENERIC_SECRET]' set"  # the value, not its name
+    outcome = one(spark, f"mo@post.example.net {block}", scan.CHECKS["secrets"].outcome(F.col("t")))[0]
+    assert outcome["triggered"] and outcome["categories"] == ["PRIVATE_KEY"] and outcome["spans"][0]["start"] == 20
 
 
 def test_injection_links_denylist_verdicts(spark):
@@ -102,6 +112,50 @@ def test_budget_skips_and_goes_on(spark):
     assert [r["o"] for r in windows.budget_prefix(rows, ["k"], [F.asc("o")], "c", 10).collect()] == [1]
 
 
+def test_budget_skip_in_chunks_equals_one_walk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 3 else k, i, int(c)) for k in range(4) for i, c in enumerate(rng.integers(1, 40, 200))]
+    want, used = [], {}
+    for k, o, c in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if used.get(k, 0) + c < 300:
+            used[k] = used.get(k, 0) + c
+            want.append((k, o, used[k]))
+    frame = spark.createDataFrame(rows, "k int, o int, c long")
+    for chunk in (7, 1000):
+        got = [(r["k"], r["o"], r["used"]) for r in windows.budget_skip(frame, "k", "o", "c", 300, chunk).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_points_with_few_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "xone two three four fivex"), (3, "two")], "doc_id long, t string")
+    points = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, "ne two three four fi"), (4, "seven")], "item_id long, point string")
+    assert sorted(map(tuple, retrieval.points_found(docs, points).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, [0.0] * 8), (91, None), (92, [1.0])], "vec_id int, embedding array<double>")
+    asked = rows.filter("vec_id % 10 = 0 AND vec_id < 90").selectExpr("vec_id AS query_id", "embedding AS query")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.nearest(rows, asked, 4).collect()}
+    want = {(q, k + 1): int(v) for q in range(0, 90, 10) for k, v in enumerate(np.lexsort((np.arange(90), -np.round(u @ u[q], 6)))[:4])}
+    assert got == want
+    near = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.nearest(rows, asked, 2, "l2").collect()}
+    l2 = lambda q: np.round(((np.vstack([x, np.zeros(8)]) - x[q]) ** 2).sum(axis=1), 6)
+    assert near == {(q, k + 1): int(v) for q in range(0, 90, 10) for k, v in enumerate(np.lexsort((np.arange(91), l2(q)))[:2])}
+
+
+def test_question_bm25_with_many_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Red fox")], "query_id long, query string")
+    first = [tuple(r) for r in retrieval.bm25(docs, asked, 5).orderBy("rank").collect()]
+    monkeypatch.setattr(retrieval, "MAX_TERMS", 1)
+    assert first == [tuple(r) for r in retrieval.bm25(docs, asked, 5).orderBy("rank").collect()] and [r[1] for r in first] == [1, 2]
+
+
 def test_whitelists(spark):
     rows = spark.createDataFrame([("r", "x", [], 1)], "repository string, source_type string, labels array<string>, comments int")
     for metric, dimension in (("mean", "repository"), ("count", "body")):
@@ -134,13 +188,16 @@ def test_journal(spark):
 
 
 def test_streaming_redaction_equals_batch(spark, tmp_path):
-    whole = "write to ada@example.com or 10.0.0.1 now, ssn 123-45-6789 end " * 12
-    cuts = [0, 7, 15, 60, 61, 200, 333, 500, len(whole)]
-    rows = [(1, i, whole[a:b], b == len(whole)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    spark.createDataFrame(rows, "message_id long, sequence_no long, text string, last boolean").write.parquet(f"{tmp_path}/in")
-    stream = jobs.table_stream(spark, f"file://{tmp_path}/in")
-    out = "".join(r["text"] for r in jobs.drain(jobs.redact_stream(stream), "append").orderBy("sequence_no").collect())
-    assert out == one(spark, whole, scan.redact(F.col("t"), {k: scan.PII[k] for k in ("EMAIL", "US_SSN", "IPV4")}))[0]
+    block = "-----BEGIN EC PRIVATE KEY-----\n" + "QUJD\n" * 900 + "-----END EC PRIVATE KEY-----"
+    plain = "write to mo@post.example.net or 203.0.113.9 now, ssn 219-09-9999 card 5555 5555 5555 4444, dial 212-555-0188 end " * 12
+    secret = f"a {block} b api_key = abcdefgh12345678 " * 3
+    for kind, whole, patterns in (("pii", plain, scan.PII), ("secrets", secret, scan.SECRETS)):
+        cuts = sorted({0, 7, 15, 60, 61, 200, 333, 500, len(whole) // 2, len(whole)})
+        rows = [(1, i, whole[a:b], b == len(whole)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        spark.createDataFrame(rows, "message_id long, sequence_no long, text string, last boolean").write.parquet(f"{tmp_path}/{kind}")
+        stream = jobs.table_stream(spark, f"file://{tmp_path}/{kind}")
+        out = "".join(r["text"] for r in jobs.drain(jobs.redact_stream(stream, patterns, scan.LONGEST[kind]), "append").orderBy("sequence_no").collect())
+        assert out == one(spark, whole, scan.redact(F.col("t"), patterns))[0]
 
 
 def test_readers(spark, tmp_path):
@@ -154,12 +211,33 @@ def test_readers(spark, tmp_path):
     assert sorted((r["extension"], r["text"]) for r in found) == [("md", "# one"), ("txt", "two")]
     assert [r["text"] for r in files.csv_rows(spark, f"file://{tmp_path}/sub/t.csv").collect()] == ["1, "]
     assert sorted(r["text"] for r in files.json_rows(spark, f"file://{tmp_path}/sub/j.json").collect()) == ['{"a":1}', '{"a":2}']
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "c.txt").write_text("no")
+    (tmp_path / "sub" / "p.html").write_text("<p>seen</p><script>x</script>")
+    (tmp_path / "sub" / "r.rst").write_text("Head\n====\nbody")
+    (tmp_path / "sub" / "l.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "sub" / "q.csv").write_text('a,"b, ""c"""\n')
+    mixed = {}
+    for r in files.mixed(spark, f"file://{tmp_path}").orderBy("path", "part").collect():
+        mixed.setdefault(r["path"].rsplit("/", 1)[1], []).append(r["text"])
+    assert mixed == {"a.md": ["one"], "b.txt": ["two"], "t.csv": ["h, i", "1, "], "j.json": ['{"a":1}', '{"a":2}'], "p.html": ["seen"], "r.rst": ["Head\nbody"], "l.jsonl": ['{"a": 1}', '{"a": 2}'], "q.csv": ['a, b, "c"']}
+    maps = spark.createDataFrame([("r", "<sitemapindex><loc>s</loc><loc>r</loc></sitemapindex>"), ("s", "<urlset><loc>b</loc><loc>a</loc></urlset>")], "url string, text string")
+    assert [r["url"] for r in files.expand_sitemaps(maps.filter("url = 'r'").select("url"), maps, 5).collect()] == ["a", "b"]
     docs = spark.createDataFrame([('{"paths": {"/x": {"get": 1}, "/y": {}}}',)], "text string")
     assert sorted(r["path"] for r in files.openapi_paths(docs).collect()) == ["/x", "/y"]
     site = spark.createDataFrame([("<urlset><url><loc> http://a </loc></url><url><loc>http://b</loc></url></urlset>",)], "text string")
     assert [r["url"] for r in files.sitemap_urls(site).collect()] == ["http://a", "http://b"]
 
 
+def test_cuts_are_released(spark):
+    import os
+
+    shared.release(spark)
+    path = shared.fresh_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert shared.cut(spark.range(2), "y").count() == 2 and shared.release(spark) == 2 and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_text_functions(spark):
     t = F.col("t")
     assert one(spark, "how many issues", routing.intent(t))[0] == "aggregate"

@@ -36,10 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_chosen"))
-    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen"))
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
+    row = F.xxhash64("doc_id", "text_hash").alias("_row")
+    chosen = minhash.near_duplicates(docs).filter("kept").select(row)
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).select(*COLUMNS, row)
+    return docs.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)  # one shuffle of the texts for both
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

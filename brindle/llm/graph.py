@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut
 
 
-#: Parts that the links of a hub are dealt into, and how many times the links in all a hub's are at least one of.
-SALTS, HUBS = 32, 5000
+#: Parts that the links of a hub are dealt into, how many times the links in all a hub's are at least one of, and the links
+#: up to which no id can be more than a task holds with ease.
+SALTS, HUBS, FEW_LINKS = 32, 5000, 1_000_000
 
 
 def _with_least(both: DataFrame, n_links: int) -> DataFrame:
     """id, up and m, the smallest of an id and its neighbours, for each of its links.
 
     An id of more than a ``HUBS``-th of all links is a hub; there are at most two times ``HUBS`` such, so they are broadcast,
-    and a hub's links meet its m in parts.
+    and a hub's links meet its m in parts. Up to ``FEW_LINKS`` there is no need to.
     """
-    most = max(1000, n_links // HUBS)
+    most = n_links // HUBS
     least = both.groupBy("id").agg(F.min("up").alias("m"), F.count("*").alias("c")).select("id", F.least("id", "m").alias("m"), "c")
+    if n_links <= FEW_LINKS:
+        return both.join(least.select("id", "m"), "id")
     hubs = least.filter(F.col("c") > most).select("id", F.lit(True).alias("hub"))
     part = F.when(F.col("hub"), F.pmod(F.xxhash64("up"), F.lit(SALTS)).cast("int")).otherwise(0)
     links = both.join(F.broadcast(hubs), "id", "left").withColumn("part", part).drop("hub")
@@ -34,15 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     folder; aggregates combine before the shuffle and a hub's links are dealt into parts. Loops (a = b) and
     repeated edges change nothing; no edges give an empty result.
     """
-    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")).distinct(), "links")
-    before = _state(links)
+    links, before = _cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("up")).distinct())
     while before[0]:
         both = links.unionByName(links.select(F.col("up").alias("id"), F.col("id").alias("up")))
         large = _with_least(both, before[0]).filter("up > id").select(F.col("up").alias("id"), F.col("m").alias("up")).filter("id > up").distinct()
         lower = large.groupBy("id").agg(F.min("up").alias("m"))
         small = large.join(lower, "id").filter("up > m").select(F.col("up").alias("id"), F.col("m").alias("up"))
-        links = cut(small.unionByName(lower.withColumnRenamed("m", "up")).distinct(), "links")
-        after = _state(links)
+        links, after = _cut(small.unionByName(lower.withColumnRenamed("m", "up")).distinct())
         if after == before:
             break
         before = after
@@ -50,7 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(links.select(F.col("up").alias("id"), F.col("up").alias("component")).distinct())
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    """How many links there are, and a digest of them."""
-    row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "up")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _cut(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The links, written and read back; how many there are, and a digest of them, observed while writing."""
+    seen = Observation()
+    frame = cut(links.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "up")).alias("x")), "links")
+    return frame, (seen.get["n"], seen.get["x"] or 0)

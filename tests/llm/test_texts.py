@@ -198,7 +198,38 @@ def test_pii_runs_no_python(spark, model):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_awkward_and_empty(spark, model):
-    for run in (lm_score.lm_scores, substring.dedup_substrings, lambda d: pii.find(d, model)):
-        assert run(awkward(spark)).count() == 13
-        assert run(empty(spark)).collect() == []
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def test_lm_awkward_and_empty(spark):
+    rows = lm_score.lm_scores(awkward(spark)).collect()
+    assert len(rows) == 13
+    for r in rows:
+        if r["doc_id"] in (1, 2, 3):
+            assert (r["n_words"], r["log10_score"], r["mean_log10"]) == (0, 0.0, None)
+        else:
+            assert r["n_words"] == 0 or r["mean_log10"] < 0
+    assert len({round(r["log10_score"], 9) for r in rows if r["doc_id"] in (5, 6, 7)}) == 1  # ties and repeated rows
+    assert lm_score.lm_scores(empty(spark)).collect() == lm_score.lm_scores_by_rows(empty(spark)).collect() == []
+
+
+def test_substring_awkward_and_empty(spark):
+    rows = substring.dedup_substrings(awkward(spark)).collect()
+    assert len(rows) == 13
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"], r["kept_sha256"]))
+    assert all(by_id[i] == [(0, 0, EMPTY)] for i in (1, 2, 3)) and by_id[4][0][:2] == (1, 0)
+    # the row with a null doc_id goes first and keeps the text; all later copies lose it
+    assert sorted(x[:2] for x in by_id[None]) == [(0, 0), (60, 0)]
+    assert [x[:2] for i in (5, 6, 7) for x in by_id[i]] == [(60, 60)] * 4
+    assert sorted(x[:2] for x in by_id[8]) == [(2, 0), (40_000, 0)]
+    assert substring.dedup_substrings(empty(spark)).collect() == []
+
+
+def test_pii_awkward_and_empty(spark, model):
+    rows = pii.find(awkward(spark), model).collect()
+    assert len(rows) == 13 and all(r["base_sha256"] == EMPTY and r["spans"] == "" and r["n_spans"] == 0 for r in rows)
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in pii.redact(awkward(spark), model).collect())
+    assert texts == sorted((str(r["doc_id"]), r["text"] or "") for r in awkward(spark).collect())
+    assert pii.find(empty(spark), model).collect() == [] and pii.redact(empty(spark), model).collect() == []

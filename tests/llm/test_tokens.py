@@ -156,7 +156,20 @@ def test_other_tokenizers_take_whole_texts():
 
 
 def test_awkward_and_empty(spark):
-    assert pieces.encode_digests(awkward(spark), PIECES).count() == 13
-    assert len({(r["doc_id"], r["piece"]) for r in packing.pack_documents(awkward(spark), WORDS).collect()}) >= 10
+    rows = pieces.encode_digests(awkward(spark), PIECES).collect()
+    sha = hashlib.sha256(b"").hexdigest()
+    assert len(rows) == 13
+    for r in rows:
+        if r["doc_id"] in (1, 2):
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["spans_sha256"]) == (0, sha, sha, sha)
+    assert len({(r["n_tokens"], r["ids_sha256"], r["spans_sha256"]) for r in rows if r["doc_id"] in (5, 6, 7)}) == 1
+    packed = packing.pack_documents(awkward(spark), WORDS).collect()
+    ends = sorted(str(r["doc_id"]) for r in packed if r["length"] == 1 and r["start"] == 0)
+    assert ends == ["1", "2", "3", "None"]  # nothing but the end token
+    assert sum(r["doc_id"] == 7 for r in packed) == 2 and max(r["piece"] for r in packed if r["doc_id"] == 8) > 0
+    fill = defaultdict(int)
+    for r in packed:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) == -(-sum(fill.values()) // 4096)
     assert pieces.encode_digests(empty(spark), PIECES).collect() == []
     assert packing.pack_documents(empty(spark), WORDS).collect() == []

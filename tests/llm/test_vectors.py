@@ -99,3 +99,12 @@ def test_nearest_ties_few_and_empty(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(table(spark, rows), F.col("vec_id") == 2, k=20).collect())
     assert got == [(2, 1, 0), (2, 2, 1), (2, 3, 3), (2, 4, 4)]
     assert nearest.nearest(table(spark, []), F.col("vec_id") == 2).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    rows = table(spark, [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [1.0, 0.0]), (4, [0.0, 1.0])]).unionByName(table(spark, []).limit(0))
+    nameless = spark.createDataFrame([(None, [1.0, 0.0], 1, 2)], SCHEMA)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(rows.unionByName(nameless), F.col("vec_id") == 1).collect())
+    assert got == [(1, 1, 2), (1, 2, 2), (1, 3, 4), (1, 4, 4)]  # each row of the query's id asks; none meets its own id
+    found = [(r["vec_id"], r["kept"]) for r in embedding_dedup.near_duplicates(rows.unionByName(nameless)).collect()]
+    assert len(found) == 5 and (None, True) in found and (4, True) in found

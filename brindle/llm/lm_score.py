@@ -13,7 +13,7 @@ summed per document. Nothing passes through the driver and a frequent n-gram tra
 
 ``lm_scores_by_rows`` is the same with a row for every n-gram and joins of Spark. Since log scores add up, an n-gram
 that occurs ``cutoff`` times is worth a constant more than its backoff, and a document's score is the sum
-over its n-grams of what the joined tables give. It shuffles about ten times as many bytes.
+over its n-grams of what the joined tables give. It shuffles a row for every n-gram of every document, so it costs far more disk.
 
 Defined cases: a null or empty text has no words, a sum of 0.0 and a null mean; a repeated row
 counts and is returned as often as it occurs; columns other than doc_id and text are ignored.

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.vectors import dot_in_order, matrix, modal_width, usable
 
-#: Vectors of one block, about.
-BLOCK = 8192
+#: Vectors of one block, about; where there are too few blocks for all cores, candidates come in smaller ones, down to so many.
+BLOCK, LEAST_BLOCK = 32768, 4096
 #: Queries of a tile that are worked on at once.
 ROWS = 256
 
@@ -81,6 +81,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOC
     queries = rows.filter("is_query")
     sizes = rows.agg(F.count("*").alias("all"), F.count_if("is_query").alias("queries")).first()
     n_c, n_q = max(1, -(-sizes["all"] // block)), max(1, -(-sizes["queries"] // block))
+    n_c = max(n_c, min(vectors.sparkSession.sparkContext.defaultParallelism, sizes["all"] // LEAST_BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).cast("int")
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("vec_id", "x", deal(n_q).alias("q_block"), tiles(n_c).alias("c_block"))

@@ -206,3 +206,37 @@ def prescreen(hits: DataFrame, keep: Column, max_keep: int) -> DataFrame:
 def rerank(hits: DataFrame, score: Column | None, n: int) -> DataFrame:
     """The ``n`` first by a score, or in the given order without one."""
     return hits.orderBy(*([F.desc_nulls_last(score)] if score is not None else []), "rank").limit(n)
+
+
+# Strategies: functions of (corpus, questions, k) to query_id, doc_id, score, rank. A corpus has vectors (doc_id, embedding) and
+# texts (doc_id, text); questions have query_id, query (a vector) and text.
+
+
+def classic(corpus: dict[str, DataFrame], questions: DataFrame, k: int) -> DataFrame:
+    """The nearest vectors."""
+    rows = corpus["vectors"].select(F.col("doc_id").alias("vec_id"), "embedding")
+    return nearest(rows, questions.select("query_id", "query"), k).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+def keyword(corpus: dict[str, DataFrame], questions: DataFrame, k: int) -> DataFrame:
+    """The best texts by their words."""
+    return bm25(corpus["texts"], questions.select("query_id", F.col("text").alias("query")), k).select("query_id", "doc_id", "score", "rank")
+
+
+def hybrid(corpus: dict[str, DataFrame], questions: DataFrame, k: int) -> DataFrame:
+    """Both, by reciprocal rank fusion; ties go to the smaller doc_id."""
+    lists = [hits.withColumn("rank", F.col("rank") - 1) for hits in (classic(corpus, questions, k), keyword(corpus, questions, k))]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return fuse(lists, ["query_id", "doc_id"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+RETRIEVERS: dict[str, Callable[[dict[str, DataFrame], DataFrame, int], DataFrame]] = {"classic": classic, "default": classic, "keyword": keyword, "hybrid": hybrid}
+
+
+def register(name: str, retriever: Callable[[dict[str, DataFrame], DataFrame, int], DataFrame]) -> None:
+    RETRIEVERS[name] = retriever
+
+
+def retrieve(name: str, corpus: dict[str, DataFrame], questions: DataFrame, k: int) -> DataFrame:
+    """Search by the named strategy; an unknown name is the classic one."""
+    return RETRIEVERS.get(name, classic)(corpus, questions, k)

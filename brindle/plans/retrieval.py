@@ -86,19 +86,32 @@ def hydrate_ranked(spark, sf):
     return relational.hydrate(ranked, d.select("doc_id", "source"), "doc_id")
 
 
-@query("keyword_bm25", """
-WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
+_BM25_SQL = """q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM d),
 p AS (SELECT term, doc_id, any_value(size) AS size, count(*) AS tf FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), stats GROUP BY 1, 2)
-SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), stats GROUP BY 1, 2)"""
+
+
+@query("keyword_bm25", f"WITH {_BM25_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def keyword_bm25(spark, sf):
     questions = table(spark, sf, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), questions, 10)
 
 
+@query("hybrid_search", f"""WITH {_BM25_SQL},
+x AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 100 = 0),
+c AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query), 6) AS score FROM embeddings, x),
+v AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM s),
+z AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score FROM v WHERE rank <= 10 GROUP BY 1, 2)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) WHERE rank <= 10""")
+def hybrid_search(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = table(spark, sf, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("doc_id"), "text").join(e, "doc_id").select(F.col("doc_id").alias("query_id"), "text", F.col("embedding").alias("query"))
+    return R.retrieve("hybrid", {"vectors": e, "texts": table(spark, sf, "documents").select("doc_id", "text")}, asked, 10)
+
+
 # Evaluation: expected items are those of a customer's priorities, retrieved ones follow its orders.
 
 _EVAL_SQL = """e AS (SELECT o_custkey AS q, list(o_orderkey % 10 ORDER BY o_orderkey) AS retrieved, list(DISTINCT o_orderkey % 10) FILTER (o_orderstatus = 'F') AS x FROM orders GROUP BY 1),

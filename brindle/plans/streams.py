@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.plans.registry import query
 from brindle.sources.files import table
+from brindle.sources.shared import fresh_path
 from brindle.streaming import jobs as J
 
 
@@ -102,6 +103,16 @@ def journal_append(spark, sf):
     return J.drain(J.journal(events.drop("copy"), "60 days"), "append").select("message_id", "sequence_no")
 
 
+@query("journal_writer", "SELECT conv_id AS message_id, turn AS sequence_no, count(*) AS n FROM conversations GROUP BY 1, 2")
+def journal_writer(spark, sf):
+    """Every turn written to a journal twice; what is there already is not written again."""
+    turns = J.table_stream(spark, f"{sf}/conversations.parquet").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"))
+    path = fresh_path(spark, "turns")
+    for _ in range(2):
+        J.write_journal(turns, path).awaitTermination()
+    return spark.read.parquet(path).groupBy("message_id", "sequence_no").agg(F.count("*").alias("n"))
+
+
 @query("usage_events", "SELECT conv_id, turn, CAST(CASE WHEN turn % 3 = 0 THEN 7 ELSE ceil(length(coalesce(text, '')) / 4.0) END AS BIGINT) AS prompt_tokens, CAST(ceil(length(role) / 4.0) AS BIGINT) AS generated_tokens FROM conversations")
 def usage_events(spark, sf):
     calls = table(spark, sf, "conversations").select(

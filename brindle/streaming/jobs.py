@@ -66,6 +66,23 @@ def journal(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return messages.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["message_id", "sequence_no"])
 
 
+def write_journal(messages: DataFrame, path: str, every: str | None = None):
+    """Append a stream to a journal on disk in small batches; (message_id, sequence_no) that is there already is rejected, row by row.
+
+    ``every`` is how long a batch gathers ("100 milliseconds"); without it all that is there is written and the query ends.
+    A batch that is run again after a failure adds nothing. Returns the streaming query.
+    """
+    keys, spark = ["message_id", "sequence_no"], messages.sparkSession
+    spark.createDataFrame([], messages.schema).write.mode("append").parquet(path)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        there = batch.sparkSession.read.schema(messages.schema).parquet(path).select(*keys)
+        batch.dropDuplicates(keys).join(there, keys, "left_anti").select(*messages.columns).write.mode("append").parquet(path)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return messages.writeStream.option("checkpointLocation", fresh_path(spark, "journal")).trigger(**trigger).foreachBatch(sink).start()
+
+
 def replay_after(rows: DataFrame, key: str, order: str, cursors: DataFrame) -> DataFrame:
     """Rows of each key after its cursor (all of them without one)."""
     joined = rows.join(cursors.select(key, F.col("last").alias("_last")), key, "left")

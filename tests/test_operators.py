@@ -156,6 +156,17 @@ def test_question_bm25_with_many_terms(spark, monkeypatch):
     assert first == [tuple(r) for r in retrieval.bm25(docs, asked, 5).orderBy("rank").collect()] and [r[1] for r in first] == [1, 2]
 
 
+def test_registries(spark):
+    chunking.register("halves", lambda text, low, high: [text[: len(text) // 2], text[len(text) // 2 :]])
+    assert [r["chunk"] for r in chunking.chunk(spark.createDataFrame([(1, "abcd")], "doc_id long, text string"), "halves").orderBy("part").collect()] == ["ab", "cd"]
+    scan.register(scan.Check("lower", {"X": "x+"}, 10))
+    assert one(spark, "axxb", scan.CHECKS["lower"].outcome(F.col("t")))[0]["spans"][0]["end"] == 3
+    retrieval.register("none", lambda corpus, questions, k: questions.limit(0))
+    corpus = {"vectors": spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")}
+    asked = spark.createDataFrame([(7, [1.0, 0.1], "q")], "query_id long, query array<double>, text string")
+    assert retrieval.retrieve("none", corpus, asked, 1).count() == 0 and retrieval.retrieve("unheard of", corpus, asked, 1).first()["doc_id"] == 1
+
+
 def test_whitelists(spark):
     rows = spark.createDataFrame([("r", "x", [], 1)], "repository string, source_type string, labels array<string>, comments int")
     for metric, dimension in (("mean", "repository"), ("count", "body")):

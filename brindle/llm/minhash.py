@@ -35,6 +35,8 @@ from brindle.llm.graph import components
 TILE_ROWS, TILE_COLUMNS = 256, 1024
 #: Bytes of runs that one call holds at about this number.
 TILE_BYTES = 8 << 20
+#: Texts whose names are broadcast to find them where they lie; more are joined.
+MAX_WANTED = 250_000
 #: Copies of a text look their class up in so many parts.
 SALTS = 16
 
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = source.mapInArrow(sign, "doc_id long, text_hash long, digest binary, sig binary").withColumn("row", F.monotonically_increasing_id())
     signed = cut(signed, "signed")
-    first = F.min(F.struct("doc_id", "row")).alias("first")
+    first = F.min(F.struct("doc_id", "row", "text_hash")).alias("first")
     # a class goes by the row number of its first document from here on
     classes = signed.filter("digest is not null").groupBy("digest").agg(first, F.any_value("sig").alias("sig"), F.count("*").alias("copies"))
     classes = cut(classes.select("digest", F.col("first.row").alias("cls"), "first", "sig", "copies"), "classes")
@@ -208,8 +210,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     # The runs of classes that share a bucket.
     shared = bucketed.groupBy("cls").agg(F.sum((F.col("n") - 1) * F.col("times")).alias("degree"))
-    texts = shared.select("cls").join(classes, "cls").select("cls", "digest", F.col("first.doc_id").alias("of"))
-    listed = source.select("doc_id", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "digest", "text")
+    name = lambda i, h: F.xxhash64(i, h).alias("name")
+    texts = cut(shared.select("cls").join(classes, "cls").select("cls", "digest", name("first.doc_id", "first.text_hash")), "wanted")
+    wanted = F.broadcast(texts) if texts.count() <= MAX_WANTED else texts
+    listed = source.select(name("doc_id", "text_hash"), "text").join(wanted, "name").select("cls", "digest", "text")
     listed = listed.mapInArrow(list_runs, "cls long, runs binary, counts binary, n long").dropDuplicates(["cls"])
     listed = cut(listed.join(classes.select("cls", "sig"), "cls"), "runs")
 
@@ -288,6 +292,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     single = of.filter("copies = 1").select(F.col("cls").alias("row"), F.col("head").alias("own"))
     worded = signed.filter("digest is not null").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     found = worded.join(copied, ["digest", "salt"], "left").join(single, "row", "left").select("doc_id", "row", "text_hash", F.coalesce("shared", "own").alias("head"))
-    bare = signed.filter("digest is null").select("doc_id", "row", "text_hash", F.struct("doc_id", "row").alias("head"))
+    bare = signed.filter("digest is null").select("doc_id", "row", "text_hash", F.struct("doc_id", "row", "text_hash").alias("head"))
     out = found.unionByName(bare)
     return out.select("doc_id", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"), "text_hash")

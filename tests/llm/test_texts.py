@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import language, lm_score, pii, substring
+from brindle.llm.common import rolling
 from tests.llm.data import awkward, documents, empty, sentence
 
 
@@ -95,12 +97,47 @@ def test_language_rejects_what_it_has_not_learned(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
+def test_language_features_and_logits_the_plain_way():
+    rng = np.random.default_rng(5)
+    texts = ["Das ist ein Test, ja.", "été à la côte", "a", "", None, "x" * 300 + " y", "das das das"]
+    model = language.LanguageModel(["a", "b", "c"], rng.normal(size=(512, 3)), rng.normal(size=3), 1.5, 0.4)
+    got, logits = language._bags(pa.array(texts, pa.string()), 512), model.logits(pa.array(texts, pa.string()))
+    for text, bag, found in zip(texts, got, logits):
+        want = np.zeros(512)
+        for word in (text or "").split():
+            data = np.array([language.BEGIN, *word.encode(), language.END])
+            for n in language.ORDERS:
+                for i in range(len(data) - n + 1):
+                    want[int(rolling(language._BYTE[data[i : i + n]], n)[0] % np.uint64(512))] += 1
+        assert bag.tolist() == want.tolist()
+        assert np.allclose(found, want @ model.table / max(want.sum(), 1) + model.bias)
+    best, p = model.predict(pa.array(texts[:1]))
+    e = np.exp(logits[0] / 1.5)
+    assert best[0] == logits[0].argmax() and np.isclose(p[0], (e / e.sum()).max())
+
+
+def test_language_calibration():
+    """The threshold is a quantile of scores of rows that the scoring model has not seen: nearly all such rows pass it."""
+    rng = np.random.default_rng(6)
+    bags = rng.poisson(1.0, (400, 64)).astype(np.float32)
+    langs = ["x" if i % 2 else "y" for i in range(400)]
+    bags[::2, :8] += 6
+    bags /= bags.sum(axis=1, keepdims=True)
+    model = language.train(bags[:300], langs[:300])
+    p = language.softmax((bags[300:] @ model.table + model.bias) / model.temperature)
+    assert (np.array(model.labels)[p.argmax(axis=1)] == np.array(langs[300:])).mean() > 0.97
+    assert (p.max(axis=1) >= model.threshold).mean() > 0.95 and 0.5 <= model.threshold < 1 and 1 <= model.temperature <= 20
+    assert language.train(bags[:10], langs[:10]).threshold == 0.0  # too few to calibrate: nothing is rejected
+
+
 def test_language_awkward(spark):
     got = language.predict(awkward(spark), None).collect()
     assert {r["lang_pred"] for r in got} == {"und"} and all(r["rejected"] for r in got)
     model = language.fit(awkward(spark))
     by_id = {r["doc_id"]: r for r in language.predict(awkward(spark), model).collect()}
     assert by_id[1]["lang_pred"] == "und" and by_id[1]["score"] == 0.0 and by_id[5]["lang_pred"] == "en"
+    kept = language.predict(awkward(spark), model, ("score", "text", "_text"))  # a kept column that is named like a result is left out
+    assert kept.columns == ["doc_id", "text", "_text", "lang_pred", "score", "rejected"] and kept.count() == 13
     assert language.predict(empty(spark), language.fit(empty(spark))).collect() == []
 
 

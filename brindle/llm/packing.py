@@ -35,8 +35,10 @@ from brindle.llm.common import cut, slices, split_words
 
 #: Pieces that one group holds at about this number.
 GROUP_PIECES = 4000
+#: Text handled at once, in bytes: the more, the fewer times a frequent word is looked up.
+SLICE_BYTES = 4 << 20
 #: Words of one generation that a worker remembers.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 200_000
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long"
 
@@ -162,7 +164,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 rows = []
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.texts(batch["text"])):
                     ids += end
@@ -299,7 +301,7 @@ def _placing(level: int):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 3, epochs: int = 3, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 2, epochs: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Give every piece (doc_id, piece, start, length, ids_crc32, part) a sequence_id and an offset."""
     out_schema = f"{_PIECE}, sequence_id long, offset long, fill long"
     done, left, level = None, cut(pieces, "pieces"), 0

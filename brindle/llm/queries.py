@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import embedding_dedup, language, lm_score, minhash, nearest, packing, pieces, pii, substring, warc
+from brindle.llm import divergence, embedding_dedup, language, lm_score, minhash, nearest, packing, pieces, pii, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_lm_scores": op2_lm_scores,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _WORDS = r"""
@@ -124,4 +129,20 @@ g AS (SELECT h, max(page_id) AS m, count(*) AS c FROM p WHERE octet_length(encod
 SELECT page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
   CASE WHEN c > 1 AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN c > 1 AND page_id IS DISTINCT FROM m THEN m END AS refers_to
 FROM p LEFT JOIN g ON p.h = g.h""",
+    "op11_source_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM docs),
+kept AS (SELECT lang, w, count(*) AS total FROM words GROUP BY lang, w HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, w, count(*) AS c FROM words GROUP BY ALL),
+filled AS (SELECT g.lang, g.source, k.w, k.total, coalesce(c.c, 0) AS c FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+n AS (SELECT lang, source, sum(c) AS n FROM filled GROUP BY lang, source),
+scored AS (SELECT f.lang, f.source, f.w, f.c, CAST(1 + (1000000000::HUGEINT * (f.c + 1)) // (n.n + s.v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (f.total + 1)) // (s.n + s.v) AS BIGINT) AS q
+  FROM filled f JOIN n ON f.lang = n.lang AND f.source = n.source JOIN sizes s ON s.lang = f.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM scored a JOIN scored b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, w AS item, (p - q) * (p - q) // q AS value FROM scored WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.json_text import replace_values
 from brindle.sources.shared import cut
 
 # The patterns, labels and word lists that results depend on.
@@ -110,8 +111,8 @@ def redact(text: Column, patterns: dict[str, str] = PII) -> Column:
 
 
 def redact_json(text: Column) -> Column:
-    """The values of secret-looking keys of a JSON text become ***, however deep; of a list or object, what stands up to its first comma or end."""
-    return F.regexp_replace(text, r'(?i)("[^"]*(?:password|secret|token|api_?key|authorization)[^"]*"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^,}\]\s]+)', '$1"***"')
+    """The whole values of keys that name a credential become "[REDACTED]", however deep; see ``replace_values``."""
+    return replace_values(text)
 
 
 def denylist(text: Column, terms: list[str], whole_words: bool = True, limit: int = 500) -> Column:

@@ -267,15 +267,18 @@ def redact_spans(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scan.redact(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query("redact_json", r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k":' || event_id || ',"api_key":"***"}' WHEN 1 THEN '{"a":{"Password":"***","b":[{"token":"***"},' || event_id || ']}}'
-  WHEN 2 THEN '{"authorization":"***","user":"' || user_id || '"}' ELSE '{"k":"no secret","n":' || event_id || '}' END AS text FROM events""")
+@query("redact_json", """SELECT doc_id, coalesce(text, '') AS body, '[REDACTED]' AS password, '[REDACTED]' AS api_keys, n_chars AS prompt_tokens, lang AS model, '[REDACTED]' AS token, '[REDACTED]' AS nested FROM documents""")
 def redact_json(spark, sf):
-    n = F.col("event_id").cast("string")
-    raw = (
-        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"k":'), n, F.lit(',"api_key":"ab\\"c"}'))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"a":{"Password":"x","b":[{"token":17},'), n, F.lit("]}}")))
-        .when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"authorization":null,"user":"'), F.col("user_id").cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"k":"no secret","n":'), n, F.lit("}")))
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
+    name = F.col
+    call = F.struct(F.array(name("text"), name("lang")).alias("API_Keys"), name("text").alias("body"), name("n_chars").alias("prompt_tokens"), F.struct(F.struct(name("source").alias("x"), F.array(F.lit(1), F.lit(2)).alias("y")).alias("db-Credentials"), name("lang").alias("model")).alias("config"))
+    raw = F.to_json(F.struct(F.struct(name("text").alias("hidden"), name("source").alias("user")).alias("password"), F.array(call, call).alias("calls"), F.lit(17).alias("token")))
+    text = F.col("text")
+    at = lambda path: F.get_json_object(text, path)
+    return d.select("doc_id", scan.redact_json(raw).alias("text")).select(
+        "doc_id", at("$.calls[1].body").alias("body"), at("$.password").alias("password"), at("$.calls[0].API_Keys").alias("api_keys"), at("$.calls[1].prompt_tokens").cast("long").alias("prompt_tokens"), at("$.calls[1].config.model").alias("model"),
+        at("$.token").alias("token"), at("$.calls[1].config.db-Credentials").alias("nested"),
     )
-    return table(spark, sf, "events").select("event_id", scan.redact_json(raw).alias("text"))
 
 
 @query("verdict_reduce", """WITH v AS (SELECT user_id, CASE WHEN value < 2 THEN 0 ELSE CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END END AS r FROM events)

@@ -28,14 +28,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
 
     ``rows`` has vec_id and embedding, ``queries`` query_id and query. measure is cosine (larger is
     nearer) or l2 (squared, smaller is nearer), rounded to 6 places; ties go to the smaller vec_id. Both sides are dealt into blocks;
-    a pair of blocks is a tile that returns its k best. Vectors of another length than the queries' (the longest) or
-    with null or non-finite components take no part, nor do zero vectors by cosine.
+    a pair of blocks is a tile that returns its k best. A query is compared with the rows of its own length, so tiles are
+    of one length; vectors with null or non-finite components take no part, nor do zero vectors by cosine.
     """
     within = within or []
-    width = queries.agg(F.max(F.size("query"))).first()[0] or 0
-    fine = lambda c: V.finite(F.col(c), width) if measure == "cosine" else V.finite(F.col(c), width) | (F.size(c) == width) & F.forall(c, lambda v: v == 0)
-    left = queries.filter(fine("query")).select("query_id", F.col("query").cast("array<double>").alias("query"))
-    right = rows.filter(fine("embedding")).select("vec_id", *within, F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = lambda c: V.finite(F.col(c)) if measure == "cosine" else V.finite(F.col(c)) | (F.size(c) > 0) & F.forall(c, lambda v: v == 0)
+    own = lambda c: F.col(c).cast("array<double>").alias(c)
+    left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", own("query"), F.size("query").alias("width"))
+    widths = left.groupBy("width").agg(F.count("*").alias("n"))  # a row for each length
+    right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, own("embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
     n_q, n_r = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // ROW_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -48,7 +49,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
     def tile(q: pa.Table, r: pa.Table) -> pa.Table:
         if not (q.num_rows and r.num_rows):
             return pa.table({f.name: pa.array([], f.type) for f in [q.schema.field("query_id"), r.schema.field("vec_id"), *(r.schema.field(c) for c in within), pa.field("score", pa.float64())]})
-        a, b = (np.asarray(t[c].combine_chunks().flatten(), dtype=float).reshape(-1, width) for t, c in ((q, "query"), (r, "embedding")))
+        a, b = (np.asarray(t[c].combine_chunks().flatten(), dtype=float).reshape(t.num_rows, -1) for t, c in ((q, "query"), (r, "embedding")))
         if measure == "cosine":
             score = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
         else:
@@ -71,7 +72,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
         value = far[at_q, at_r] if at_q else np.zeros(0)
         return found.add_column(0, "query_id", q["query_id"].take(pa.array(at_q, pa.int64()))).append_column("score", pa.array(-value if measure == "cosine" else value))
 
-    scored = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(tile, schema)
+    scored = left.groupBy("width", "q", "r").cogroup(right.groupBy("width", "q", "r")).applyInArrow(tile, schema)
     order = F.desc("score") if measure == "cosine" else F.asc("score")
     w = Window.partitionBy("query_id", *within).orderBy(order, "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

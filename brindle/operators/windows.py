@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from brindle.sources.shared import cut
 
 
+#: Rows of a group that a round folds: below Spark's limit for finding them before the shuffle (windowGroupLimitThreshold, 1000).
+ROUND = 900
+
+
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "_rank") -> DataFrame:
     """The first ``n`` rows of every group; Spark drops the others before the shuffle (window group limit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -58,43 +62,72 @@ def budget_prefix(rows: DataFrame, keys: list[str], order: list[Column], cost: s
     return paid.unionByName(free).withColumn("used", F.sum(cost).over(running)).filter(F.col("used") < budget)
 
 
-def budget_skip(rows: DataFrame, key: str, order: str, cost: str, budget: int, chunk: int = 10_000) -> DataFrame:
+def budget_skip(rows: DataFrame, key: str, order: str, cost: str, budget: int, chunk: int = ROUND) -> DataFrame:
     """order, key, used: rows of each group in order; one that does not fit is skipped and the next may fit.
 
-    Costs are whole and at least 1. A group is folded ``chunk`` rows at a time, found before the shuffle; what is
-    left of it after a round are the later rows that still fit into what is left of its budget. So no task
-    holds more of a group than a chunk, however large it is.
+    Costs are whole and at least 1. Groups are folded in rounds, see ``_in_rounds``.
+    """
+    return _in_rounds(rows, key, None, order, cost, 0, budget, chunk).select(order, key, "used")
+
+
+def shared_budget(rows: DataFrame, key: str, place: str, order: str, cost: str, k: int, budget: int, most: int | None = None, chunk: int = ROUND) -> DataFrame:
+    """key, place, order, used: one budget of each group over its sources, taken in order of ``place``.
+
+    A source's rows are taken in order, up to ``k`` of them; one that does not fit is skipped and the next may fit. What the
+    sources before have used is gone, so the last ones may get nothing. ``most`` keeps the first rows of a group, over all its
+    sources. Costs are whole. Groups are folded in rounds, see ``_in_rounds``; none has to fit into a task.
+    """
+    found = _in_rounds(rows, key, place, order, cost, k, budget, chunk).select(key, place, order, "used")
+    return found if most is None else newest(found, [key], [F.asc(place), F.asc(order), F.asc("used")], most)
+
+
+def _in_rounds(rows: DataFrame, key: str, place: str | None, order: str, cost: str, k: int, budget: int, chunk: int) -> DataFrame:
+    """The kept rows of each group with the budget used up to them.
+
+    A round folds the first ``chunk`` rows of every group, which Spark finds before the shuffle. What goes on is what the fold has used and how
+    many rows of its last source it has kept. Rows that no longer fit and rows of a source that has its ``k`` then go,
+    so what is left for the next round are later rows that may still be kept. So no task holds more of a group
+    than a chunk, however large it is, and there are about as many rounds as a group has chunks of rows that could fit.
     """
-    schema = T.StructType([*(rows.schema[c] for c in (key, order)), *(T.StructField(c, T.LongType()) for c in ("_row", "used")), *(T.StructField(c, T.BooleanType()) for c in ("kept", "more"))])
+    source = [place] if place else []
+    carried = (T.StructField("_row", T.LongType()), T.StructField("used", T.LongType()), T.StructField("_held", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("more", T.BooleanType()))
+    schema = T.StructType([*(rows.schema[c] for c in (key, *source, order)), *carried])
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("_rank")
-        used, keep, sums = table["_base"][0].as_py(), [], []
-        for i, c in enumerate(table["_cost"].to_pylist()):
-            if used + c < budget:
-                used += c
+        used, held, at = (table[c][0].as_py() for c in ("_base", "_held", "_place"))
+        keep, sums = [], []
+        for i, (c, p) in enumerate(zip(table["_cost"].to_pylist(), table[place or key].to_pylist())):
+            if p != at and place:
+                at, held = p, 0
+            if used + c < budget and (held < k or not place):
+                used, held = used + c, held + 1
                 keep.append(i)
                 sums.append(used)
-        last = table.num_rows - 1
-        picked = table.take(pa.array([*keep, last])).select([key, order, "_row"])
-        flags = [True] * len(keep) + [False]
-        more = [False] * len(keep) + [table.num_rows == chunk]
-        return picked.append_column("used", pa.array([*sums, used], pa.int64())).append_column("kept", pa.array(flags)).append_column("more", pa.array(more))
-
-    fits = rows.select(key, order, F.col(cost).cast("long").alias("_cost")).filter(F.col("_cost") < budget)
-    left = cut(fits.withColumn("_row", F.monotonically_increasing_id()).withColumn("_base", F.lit(0).cast("long")), "budget")
-    w = Window.partitionBy(key).orderBy(order, "_row")
+        picked = table.take(pa.array([*keep, table.num_rows - 1])).select([key, *source, order, "_row"])
+        n = len(keep)
+        columns = {"used": pa.array([*sums, used], pa.int64()), "_held": pa.array([0] * n + [held], pa.int64()), "kept": pa.array([True] * n + [False]), "more": pa.array([False] * n + [table.num_rows == chunk])}
+        for name, values in columns.items():
+            picked = picked.append_column(name, values)
+        return picked
+
+    of_place = F.col(place) if place else F.lit(0)
+    fits = rows.select(key, *source, order, F.col(cost).cast("long").alias("_cost")).filter(F.col("_cost") < budget)
+    left = cut(fits.select("*", F.monotonically_increasing_id().alias("_row"), F.lit(0).cast("long").alias("_base"), F.lit(0).cast("long").alias("_held"), F.lit(None).cast(dict(rows.dtypes)[place] if place else "int").alias("_place")), "budget")
+    w = Window.partitionBy(key).orderBy(*source, order, "_row")
+    position = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate((*source, order, "_row"))))
     rounds = []
     while True:
         ranked = left.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= chunk)
         folded = cut(ranked.groupBy(key).applyInArrow(fold, schema), "budget")
-        rounds.append(folded.filter("kept").select(order, key, "used"))
-        state = folded.filter("more").select(F.col(key).alias("_key"), F.struct(F.col(order).alias("o"), F.col("_row").alias("r")).alias("_last"), F.col("used").alias("_used"))
+        rounds.append(folded.filter("kept").select(key, *source, order, "used"))
+        state = folded.filter("more").select(F.col(key).alias("_key"), position.alias("_last"), of_place.alias("_at"), F.col("used").alias("_used"), F.col("_held").alias("_kept"))
         if state.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
-        later = left.join(state, F.col(key).eqNullSafe(F.col("_key")))
-        later = later.filter((F.struct(F.col(order).alias("o"), F.col("_row").alias("r")) > F.col("_last")) & (F.col("_used") + F.col("_cost") < budget))
-        left = cut(later.select(key, order, "_cost", "_row", F.col("_used").alias("_base")), "budget")
+        later = left.drop("_held", "_place").join(state, F.col(key).eqNullSafe(F.col("_key"))).filter((position > F.col("_last")) & (F.col("_used") + F.col("_cost") < budget))
+        if place:
+            later = later.filter(~(of_place.eqNullSafe(F.col("_at")) & (F.col("_kept") >= k)))
+        left = cut(later.select(key, *source, order, "_cost", "_row", F.col("_used").alias("_base"), F.col("_kept").alias("_held"), (F.col("_at") if place else F.lit(None).cast("int")).alias("_place")), "budget")
 
 
 def dispatch(hits: DataFrame, known: tuple[str, ...], budget: int, otherwise: str = "classic") -> DataFrame:

@@ -282,6 +282,29 @@ def token_budget_skip(spark, sf):
     return W.budget_skip(d, "source", "doc_id", "tokens", 4000)
 
 
+def _shared_walk(rows: str, k: int, budget: int, most: int) -> str:
+    """SQL: a walk over t (key, place, ord, doc_id, tokens), a row at a time, with what is used and how many rows of the source are kept."""
+    return f"""
+WITH RECURSIVE {rows},
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, ord, doc_id) AS r FROM t),
+walk AS (
+  SELECT key, r, place, doc_id, CASE WHEN tokens < {budget} THEN tokens ELSE 0 END AS used, CASE WHEN tokens < {budget} THEN 1 ELSE 0 END AS held, tokens < {budget} AS kept FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.key, n.r, n.place, n.doc_id, w.used + CASE WHEN w.used + n.tokens < {budget} AND (n.place <> w.place OR w.held < {k}) THEN n.tokens ELSE 0 END,
+    CASE WHEN n.place <> w.place THEN 0 ELSE w.held END + CASE WHEN w.used + n.tokens < {budget} AND (n.place <> w.place OR w.held < {k}) THEN 1 ELSE 0 END,
+    w.used + n.tokens < {budget} AND (n.place <> w.place OR w.held < {k})
+  FROM walk w JOIN n ON n.key = w.key AND n.r = w.r + 1),
+kept AS (SELECT key, place, doc_id, used, row_number() OVER (PARTITION BY key ORDER BY r) AS i FROM walk WHERE kept)
+SELECT key, place, doc_id, CAST(used AS BIGINT) AS used FROM kept WHERE i <= {most}"""
+
+
+@query("budget_over_sources", _shared_walk("t AS (SELECT coalesce(lang, '') AS key, coalesce(source, '') AS place, doc_id AS ord, doc_id, CAST(ceil(coalesce(n_chars, 0) / 4.0) AS BIGINT) AS tokens FROM documents)", 3, 9000, 25))
+def budget_over_sources(spark, sf):
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = table(spark, sf, "documents").select(text("lang").alias("key"), text("source").alias("place"), "doc_id", F.ceil(F.coalesce("n_chars", F.lit(0)) / F.lit(4)).cast("long").alias("tokens"))
+    return W.shared_budget(d, "key", "place", "doc_id", "tokens", 3, 9000, most=25)
+
+
 @query("history_budget", """
 WITH t AS (SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM conversations),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM t)

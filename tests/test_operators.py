@@ -126,6 +126,51 @@ def test_budget_skip_in_chunks_equals_one_walk(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_shared_budget_over_sources(spark):
+    """Against a plain walk; small chunks, so that budgets and counts are carried from round to round."""
+    rng = np.random.default_rng(5)
+    rows = [(None if q == 2 else q, f"s{s}", i, int(c)) for q in range(4) for s in range(6) for i, c in enumerate(rng.integers(1, 60, 30))]
+    for k, budget, most in ((3, 400, None), (50, 300, 7), (1, 10_000, None), (4, 90, 5)):
+        want, used, held = [], {}, {}
+        for q, s, o, c in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+            if held.get((q, s), 0) < k and used.get(q, 0) + c < budget:
+                used[q], held[q, s] = used.get(q, 0) + c, held.get((q, s), 0) + 1
+                if most is None or sum(w[0] == q for w in want) < most:
+                    want.append((q, s, o, used[q]))
+        frame = spark.createDataFrame(rows, "q int, s string, o int, c long").repartition(3)
+        for chunk in (4, 1000):
+            got = [tuple(r) for r in windows.shared_budget(frame, "q", "s", "o", "c", k, budget, most, chunk).select("q", "s", "o", "used").collect()]
+            assert sorted(got, key=str) == sorted(want, key=str), (k, budget, most, chunk)
+
+
+def test_budget_rounds_find_their_rows_before_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "id AS o", "id AS c")
+    from pyspark.sql import Window
+
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy("o"))).filter(F.col("_rank") <= windows.ROUND)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
+
+
+def test_nearest_takes_each_query_at_its_own_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 + (i % 3 == 0)).tolist()) for i in range(30)] + [(90, None), (91, []), (92, [float("nan")] * 3), (93, [None, 1.0, 2.0]), (94, [0.0] * 3)]
+    asked = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 0.0, 0.0, 1.0]), (3, [1.0]), (4, []), (5, None), (6, [0.0] * 3)]
+    frame, queries = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(asked, "query_id long, query array<double>")
+    for measure in ("cosine", "l2"):
+        want = []
+        for q, x in asked:
+            score = {}
+            for v, y in rows:
+                if not x or not y or len(x) != len(y) or any(c is None or c != c for c in y) or measure == "cosine" and not (any(x) and any(y)):
+                    continue
+                a, b = np.array(x), np.array(y)
+                score[v] = round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b) if measure == "cosine" else ((a - b) ** 2).sum()), 6)
+            order = sorted(score, key=lambda v: (-score[v] if measure == "cosine" else score[v], v))[:5]
+            want += [(q, v, i + 1, score[v]) for i, v in enumerate(order)]
+        got = [(r["query_id"], r["vec_id"], r["rank"], r["score"]) for r in retrieval.nearest(frame, queries, 5, measure).collect()]
+        assert sorted(got) == sorted(want), measure
+
+
 def test_points_with_few_words(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "xone two three four fivex"), (3, "two")], "doc_id long, t string")
     points = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, "ne two three four fi"), (4, "seven")], "item_id long, point string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import vectors as V
 from brindle.operators import relational, retrieval as R
 from brindle.operators import topics as T
+from brindle.operators.graph_search import graph_search
 from brindle.plans.registry import query
 from brindle.plans.tables import RECORDS_SQL, records
 from brindle.sources.files import table
@@ -112,6 +113,30 @@ def hybrid_search(spark, sf):
     return R.retrieve("hybrid", {"vectors": e, "texts": table(spark, sf, "documents").select("doc_id", "text")}, asked, 10)
 
 
+# Graph retrieval: suppliers and parts (modulo 97) as nodes of the graphs of the three return flags, orders as mentions of documents; sources of
+# documents have vectors only.
+
+
+def graph_corpus(spark, sf):
+    """What ``graph_search`` reads, of the tables."""
+    line = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("source_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 97).cast("string")).alias("dst"), (F.col("l_orderkey") % 977).alias("chunk"), "l_quantity")
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "text")
+    number = F.regexp_replace("node", "^.", "").cast("long")
+    nodes = line.select("source_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("vec_id", F.when(F.col("node").startswith("p"), number).otherwise(number + 97))
+    mentions = line.select("source_id", F.col("src").alias("node"), "chunk").distinct()
+    graphed = line.select("source_id", "chunk").distinct().join(d.drop("source_id"), "chunk")
+    sources = line.select("source_id").unionByName(d.select("source_id")).distinct().filter("source_id is not null").select("source_id", F.crc32("source_id").alias("place"))
+    return {
+        "sources": sources, "nodes": nodes.join(e.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id"), "edges": line.groupBy("source_id", "src", "dst").agg(F.sum("l_quantity").alias("weight")), "links": mentions,
+        "chunks": graphed.select("source_id", "chunk", "name", "text").unionByName(d), "vectors": d.join(e.select(F.col("vec_id").alias("chunk"), "embedding"), "chunk").select("source_id", "chunk", "embedding"),
+    }
+
+
+@query("graphrag_search")
+def graphrag_search(spark, sf):
+    return graph_search(graph_corpus(spark, sf), _queries(spark, sf), 92, tokens=4000)
+
+
 # Evaluation: expected items are those of a customer's priorities, retrieved ones follow its orders.
 
 _EVAL_SQL = """e AS (SELECT o_custkey AS q, list(o_orderkey % 10 ORDER BY o_orderkey) AS retrieved, list(DISTINCT o_orderkey % 10) FILTER (o_orderstatus = 'F') AS x FROM orders GROUP BY 1),

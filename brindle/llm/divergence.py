@@ -39,13 +39,14 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Rows of counts that a task combines before it sends them.
-COMBINED_ROWS = 1_000_000
+COMBINED_ROWS = 700_000
 #: Pairs of entries that a task works on at once.
 PAIRS_AT_ONCE = 1 << 20
 
 #: Letters to lower case, bytes of characters beyond ASCII as they are, all others to a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+_HELD = pa.schema([("group", pa.int64()), ("term", pa.string()), ("document", pa.int64()), ("n_docs", pa.int64()), ("count", pa.int64())])
 _COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("document", pa.int64()), ("n_docs", pa.int64()), ("count", pa.int64())])
 
 
@@ -56,45 +57,47 @@ def _letters(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(array), [None, array.buffers()[1], pa.py_buffer((data.to_pybytes() if data else b"").translate(_LETTERS))], offset=array.offset)
 
 
-def _count_slice(batch: pa.RecordBatch) -> pa.Table:
-    """lang, term, source, smallest document, documents and occurrences of a slice."""
+def _count_slice(batch: pa.RecordBatch, groups: dict[tuple[str, str], int]) -> pa.Table:
+    """group (a number for lang and source), term, smallest document, documents and occurrences of a slice."""
     codes, offsets, terms = split_words(_letters(batch["text"]))
     owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    langs, sources = batch["lang"].dictionary_encode(), batch["source"].dictionary_encode()
-    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch["lang"].to_pylist(), batch["source"].to_pylist())], np.int64)
     width = max(len(terms), 1)
     held, times = np.unique(owner * width + codes, return_counts=True)
     owner, code = held // width, held % width
-    key = group[owner] * width + code
+    key = group[owner] * width + code if len(owner) else owner
     order = np.lexsort((owner, key))
     key, owner, times = key[order], owner[order], times[order]
     starts = np.flatnonzero(runs(key)) if len(key) else np.zeros(0, np.int64)
-    document = pc.take(batch["doc_id"], pa.array(owner[starts]))
-    g = key[starts] // width
-    return pa.table(
-        [
-            langs.dictionary.take(pa.array(g // len(sources.dictionary) if len(g) else g)), terms.cast(pa.string()).take(pa.array(key[starts] % width)), sources.dictionary.take(pa.array(g % len(sources.dictionary) if len(g) else g)),
-            document, np.diff(np.append(starts, len(key))), np.add.reduceat(times, starts) if len(starts) else np.zeros(0, np.int64),
-        ], schema=_COUNTS,
-    )
+    columns = [key[starts] // width, terms.cast(pa.string()).take(pa.array(key[starts] % width)), batch["doc_id"].take(pa.array(owner[starts])), np.diff(np.append(starts, len(key))), np.add.reduceat(times, starts) if len(starts) else starts]
+    return pa.table(columns, schema=_HELD)
 
 
 def _combined(tables: list[pa.Table]) -> pa.Table:
-    got = pa.concat_tables(tables).group_by(["lang", "term", "source"]).aggregate([("document", "min"), ("n_docs", "sum"), ("count", "sum")])
-    return got.select(["lang", "term", "source", "document_min", "n_docs_sum", "count_sum"]).rename_columns(_COUNTS.names).cast(_COUNTS)
+    got = pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("document", "min"), ("n_docs", "sum"), ("count", "sum")])
+    return got.select(["group", "term", "document_min", "n_docs_sum", "count_sum"]).rename_columns(_HELD.names).cast(_HELD)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
+    groups: dict[tuple[str, str], int] = {}
+
+    def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+        for b in table.to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([langs.take(b["group"]), b["term"], sources.take(b["group"]), *(b[c] for c in ("document", "n_docs", "count"))], schema=_COUNTS)
+
     for whole in batches:
         for batch in slices(whole, "text"):
-            held.append(_count_slice(batch))
-            if sum(t.num_rows for t in held) > 2 * COMBINED_ROWS:
+            held.append(_count_slice(batch, groups))
+            if sum(t.num_rows for t in held) > COMBINED_ROWS:
                 held = [_combined(held)]
-                if held[0].num_rows > COMBINED_ROWS:
-                    yield from held.pop().to_batches(max_chunksize=50_000)
+                pa.default_memory_pool().release_unused()
+                if held[0].num_rows > COMBINED_ROWS // 2:
+                    yield from sent(held.pop())
+                    groups = {}
     if held:
-        yield from _combined(held).to_batches(max_chunksize=50_000)
+        yield from sent(_combined(held))
 
 
 def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:

@@ -1,10 +1,10 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
 Tokenising is a map over whole texts. The pieces (a few numbers each) are dealt at random into
-groups of bounded size; every group is evolved on several islands, tasks of their own that start
-from different orders. Crossover injects whole well-filled sequences of one parent into the
-other, drops the sequences that hold a duplicate and best-fits the displaced pieces. After an
-epoch each island's elite migrates to the next island of its group. The poorly filled sequences
+groups of bounded size; every group is packed once, and those that are above the bound then are evolved on
+several islands, tasks of their own that start from different orders. Crossover injects whole well-filled sequences of one parent into the
+other, drops the sequences that hold a duplicate and the worst, lets displaced pieces replace worse ones where they fill
+a sequence better, and best-fits the others. After an epoch each island's elite migrates to the next island of its group. The poorly filled sequences
 that the groups leave are dissolved and packed again across groups, until one group is left.
 A group stops as soon as it reaches the bound ceil(tokens / capacity).
 
@@ -202,16 +202,65 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+#: Items of a bin of which pairs are tried when better ones are looked for.
+TRIED = 24
+
+
+def fill_better(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Change none, one or two items of a bin for one or two loose ones that fill it better, as long as some do; what is loose then."""
+    order = sorted(loose, key=lambda i: (sizes[i], i))
+    values = [sizes[i] for i in order]
+    for k, own in enumerate(bins):
+        room = capacity - sum(sizes[i] for i in own)
+        while room and order:
+            best: tuple[int, tuple, tuple] = (0, (), ())
+            pairs = [(x, y) for n, x in enumerate(own[:TRIED]) for y in own[:n]]
+            # of equal sizes, the first will do
+            outs = {sum(sizes[i] for i in out): out for out in [*reversed(pairs), *((i,) for i in own), ()]}
+            for size, out in outs.items():
+                high = bisect.bisect_right(values, size + room) - 1
+                if high >= 0 and values[high] - size > best[0]:
+                    best = (values[high] - size, out, (high,))
+                low = 0
+                while low < high:  # two loose items, from both ends
+                    both = values[low] + values[high]
+                    if both > size + room:
+                        high -= 1
+                        continue
+                    if both - size > best[0]:
+                        best = (both - size, out, (low, high))
+                    low += 1
+                if best[0] == room:
+                    break
+            gain, out, into = best
+            if not gain:
+                break
+            own[:] = [i for i in own if i not in out] + [order[x] for x in into]
+            for x in reversed(into):
+                del order[x], values[x]
+            for i in out:
+                at = bisect.bisect_left(values, sizes[i])
+                values.insert(at, sizes[i])
+                order.insert(at, i)
+            room -= gain
+    return order
+
+
 def crossover(into: list[list[int]], of: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of one parent; bins that hold a duplicate go, their other items are placed again."""
-    ranked = sorted(of, key=lambda b: -sum(sizes[i] for i in b))
+    """Inject well-filled bins of one parent; bins that hold a duplicate go, and so do the worst of all.
+
+    Their other items first replace worse ones of the bins that stay (``fill_better``), then best fit places what is loose.
+    """
+    fill = lambda b: sum(sizes[i] for i in b)
+    ranked = sorted(of, key=lambda b: -fill(b))
     inject = [list(b) for b in ranked[: max(1, len(ranked) * 3 // 4)] if rng.random() < 0.5]
     taken = {i for b in inject for i in b}
-    keep = [list(b) for b in into if taken.isdisjoint(b)]
-    worst = sorted(range(len(keep)), key=lambda k: sum(sizes[i] for i in keep[k]))[: max(1, len(keep) // 50)]
-    loose = [i for b in into if not taken.isdisjoint(b) for i in b if i not in taken] + [i for k in worst for i in keep[k]]
-    keep = [b for k, b in enumerate(keep) if k not in set(worst)]
-    return best_fit(inject + keep, loose, sizes, capacity)
+    loose = [i for b in into if not taken.isdisjoint(b) for i in b if i not in taken]
+    bins = inject + [list(b) for b in into if taken.isdisjoint(b)]
+    worst = set(sorted(range(len(bins)), key=lambda k: fill(bins[k]) + rng.random())[: max(2, len(bins) // 12)])
+    loose += [i for k in worst for i in bins[k]]
+    bins = [b for k, b in enumerate(bins) if k not in worst]
+    return best_fit(bins, fill_better(bins, loose, sizes, capacity), sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = 8, generations: int = 40) -> list[list[int]]:
@@ -272,8 +321,8 @@ def _epoch(pieces: DataFrame, elites: DataFrame | None, capacity: int, islands:
     def later(key: tuple, table: pa.Table, sent: pa.Table) -> pa.Table:
         return island(key, table, sent["bins"].to_pylist())
 
-    copies = pieces.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands)))))
-    if elites is None:
+    copies = pieces.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands if elites is not None else 1)))))
+    if elites is None:  # one island tells which groups best fit leaves above the bound
         return copies.groupBy("grp", "island").applyInArrow(first, schema)
     migrants = elites.select("grp", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))).alias("island"), "bins")
     copies = copies.join(elites.filter("n_bins > bound").select("grp").distinct(), "grp", "left_semi")
@@ -301,7 +350,7 @@ def _placing(level: int):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 2, epochs: int = 2, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, islands: int = 3, epochs: int = 3, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Give every piece (doc_id, piece, start, length, ids_crc32, part) a sequence_id and an offset."""
     out_schema = f"{_PIECE}, sequence_id long, offset long, fill long"
     done, left, level = None, cut(pieces, "pieces"), 0

@@ -8,6 +8,7 @@ from brindle.plans.registry import query
 from brindle.sources.files import table
 from brindle.sources.shared import fresh_path
 from brindle.streaming import jobs as J
+from brindle.streaming import release, writer
 
 
 def _window(df):
@@ -103,14 +104,17 @@ def journal_append(spark, sf):
     return J.drain(J.journal(events.drop("copy"), "60 days"), "append").select("message_id", "sequence_no")
 
 
-@query("journal_writer", "SELECT conv_id AS message_id, turn AS sequence_no, count(*) AS n FROM conversations GROUP BY 1, 2")
+@query("journal_writer", """WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT DISTINCT conv_id, turn, any_value(text) AS text FROM conversations GROUP BY 1, 2))
+SELECT conv_id AS message_id, turn AS sequence_no, text, CAST((i - 1) // 4 + 1 AS BIGINT) AS flush, CASE WHEN i <= n - n % 4 THEN 'size' ELSE 'close' END AS reason FROM t""")
 def journal_writer(spark, sf):
-    """Every turn written to a journal twice; what is there already is not written again."""
-    turns = J.table_stream(spark, f"{sf}/conversations.parquet").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"))
-    path = fresh_path(spark, "turns")
+    """Every turn written to a journal, four at a time, by two queries one after the other; the second finds all of it there."""
+    path = f"{sf}/conversations.parquet"
+    ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
+    turns = J.table_stream(spark, path).join(ends, "conv_id").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), "text", (F.col("turn") == F.col("end")).alias("last"))
+    to = fresh_path(spark, "turns")
     for _ in range(2):
-        J.write_journal(turns, path).awaitTermination()
-    return spark.read.parquet(path).groupBy("message_id", "sequence_no").agg(F.count("*").alias("n"))
+        writer.finish(writer.write_journal(turns, to, size=4))
+    return writer.read_journal(spark, to)
 
 
 @query("usage_events", "SELECT conv_id, turn, CAST(CASE WHEN turn % 3 = 0 THEN 7 ELSE ceil(length(coalesce(text, '')) / 4.0) END AS BIGINT) AS prompt_tokens, CAST(ceil(length(role) / 4.0) AS BIGINT) AS generated_tokens FROM conversations")
@@ -127,7 +131,7 @@ def sentence_segments(spark, sf):
     path = f"{sf}/conversations.parquet"
     ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
     chunks = J.table_stream(spark, path).join(ends, "conv_id")
-    return J.drain(J.segment_stream(chunks.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), "text", (F.col("turn") == F.col("end")).alias("last"))), "append")
+    return J.drain(release.segment_stream(chunks.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), "text", (F.col("turn") == F.col("end")).alias("last"))), "append")
 
 
 @query("stream_redact_equiv")
@@ -137,4 +141,4 @@ def stream_redact_equiv(spark, sf):
     ends = spark.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("end"))
     chunks = J.table_stream(spark, path).join(ends, "conv_id")
     chunks = chunks.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("sequence_no"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), (F.col("turn") == F.col("end")).alias("last"))
-    return J.drain(J.redact_stream(chunks), "append")
+    return J.drain(release.redact_stream(chunks), "append")

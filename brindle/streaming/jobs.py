@@ -1,17 +1,11 @@
-"""Structured Streaming: event windows, journals, capped streams, streaming redaction; and their batch forms."""
+"""Structured Streaming: event windows, journals, capped streams; and their batch forms."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.functions.text import approx_tokens
-from brindle.operators import scan
 from brindle.sources.shared import fresh_path
 
 
@@ -66,23 +60,6 @@ def journal(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return messages.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["message_id", "sequence_no"])
 
 
-def write_journal(messages: DataFrame, path: str, every: str | None = None):
-    """Append a stream to a journal on disk in small batches; (message_id, sequence_no) that is there already is rejected, row by row.
-
-    ``every`` is how long a batch gathers ("100 milliseconds"); without it all that is there is written and the query ends.
-    A batch that is run again after a failure adds nothing. Returns the streaming query.
-    """
-    keys, spark = ["message_id", "sequence_no"], messages.sparkSession
-    spark.createDataFrame([], messages.schema).write.mode("append").parquet(path)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        there = batch.sparkSession.read.schema(messages.schema).parquet(path).select(*keys)
-        batch.dropDuplicates(keys).join(there, keys, "left_anti").select(*messages.columns).write.mode("append").parquet(path)
-
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return messages.writeStream.option("checkpointLocation", fresh_path(spark, "journal")).trigger(**trigger).foreachBatch(sink).start()
-
-
 def replay_after(rows: DataFrame, key: str, order: str, cursors: DataFrame) -> DataFrame:
     """Rows of each key after its cursor (all of them without one)."""
     joined = rows.join(cursors.select(key, F.col("last").alias("_last")), key, "left")
@@ -126,95 +103,6 @@ def rate_budget(rows: DataFrame, key: str, gap: str, seconds: int, budget: int)
     return numbered.withColumn("used", F.row_number().over(inner)).withColumn("allowed", F.col("used") <= budget).drop("_fresh", "_session")
 
 
-#: Characters that a redactor holds at most; beyond, it lets go of what it must.
-MAX_HOLD = 16_000
-#: An expensive check sees a text up to the last end of a sentence, once so many characters are there.
-SEGMENT = 400
-
-
-def _luhn(digits: str) -> bool:
-    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
-    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
-
-
-def redact_stream(chunks: DataFrame, patterns: dict[str, str] | None = None, hold: int = scan.LONGEST["pii"]) -> DataFrame:
-    """message_id, sequence_no, text: redacted text as it may be released, for a stream of chunks.
-
-    The tail of a message, up to ``hold`` characters (as long as the longest match) and back to a white space, waits for the next chunk, so that a match across
-    chunks is caught; a chunk marked last releases all. Where more than ``MAX_HOLD`` characters have no white space, the
-    tail alone waits, and of a match that is longer than it the end may be released. Chunks of a message come in order.
-    """
-    compiled = {k: re.compile(p, re.ASCII) for k, p in (patterns or scan.PII).items()}
-
-    def found(text: str, begin: int) -> list[tuple[int, int, str]]:
-        """Spans behind ``begin``; the character before it is context."""
-        out = []
-        for label, pattern in compiled.items():
-            for m in pattern.finditer(text, begin):
-                if label == "CREDIT_CARD" and not _luhn(re.sub("[^0-9]", "", m[0])):
-                    continue
-                out.append((*m.span(1 if pattern.groups and m[1] else 0), label))
-        return sorted(out)
-
-    def release(text: str, begin: int, end: int, spans: list[tuple[int, int, str]]) -> str:
-        out, at = [], begin
-        for a, b, label in spans:
-            if b > end:
-                break
-            if a >= at:
-                out += [text[at:a], f"[{label}]"]
-            at = max(at, b)
-        return "".join([*out, text[at:end]])
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, held = state.get if state.exists else ("", "")
-        rows = pd.concat(list(parts)).sort_values("sequence_no")
-        out = []
-        for seq, text, last in zip(rows["sequence_no"], rows["text"], rows["last"]):
-            whole, begin = before + held + (text or ""), len(before)
-            spans = found(whole, begin)
-            limit = len(whole) if last else max(begin, len(whole) - hold)
-            end = limit
-            while not last and end > begin and not whole[end - 1].isspace():
-                end -= 1  # no word is cut
-            if not last and end == begin and limit - begin > MAX_HOLD:
-                end = limit
-            cut_ = True
-            while cut_:  # a match is released whole or not at all
-                cut_ = [a for a, b, _ in spans if a < end < b]
-                end = min([end, *cut_])
-            out.append((key[0], seq, release(whole, begin, end, spans)))
-            before, held = whole[max(end - 1, 0) : end], whole[end:]
-        state.update((before, held))
-        yield pd.DataFrame(out, columns=["message_id", "sequence_no", "text"])
-
-    return chunks.groupBy("message_id").applyInPandasWithState(step, "message_id long, sequence_no long, text string", "before string, held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def segment_stream(chunks: DataFrame, least: int = SEGMENT) -> DataFrame:
-    """message_id, sequence_no, text: whole sentences for checks that are dear, at least ``least`` characters at a time.
-
-    Text is held until an end of a sentence (or line) lies behind ``least`` characters; a chunk marked last releases all, and
-    so does more than ``MAX_HOLD`` characters without one.
-    """
-    stop = re.compile(r"[.!?\n](?=\s|$)")
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(parts)).sort_values("sequence_no")
-        out = []
-        for seq, text, last in zip(rows["sequence_no"], rows["text"], rows["last"]):
-            held += text or ""
-            ends = [m.end() for m in stop.finditer(held)]
-            end = len(held) if last or len(held) > MAX_HOLD else ends[-1] if ends and len(held) >= least else 0
-            out.append((key[0], seq, held[:end]))
-            held = held[end:]
-        state.update((held,))
-        yield pd.DataFrame([r for r in out if r[2]], columns=["message_id", "sequence_no", "text"])
-
-    return chunks.groupBy("message_id").applyInPandasWithState(step, "message_id long, sequence_no long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
-
-
 def usage_events(calls: DataFrame) -> DataFrame:
     """One row a call: request_id, prompt_tokens, generated_tokens, counted by the provider where it says so, else by the length of the texts."""
     return calls.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import routing, text, vectors
 from brindle.operators import aggregates, chunking, graph, relational, retrieval, scan, tables, topics, windows
 from brindle.sources import files, shared
-from brindle.streaming import jobs
+from brindle.streaming import jobs, release, writer
 
 
 def one(spark, value, *columns):
@@ -252,10 +252,103 @@ def test_streaming_redaction_equals_batch(spark, tmp_path):
         rows = [(1, i, whole[a:b], b == len(whole)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
         spark.createDataFrame(rows, "message_id long, sequence_no long, text string, last boolean").write.parquet(f"{tmp_path}/{kind}")
         stream = jobs.table_stream(spark, f"file://{tmp_path}/{kind}")
-        out = "".join(r["text"] for r in jobs.drain(jobs.redact_stream(stream, patterns, scan.LONGEST[kind]), "append").orderBy("sequence_no").collect())
+        out = "".join(r["text"] for r in jobs.drain(release.redact_stream(stream, patterns, scan.LONGEST[kind]), "append").orderBy("sequence_no").collect())
         assert out == one(spark, whole, scan.redact(F.col("t"), patterns))[0]
 
 
+def test_release_waits_for_a_white_space_outside_of_matches():
+    import re
+
+    patterns = {"AB": re.compile("a+ b"), "DIGITS": re.compile("[0-9]{3,}")}
+    text = release.Redactor(patterns, 4)
+    assert text.push("one two a", False) == "one "  # "two a" is nearer to the end than the longest match
+    assert text.push("aa bcd", False) == "two "  # the white space within the match is no place to cut
+    assert text.push("efgh ij", False) == ""
+    assert text.push("", True) == "[AB]cdefgh ij"
+    for whole in ("x" * 40_000, "x" * 30_000 + "123" + "y" * 20_000 + "4567"):
+        text, out = release.Redactor(patterns, 8), ""
+        for k in range(0, len(whole), 7001):
+            out += text.push(whole[k : k + 7001], False)
+            assert len(text.held) <= release.MAX_HOLD + 7001 + 8
+        assert out + text.push("", True) == re.sub("[0-9]{3,}", "[DIGITS]", whole) and len(out) > 10_000
+
+
+def test_release_of_random_texts_in_random_chunks():
+    import random
+    import re
+
+    patterns = {"AB": re.compile("a[ab ]{0,3}b"), "BC": re.compile("b+c"), "N": re.compile("(?<![0-9x])[0-9]{2}")}
+    rng = random.Random(6)
+    for _ in range(300):
+        whole = "".join(rng.choice("aabbc  x19") for _ in range(rng.randrange(60)))
+        text, got, at = release.Redactor(patterns, 6), "", 0
+        while at < len(whole):
+            more = rng.randrange(1, 9)
+            got += text.push(whole[at : at + more], at + more >= len(whole))
+            at += more
+        spans = release.merged([(*m.span(), k) for k, p in patterns.items() for m in p.finditer(whole)])
+        want = "".join(f"{whole[before:a]}[{k}]" for (a, _, k), before in zip(spans, [0, *(b for _, b, _ in spans)])) + whole[spans[-1][1] if spans else 0 :]
+        assert got == want, whole
+
+
+def test_sentences():
+    assert release.sentences("One. Two", 3) == 4 and release.sentences("One. Two", 30) == 0 and release.sentences("v1.2 is", 3) == 0
+    assert release.sentences("a\nb. c! d", 1) == 7 and release.sentences("x" * 16_001, 400) == 16_001
+
+
+def test_ranges_of_numbers():
+    import random
+
+    for seed in range(20):
+        rng, ranges, there = random.Random(seed), [], set()
+        for _ in range(80):
+            n = rng.randrange(40)
+            assert writer.add_number(ranges, n) == (n not in there)
+            there.add(n)
+            assert {x for a, b in ranges for x in range(a, b + 1)} == there and all(b + 1 < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+JOURNAL = "message_id long, sequence_no long, text string, last boolean"
+
+
+def journal_rows(spark, path):
+    return sorted((r["message_id"], r["sequence_no"], r["text"], r["flush"], r["reason"]) for r in writer.read_journal(spark, path).collect())
+
+
+def test_journal_writer_by_size_and_by_time(spark, tmp_path):
+    rows = [(1, n, f"t{n}", False) for n in range(40)] + [(1, 7, "again", False)] + [(2, n, None, False) for n in range(3)] + [(3, n, "x", n == 4) for n in range(5)]
+    spark.createDataFrame(rows, JOURNAL).repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = jobs.table_stream(spark, f"file://{tmp_path}/in")
+    writer.finish(writer.write_journal(stream, f"{tmp_path}/out"))
+    got = journal_rows(spark, f"{tmp_path}/out")
+    assert [(m, n) for m, n, *_ in got] == [(1, n) for n in range(40)] + [(2, n) for n in range(3)] + [(3, n) for n in range(5)]
+    assert {(m, f, r) for m, _, _, f, r in got} == {(1, 1, "size"), (1, 2, "size"), (1, 3, "time"), (2, 1, "time"), (3, 1, "close")}
+    assert [sum((m, f) == (1, k) for m, _, _, f, _ in got) for k in (1, 2, 3)] == [16, 16, 8] and all(t != "again" for _, _, t, _, _ in got)
+
+
+def test_journal_writer_runs_a_batch_again(spark, tmp_path):
+    """A crash after a batch was written and before it was committed: it is run again and nothing comes twice. Then a new query adds what is new."""
+    import os
+
+    put = lambda rows: spark.createDataFrame(rows, JOURNAL).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put([(1, n, "a", n == 19) for n in range(20)])
+    stream = jobs.table_stream(spark, f"file://{tmp_path}/in")
+    state, out = f"{tmp_path}/state", f"{tmp_path}/out"
+    writer.finish(writer.write_journal(stream, out, checkpoint=f"file://{state}"))
+    first = journal_rows(spark, out)
+    for log, least in (("commits", 0), ("offsets", 1)):  # as it was when batch 0 had been written
+        for name in os.listdir(f"{state}/{log}"):
+            number = name.strip(".").removesuffix(".crc")
+            if number.isdigit() and int(number) >= least:
+                os.remove(f"{state}/{log}/{name}")
+    writer.finish(writer.write_journal(stream, out, checkpoint=f"file://{state}"))
+    assert journal_rows(spark, out) == first and len(first) == 20
+    put([(1, n, "b", n == 22) for n in range(23)] + [(2, 0, "c", True)])
+    writer.finish(writer.write_journal(stream, out))
+    got = journal_rows(spark, out)
+    assert got == first + [(1, n, "b", 3, "close") for n in (20, 21, 22)] + [(2, 0, "c", 1, "close")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.md").write_text("# one")
     (tmp_path / ".hidden.md").write_text("no")

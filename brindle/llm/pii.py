@@ -298,7 +298,7 @@ def train(spark: SparkSession, n: int = 4000, **options) -> Boosted:
     return boost(x, y, template % 4 == 1, **options)
 
 
-_RESULTS = (*(f"n_{k}" for k in ALL_KINDS), "n_spans", "base_sha256", "spans", "found")
+_RESULTS = (*(f"n_{k}" for k in ALL_KINDS), "n_spans", "base_sha256", "spans", "secret_spans", "found")
 
 
 def _marked(docs: DataFrame, model: Boosted) -> DataFrame:
@@ -316,17 +316,18 @@ def _marked(docs: DataFrame, model: Boosted) -> DataFrame:
 
 
 def find(docs: DataFrame, model: Boosted | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, n_email, n_ip, n_card, n_phone (base spans), n_secret, n_spans (all), base_sha256, spans, found.
+    """The columns in ``keep``, n_email, n_ip, n_card, n_phone (base spans), n_secret, n_spans, base_sha256, spans, secret_spans, found.
 
-    found is an array of (kind, start, end) of all spans, base and added, by kind as listed (secrets last), then start. A kept column
-    that is named like a result is left out.
+    spans are those of the four kinds, base and added, n_spans their number; secrets have a column of their own. found is an array of
+    (kind, start, end) of both, by kind as listed (secrets last), then start. A kept column that is named like a result is left out.
     """
     marked = _marked(docs, model or train(docs.sparkSession))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     kept = [F.col("_row")[c].alias(c) for c in dict.fromkeys(keep) if c not in _RESULTS]
+    personal, secrets = F.filter("_all", lambda s: s["kind"] != "secret"), F.filter("_all", lambda s: s["kind"] == "secret")
     return marked.select(
-        *kept, *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.size(F.filter("_all", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"), F.size("_all").cast("long").alias("n_spans"),
-        F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"), F.col("_all").alias("found"),
+        *kept, *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.size(secrets).cast("long").alias("n_secret"), F.size(personal).cast("long").alias("n_spans"),
+        F.sha2(joined("_base"), 256).alias("base_sha256"), joined(personal).alias("spans"), joined(secrets).alias("secret_spans"), F.col("_all").alias("found"),
     )
 
 

@@ -119,9 +119,10 @@ def write_journal(messages: DataFrame, path: str, size: int = SIZE, milliseconds
     waiting = T.StructType([messages.schema[c] for c in columns])
     schema = T.StructType([messages.schema[KEY], *waiting, T.StructField("flush", T.LongType()), T.StructField("reason", T.StringType())])
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/run=none/batch=0")
-    there = spark.read.schema(schema).parquet(path).groupBy(KEY)
-    out = messages.groupBy(KEY).transformWithStateInPandas(JournalBatches(columns, waiting, size, milliseconds), schema, "Append", "ProcessingTime", there)
     run = quote(checkpoint.rstrip("/").rpartition("/")[2], safe="-")
+    # what other queries wrote; what this one did before a failure is known from its own state
+    there = spark.read.schema(schema).parquet(path).filter(F.col("run") != run).select(*schema.names).groupBy(KEY)
+    out = messages.groupBy(KEY).transformWithStateInPandas(JournalBatches(columns, waiting, size, milliseconds), schema, "Append", "ProcessingTime", there)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={epoch}")

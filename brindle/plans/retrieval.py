@@ -9,6 +9,7 @@ from brindle.functions import vectors as V
 from brindle.operators import relational, retrieval as R
 from brindle.operators import topics as T
 from brindle.operators.graph_search import graph_search
+from brindle.operators.web_search import web_search
 from brindle.plans.registry import query
 from brindle.plans.tables import RECORDS_SQL, records
 from brindle.sources.files import table
@@ -101,6 +102,19 @@ def keyword_bm25(spark, sf):
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), questions, 10)
 
 
+def web_questions(spark, sf):
+    """Of every text whose id is divisible by 100: its fourth and fifth word as a phrase and its second one, or its sixth and ninth, without its fortieth."""
+    w = F.split(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", ""), r"\s+")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    asked = F.concat(F.lit('"'), at(3), F.lit(" "), at(4), F.lit('" '), at(1), F.lit(" or "), at(5), F.lit(" "), at(8), F.lit(" -"), at(39))
+    return table(spark, sf, "documents").filter("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), asked.alias("query"))
+
+
+@query("keyword_web_search")
+def keyword_web_search(spark, sf):
+    return web_search(table(spark, sf, "documents").select("doc_id", "text"), web_questions(spark, sf), 10)
+
+
 @query("hybrid_search", f"""WITH {_BM25_SQL},
 x AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 100 = 0),
 c AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query), 6) AS score FROM embeddings, x),

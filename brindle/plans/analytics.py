@@ -342,6 +342,29 @@ def smallest_gap(spark, sf):
     return e.groupBy("user_id").agg(F.min("gap").alias("gap"))
 
 
+def cron_schedules(spark, sf):
+    """event_id, expression, after: a schedule for each event, of its numbers."""
+    e = F.col("event_id")
+    text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
+    kinds = (
+        text("*/", 1 + e % 45, " * * * *"), text(e % 60, " ", e % 24, " * * *"), text(e % 60, ",", (e * 7) % 60, " 9-17/", 1 + e % 3, " * * mon-fri"), text("0 ", e % 24, " ", 1 + e % 31, " * ", e % 8),
+        text(e % 60, " 3 ", 1 + e % 28, " ", 1 + e % 12, " *"), text("0 0 29 feb ?"), text(e % 60, " * ", 1 + e % 31, " */", 1 + e % 5, " *"), text("60 * * * *"),
+    )
+    expression = kinds[-1]
+    for i, k in enumerate(kinds[:-1]):
+        expression = F.when(e % len(kinds) == i, k).otherwise(expression)
+    return table(spark, sf, "events").select("event_id", expression.alias("expression"), F.col("ts").cast("timestamp_ntz").alias("after"))
+
+
+@query("cron_gaps")
+def cron_gaps(spark, sf):
+    """The smallest gap between the next 64 ticks of each schedule, in seconds, and the first of them; null where a schedule can't be read."""
+    from brindle.functions import cron
+
+    due = cron_schedules(spark, sf).withColumn("schedule", cron.fields(F.col("expression"))).withColumn("due", cron.ticks(F.col("schedule"), F.col("after")))
+    return due.select("event_id", cron.smallest_gap(F.col("due")).alias("gap"), F.date_format(cron.next_run(F.col("due")), "yyyy-MM-dd HH:mm:ss").alias("next_run"))
+
+
 @query("effective_tokens", """
 WITH t AS (SELECT conv_id, turn, role, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM conversations),
 p AS (SELECT conv_id, max(turn) AS point FROM t WHERE role = 'assistant' AND tokens < 100 GROUP BY 1)

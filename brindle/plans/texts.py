@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
+from brindle.functions import byte_text as B
 from brindle.operators import chunking, relational, scan, tables, topics
 from brindle.plans.registry import query
 from brindle.sources import files as S
@@ -112,6 +113,28 @@ def truncate_head_tail(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.truncate_head_tail(F.col("text"), 300).alias("text"))
 
 
+# A place is a boundary of characters unless the byte behind it continues one.
+_TORN_SQL = "hex(array_slice(b, {0} + 1, {0} + 1)) BETWEEN '80' AND 'BF'"
+
+
+def _boundary_sql(at: str, step: str) -> str:
+    near = [f"({at} {step} {k})" for k in range(4)]
+    return "CASE " + " ".join(f"WHEN NOT ({_TORN_SQL.format(p)}) THEN {p}" for p in near[:3]) + f" ELSE {near[3]} END"
+
+
+@query("truncate_bytes", f"""WITH t AS (SELECT doc_id, text, encode(text) AS b, octet_length(encode(text)) AS n FROM documents), c AS (SELECT *, {_boundary_sql('150', '-')} AS h, {_boundary_sql('(n - 151)', '+')} AS z FROM t)
+SELECT doc_id, CASE WHEN n <= 301 THEN text ELSE decode(array_slice(b, 1, h)) || chr(10) || chr(10) || '...[truncated ' || (n - 301) || ' bytes]...' || chr(10) || chr(10) || decode(array_slice(b, z + 1, n)) END AS text FROM c""")
+def truncate_bytes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", B.head_tail(F.col("text"), 301).alias("text"))
+
+
+@query("html_cut_bytes", f"""WITH t AS (SELECT page_id, html, encode(html) AS b, octet_length(encode(html)) AS n FROM pages), c AS (SELECT *, decode(array_slice(b, 1, {_boundary_sql('1501', '-')})) AS head FROM t),
+l AS (SELECT *, octet_length(encode(head)) - octet_length(encode(regexp_extract(head, '[^\n]*$'))) AS lines FROM c)
+SELECT page_id, CASE WHEN n <= 1501 THEN html WHEN lines - 1 > 750 THEN decode(array_slice(b, 1, lines)) ELSE head END AS head FROM l""")
+def html_cut_bytes(spark, sf):
+    return table(spark, sf, "pages").select("page_id", B.head_lines(F.col("html"), 1501).alias("head"))
+
+
 @query("page_select", r"""WITH p AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents)
 SELECT doc_id, array_to_string(list_filter([p[1], p[2], p[5], p[2]], lambda x: x IS NOT NULL), chr(12)) AS pages FROM p""")
 def page_select(spark, sf):

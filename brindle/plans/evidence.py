@@ -106,6 +106,38 @@ def pending_chunks(spark, sf):
     return G.pending(d, progress, 100)
 
 
+_APPLY_SQL = r"""
+WITH w AS (SELECT source AS source_id, doc_id AS chunk, list_transform(string_split(text, ' ')[1:7], lambda x: nullif(regexp_replace(x, '^\s+|\s+$', '', 'g'), '')) AS ws FROM documents WHERE text IS NOT NULL),
+e AS (SELECT source_id, chunk, lower(ws[i]) AS n FROM w, range(1, 7) t(i) WHERE ws[i] IS NOT NULL),
+r AS (SELECT source_id, chunk, lower(ws[i]) AS a, lower(ws[i + 1]) AS b FROM w, range(1, 7) t(i) WHERE i < len(ws)),
+x AS (SELECT DISTINCT source_id, chunk, n FROM (SELECT source_id, chunk, a AS n FROM r UNION ALL SELECT source_id, chunk, b FROM r) WHERE n IS NOT NULL AND (source_id, chunk, n) NOT IN (SELECT source_id, chunk, n FROM e)),
+f AS (SELECT source_id, n, count(*) AS doc_freq FROM (SELECT * FROM e UNION ALL SELECT * FROM x) GROUP BY 1, 2),
+d AS (SELECT source_id, n, count(*) AS degree FROM (SELECT source_id, unnest(list_distinct([a, b])) AS n FROM r WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY 1, 2),
+l AS (SELECT source_id, n, count(DISTINCT chunk) AS chunks FROM e GROUP BY 1, 2)
+SELECT f.source_id, f.n AS normalized_name, doc_freq, coalesce(degree, 0) AS degree, coalesce(chunks, 0) AS chunks FROM f LEFT JOIN d ON d.source_id = f.source_id AND d.n = f.n LEFT JOIN l ON l.source_id = f.source_id AND l.n = f.n"""
+
+
+def extractions(spark, sf):
+    """Of every text: its first six words as entities, and a relation between each of its first seven and the next."""
+    d = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk"), F.slice(F.split("text", " "), 1, 7).alias("ws"), "lang", "n_chars")
+    entity = lambda w: F.struct(w.alias("name"), F.col("lang").alias("type"), F.concat(F.lit("in "), F.col("lang")).alias("description"))
+    weight = F.when(F.col("n_chars") % 5 > 0, (F.col("n_chars") % 5).cast("string")).otherwise("heavy")
+    relation = lambda w, i: F.struct(w.alias("source"), F.get("ws", i + 1).alias("target"), F.lit("next").alias("type"), F.lit(None).cast("string").alias("description"), weight.alias("weight"))
+    return d.select("source_id", "chunk", F.transform(F.slice("ws", 1, 6), entity).alias("entities"), F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), relation).alias("relationships"))
+
+
+@query("graph_apply", _APPLY_SQL)
+def graph_apply(spark, sf):
+    """Half of the chunks applied, then all of them: the others are added, those that are done are not applied again."""
+    from brindle.operators import graph_build
+
+    chunks = extractions(spark, sf)
+    graph = graph_build.apply_chunks(graph_build.empty_graph(spark), chunks.filter("chunk % 2 = 0"))
+    graph = graph_build.apply_chunks(graph, chunks)
+    counted = graph["links"].groupBy("source_id", "node").agg(F.count("*").alias("chunks"))
+    return graph["nodes"].join(counted, ["source_id", "node"], "left").select("source_id", "normalized_name", "doc_freq", "degree", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 @query("expand_induced", f"""WITH {EDGES_SQL}, one AS (SELECT DISTINCT src AS node FROM edges WHERE dst = 's1' UNION SELECT 's1'), two AS (SELECT node, CASE WHEN node = 's1' THEN 0 ELSE 1 END AS hop FROM one UNION ALL SELECT DISTINCT dst, 2 FROM edges WHERE src IN (SELECT node FROM one) AND dst <> 's1'),
 n AS (SELECT node FROM two ORDER BY hop, node LIMIT 500) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n) ORDER BY src, dst LIMIT 2000""")
 def expand_induced(spark, sf):

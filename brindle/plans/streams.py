@@ -97,6 +97,28 @@ def state_delta(spark, sf):
     return rows.select("event_id", F.array_join(entries, ";").alias("delta"))
 
 
+@query("workflow_runs", """
+WITH RECURSIVE w AS (
+  SELECT o_orderkey AS run, 'start' AS node, 0 AS step, o_orderkey % 97 + 1 AS n, 0::BIGINT AS halved, 0::BIGINT AS top FROM orders
+  UNION ALL
+  SELECT run, CASE node WHEN 'start' THEN 'mark' WHEN 'mark' THEN 'check' WHEN 'check' THEN CASE WHEN n = 1 THEN 'end' WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END ELSE 'mark' END, step + 1,
+    CASE node WHEN 'even' THEN n // 2 WHEN 'odd' THEN 3 * n + 1 ELSE n END, halved + CASE WHEN node = 'even' THEN 1 ELSE 0 END, CASE WHEN node = 'mark' THEN greatest(top, n) ELSE top END
+  FROM w WHERE node <> 'end' AND step < 49)
+SELECT run, CASE WHEN node = 'end' THEN 'completed' ELSE 'max_steps' END AS status, step + 1 AS steps, CASE node WHEN 'even' THEN n // 2 WHEN 'odd' THEN 3 * n + 1 ELSE n END AS n, halved + CASE WHEN node = 'even' THEN 1 ELSE 0 END AS halved, CASE WHEN node = 'mark' THEN greatest(top, n) ELSE top END AS top
+FROM w WHERE node = 'end' OR step = 49""")
+def workflow_runs(spark, sf):
+    """A run for each order: halve what is even, else three times it and one more, until it is 1 or the steps are used up."""
+    from brindle.operators.workflow import Node, Workflow, run_workflow
+
+    nodes = {
+        "start": Node("start"), "mark": Node("state", (("top", "greatest(top, n)"),)), "check": Node("condition", cases=(("one", "n = 1"), ("even", "n % 2 = 0"))),
+        "even": Node("state", (("n", "n div 2"), ("halved", "halved + 1"))), "odd": Node("state", (("n", "3 * n + 1"),)), "end": Node("end"),
+    }
+    edges = (("start", "mark", None), ("mark", "check", None), ("check", "end", "one"), ("check", "even", "even"), ("check", "odd", "else"), ("even", "mark", None), ("odd", "mark", None))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 97 + 1).alias("n"), F.lit(0).cast("long").alias("halved"), F.lit(0).cast("long").alias("top"))
+    return run_workflow(Workflow(nodes, edges), runs, "run")[0]
+
+
 @query("journal_append", "SELECT user_id AS message_id, CAST(event_id AS BIGINT) AS sequence_no FROM events")
 def journal_append(spark, sf):
     """Every event appended twice to an ordered journal; the repeat is rejected."""

@@ -66,16 +66,24 @@ def recursive(text: str, low: int, high: int, separators: tuple[str, ...] = ("\n
 
 
 def classic(text: str, low: int, high: int, header_lines: int = 3, repeat_header: bool = False) -> list[str]:
-    """The first lines are a header, on the first chunk or on all; the body gets at least a quarter of the budget."""
-    lines = text.split("\n")
-    header, body = ("\n".join(lines[:header_lines]) + "\n", "\n".join(lines[header_lines:])) if len(lines) > header_lines else ("", text)
+    """A text within the budget stays whole; a longer one becomes windows, of which the first, or each, begins with the text's first lines.
+
+    These lines take from the budget of the windows that they stand on. They are body if they fill the budget alone, and stand on the
+    first window only if they would leave less than a quarter of it for the body.
+    """
     if count_tokens(text) <= high:
         return [text] if text.strip() else []
-    header = header if count_tokens(header) <= high * 3 // 4 else ""
-    body = body if header else text
-    room = max(high - count_tokens(header), high // 4, 1)
-    pieces = [p for p in split_tokens(body, room) if p.strip()]
-    return [header + p if i == 0 or repeat_header else p for i, p in enumerate(pieces)]
+    lines = text.split("\n", header_lines)
+    header, body = ("\n".join(lines[:-1]) + "\n", lines[-1]) if len(lines) > header_lines else ("", text)
+    used = count_tokens(header)
+    if used >= high:
+        header, body, used = "", text, 0
+    room = high - used
+    begin = 4 * room
+    step = begin if repeat_header and 4 * room >= high else 4 * high
+    pieces = [body[:begin], *(body[i : i + step] for i in range(begin, len(body), step))]
+    each = header if step == begin else ""
+    return [(each if i else header) + p for i, p in enumerate(pieces) if p or header and not i]
 
 
 def hashed_vector(sentence: str, size: int = 64) -> list[float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -95,14 +96,105 @@ def test_character_runs(spark, docs):
         assert r["text"] == (t if t is None else re.sub(r"([^ \t\r\n\f\v])\1{2,}", r"\1\1\1", t))
 
 
-@pytest.mark.parametrize("name", ["recursive", "classic", "semantic"])
+def tokens_of(text):
+    return math.ceil(len(text) / 4)
+
+
+def plain_recursive(text, low, high):
+    """Separators one after the other, pieces walked character by character."""
+
+    def cut(t, seps):
+        if tokens_of(t) <= high:
+            return [t]
+        if not seps:
+            out, piece = [], ""
+            for c in t:
+                if len(piece) == 4 * high:
+                    out, piece = [*out, piece], ""
+                piece += c
+            return [*out, piece]
+        out, rest = [], t
+        while rest:
+            head, sep, rest = rest.partition(seps[0])
+            out += cut(head + sep, seps[1:]) if (head + sep).strip() else []
+        return out
+
+    return greedy([p for p in cut(text, ["\n\n", "\n", ". "]) if p.strip()], low, high, "")
+
+
+def plain_classic(text, low, high, repeat=False):
+    """One character at a time into windows, whose budgets the header reduces."""
+    if tokens_of(text) <= high:
+        return [text] if text.strip() else []
+    ends = [i for i, c in enumerate(text) if c == "\n"]
+    header = text[: ends[2] + 1] if len(ends) >= 3 else ""
+    if tokens_of(header) >= high:
+        header = ""
+    left = high - tokens_of(header)
+    repeat = repeat and left >= 0.25 * high
+    out, piece = [], ""
+    for c in text[len(header) :]:
+        if len(piece) == 4 * (left if repeat or not out else high):
+            out, piece = [*out, piece], ""
+        piece += c
+    out = [*out, piece] if piece or not out else out
+    return [header + p if repeat or not i else p for i, p in enumerate(out)]
+
+
+def plain_semantic(text, low, high):
+    """Sentences by looking at each end, cosines of word counts in pure Python, the percentile by its definition."""
+    sentences, begin = [], 0
+    for m in re.finditer(r"\s+", text):
+        if m.start() and text[m.start() - 1] in ".!?":
+            sentences.append(text[begin : m.start()])
+            begin = m.end()
+    sentences = [s.strip() for s in [*sentences, text[begin:]] if s.strip()]
+    if len(sentences) < 2:
+        return plain_recursive(text, low, high)
+
+    def counts(s):
+        out = defaultdict(float)
+        for w in re.findall(r"\w+", s.lower()):
+            out[zlib.crc32(w.encode()) % 64] += 1
+        return out
+
+    def cosine(a, b):
+        na, nb = (math.sqrt(sum(v * v for v in x.values())) for x in (a, b))
+        return sum(v * b.get(k, 0) for k, v in a.items()) / na / nb if na and nb else 0.0
+
+    steps = [1 - cosine(counts(a), counts(b)) for a, b in zip(sentences, sentences[1:])]
+    order = sorted(steps)
+    place = 0.95 * (len(order) - 1)
+    limit = order[int(place)] + (place - int(place)) * (order[min(int(place) + 1, len(order) - 1)] - order[int(place)])
+    groups = [[sentences[0]]]
+    for s, step in zip(sentences[1:], steps):
+        if step >= limit - 1e-12 and max(steps) - min(steps) > 1e-12:
+            groups.append([])
+        groups[-1].append(s)
+    pieces = [w for g in groups for t in [" ".join(g)] for w in ([t] if tokens_of(t) <= high else [t[i : i + 4 * high] for i in range(0, len(t), 4 * high)]) if w.strip()]
+    return greedy(pieces, low, high, " ")
+
+
+PLAIN = {"recursive": plain_recursive, "classic": plain_classic, "semantic": plain_semantic}
+
+
+@pytest.mark.parametrize("name", list(PLAIN))
 def test_chunks(spark, docs, name):
     got = defaultdict(list)
     for r in QUERIES[f"chunk_{name}"](spark, SF).collect():
         got[r["doc_id"]].append((r["part"], r["chunk"], r["tokens"]))
     for i, t in docs.items():
-        want = chunking.CHUNKERS[name](t or "", 50, 200)
-        assert sorted(got[i]) == [(k, c, math.ceil(len(c) / 4)) for k, c in enumerate(want)]
+        assert sorted(got[i]) == [(k, c, tokens_of(c)) for k, c in enumerate(PLAIN[name](t or "", 50, 200))], i
+
+
+def test_chunks_of_odd_texts():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        text = "".join(rng.choice(list("ab. \n\n!?") + ["word ", "end. ", "\n\n", "long" * 9], rng.integers(0, 80)))
+        low, high = sorted(rng.integers(1, 30, 2).tolist())
+        for name, plain in PLAIN.items():
+            assert chunking.CHUNKERS[name](text, low, high) == plain(text, low, high), (name, text, low, high)
+        assert chunking.classic(text, low, high, repeat_header=True) == plain_classic(text, low, high, True), (text, high)
 
 
 def greedy(pieces, low, high, joiner):

@@ -182,9 +182,13 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
 # The algorithm on one group: a solution is a list of bins, a bin a list of places in ``sizes``.
 
 
+def filled(items: list[int], sizes: list[int]) -> int:
+    return sum(map(sizes.__getitem__, items))
+
+
 def best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
     """Put each item, the largest first, where the least room is left over."""
-    room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+    room = sorted((capacity - filled(b, sizes), k) for k, b in enumerate(bins))
     for item in sorted(items, key=lambda i: (-sizes[i], i)):
         at = bisect.bisect_left(room, (sizes[item], -1))
         if at < len(room):
@@ -199,7 +203,7 @@ def best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then unevenly filled ones."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return len(bins), -sum((filled(b, sizes) / capacity) ** 2 for b in bins)
 
 
 #: Items of a bin of which pairs are tried when better ones are looked for.
@@ -211,18 +215,18 @@ def fill_better(bins: list[list[int]], loose: list[int], sizes: list[int], capac
     order = sorted(loose, key=lambda i: (sizes[i], i))
     values = [sizes[i] for i in order]
     for k, own in enumerate(bins):
-        room = capacity - sum(sizes[i] for i in own)
+        room = capacity - filled(own, sizes)
         while room and order:
             best: tuple[int, tuple, tuple] = (0, (), ())
             pairs = [(x, y) for n, x in enumerate(own[:TRIED]) for y in own[:n]]
             # of equal sizes, the first will do
-            outs = {sum(sizes[i] for i in out): out for out in [*reversed(pairs), *((i,) for i in own), ()]}
+            outs = {filled(out, sizes): out for out in [*reversed(pairs), *((i,) for i in own), ()]}
             for size, out in outs.items():
                 high = bisect.bisect_right(values, size + room) - 1
                 if high >= 0 and values[high] - size > best[0]:
                     best = (values[high] - size, out, (high,))
                 low = 0
-                while low < high:  # two loose items, from both ends
+                while low < high and best[0] < room:  # two loose items, from both ends
                     both = values[low] + values[high]
                     if both > size + room:
                         high -= 1
@@ -251,8 +255,8 @@ def crossover(into: list[list[int]], of: list[list[int]], sizes: list[int], capa
 
     Their other items first replace worse ones of the bins that stay (``fill_better``), then best fit places what is loose.
     """
-    fill = lambda b: sum(sizes[i] for i in b)
-    ranked = sorted(of, key=lambda b: -fill(b))
+    fill = lambda b: filled(b, sizes)
+    ranked = sorted(of, key=fill, reverse=True)
     inject = [list(b) for b in ranked[: max(1, len(ranked) * 3 // 4)] if rng.random() < 0.5]
     taken = {i for b in inject for i in b}
     loose = [i for b in into if not taken.isdisjoint(b) for i in b if i not in taken]
@@ -266,23 +270,24 @@ def crossover(into: list[list[int]], of: list[list[int]], sizes: list[int], capa
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = 8, generations: int = 40) -> list[list[int]]:
     """One island's epoch: the best packing that it finds."""
     bound = -(-sum(sizes) // capacity)
-    solutions = [*elites, best_fit([], list(range(len(sizes))), sizes, capacity)]
+    scored = lambda s: (*fitness(s, sizes, capacity), s)
+    solutions = [scored(s) for s in (*elites, best_fit([], list(range(len(sizes))), sizes, capacity))]
     rng = random.Random(seed)
-    score = lambda s: fitness(s, sizes, capacity)
-    while len(solutions) < population and min(map(len, solutions)) > bound:
+    order = lambda s: s[:2]
+    while len(solutions) < population and min(s[0] for s in solutions) > bound:
         some = [i for i in range(len(sizes)) if rng.random() < 0.3]
         first = best_fit([], some, sizes, capacity)
         chosen = set(some)
-        solutions.append(best_fit(first, [i for i in range(len(sizes)) if i not in chosen], sizes, capacity))
+        solutions.append(scored(best_fit(first, [i for i in range(len(sizes)) if i not in chosen], sizes, capacity)))
     for _ in range(generations):
-        solutions.sort(key=score)
-        if len(solutions[0]) <= bound or len(solutions) < 2:
+        solutions.sort(key=order)
+        if solutions[0][0] <= bound or len(solutions) < 2:
             break
         a, b = rng.sample(solutions, 2)
-        child = crossover(a, b, sizes, capacity, rng)
-        if score(child) < score(solutions[-1]):
+        child = scored(crossover(a[2], b[2], sizes, capacity, rng))
+        if order(child) < order(solutions[-1]):
             solutions[-1] = child
-    return min(solutions, key=score)
+    return min(solutions, key=order)[2]
 
 
 def _ordered(table: pa.Table) -> pa.Table:

@@ -23,21 +23,23 @@ QUERY_BLOCK, ROW_BLOCK = 1024, 32768
 MAX_TERMS = 20_000
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", within: list[str] | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", within: list[str] | None = None, cell: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank (from 1): the k best rows of every query, exactly; per ``within`` group if given.
 
     ``rows`` has vec_id and embedding, ``queries`` query_id and query. measure is cosine (larger is
     nearer) or l2 (squared, smaller is nearer), rounded to 6 places; ties go to the smaller vec_id. Both sides are dealt into blocks;
     a pair of blocks is a tile that returns its k best. A query is compared with the rows of its own length, so tiles are
-    of one length; vectors with null or non-finite components take no part, nor do zero vectors by cosine.
+    of one length; vectors with null or non-finite components take no part, nor do zero vectors by cosine. With ``cell``, an int column of
+    both frames, a query (a row for each of its cells) meets only the rows of its cells.
     """
-    within = within or []
+    within, cells = within or [], [cell] if cell else []
     fine = lambda c: V.finite(F.col(c)) if measure == "cosine" else V.finite(F.col(c)) | (F.size(c) > 0) & F.forall(c, lambda v: v == 0)
     own = lambda c: F.col(c).cast("array<double>").alias(c)
-    left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", own("query"), F.size("query").alias("width"))
+    left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", *cells, own("query"), F.size("query").alias("width"))
     widths = left.groupBy("width").agg(F.count("*").alias("n"))  # a row for each length
-    right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, own("embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
-    n_q, n_r = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // ROW_BLOCK))
+    right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, *cells, own("embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
+    most = lambda df: df.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0  # noqa: E731  rows of the largest cell, or all
+    n_q, n_r = max(1, -(-most(left) // QUERY_BLOCK)), max(1, -(-most(right) // ROW_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("*", deal("query_id", n_q).alias("q"), every(n_r).alias("r"))
@@ -72,7 +74,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
         value = far[at_q, at_r] if at_q else np.zeros(0)
         return found.add_column(0, "query_id", q["query_id"].take(pa.array(at_q, pa.int64()))).append_column("score", pa.array(-value if measure == "cosine" else value))
 
-    scored = left.groupBy("width", "q", "r").cogroup(right.groupBy("width", "q", "r")).applyInArrow(tile, schema)
+    scored = left.groupBy("width", *cells, "q", "r").cogroup(right.groupBy("width", *cells, "q", "r")).applyInArrow(tile, schema)
     order = F.desc("score") if measure == "cosine" else F.asc("score")
     w = Window.partitionBy("query_id", *within).orderBy(order, "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -49,6 +49,19 @@ def knn_per_source(spark, sf):
     return R.nearest(_vectors(spark, sf), _queries(spark, sf), 3, within=["label"])
 
 
+@query("index_search")
+def index_search(spark, sf):
+    """Every hundredth vector in an index of all; of the hits, those with a label that few rows have come from the exact search."""
+    from brindle.operators import vector_index
+    from brindle.sources.shared import fresh_path
+
+    path = fresh_path(spark, "index")
+    vector_index.build_index(_vectors(spark, sf), path)
+    every = vector_index.search_index(spark, path, _queries(spark, sf), 10, probes=16).withColumn("kind", F.lit("all"))
+    some = vector_index.search_index(spark, path, _queries(spark, sf), 10, probes=2, where=F.col("vec_id") % 25 == 3).withColumn("kind", F.lit("few"))
+    return every.unionByName(some)
+
+
 _LISTS_SQL = """ranked AS (SELECT source, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS a, row_number() OVER (ORDER BY n_chars % 101, doc_id) - 1 AS b FROM documents),
 votes AS (SELECT source, doc_id, a AS rank, 0 AS list FROM ranked WHERE a < 50 UNION ALL SELECT source, doc_id, b, 1 FROM ranked WHERE b < 50),
 fused AS (SELECT source, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS first FROM votes GROUP BY 1, 2)"""

@@ -8,7 +8,7 @@ from brindle.plans.registry import query
 from brindle.sources.files import table
 from brindle.sources.shared import fresh_path
 from brindle.streaming import jobs as J
-from brindle.streaming import release, writer
+from brindle.streaming import release, timers, writer
 
 
 def _window(df):
@@ -64,10 +64,13 @@ def capped_stream(spark, sf):
     return J.capped(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 25).drop("ts")
 
 
-@query("session_rate_budget", """
+_RATE_SQL = """
 WITH g AS (SELECT event_id, user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT event_id, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) <= 3 AS allowed FROM s""")
+SELECT event_id, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) <= 3 AS allowed FROM s"""
+
+
+@query("session_rate_budget", _RATE_SQL)
 def session_rate_budget(spark, sf):
     return J.rate_budget(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 6 * 3600, 3).select("event_id", "allowed")
 
@@ -78,6 +81,29 @@ def stale_streams(spark, sf):
     return J.stale(e, "user_id", "2024-01-30 12:00:00", 600)
 
 
+def _until_a_day_later(spark, sf):
+    """The events as a stream, and behind them a row of nobody that carries the watermark past them."""
+    path = f"{sf}/events.parquet"
+    end = spark.read.parquet(path).agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    rows = J.table_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(end))  # one row
+    later = F.struct(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("end") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"))
+    own = F.struct("user_id", "event_id", "ts", "event_type", "value")
+    return rows.select(F.inline(F.when(F.col("ts") == F.col("end"), F.array(own, later)).otherwise(F.array(own)))).withWatermark("ts", "10 minutes")
+
+
+@query("session_rate_budget_stream", _RATE_SQL)
+def session_rate_budget_stream(spark, sf):
+    """The same from a stream, whose state re-arms by timers."""
+    return timers.drain_timers(timers.rate_budget_stream(_until_a_day_later(spark, sf), "user_id", 6 * 3600, 3)).select("event_id", "allowed")
+
+
+@query("stale_streams_timed", """SELECT user_id, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS last FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'signup' AND value > 95) AND max(ts) + INTERVAL 605 MINUTE < (SELECT max(ts) FROM events) + INTERVAL 1430 MINUTE""")
+def stale_streams_timed(spark, sf):
+    """Users that have been silent for ten hours when the stream is a day past its last event, as timers find them."""
+    e = _until_a_day_later(spark, sf).withColumn("heartbeat", F.col("ts") + F.expr("INTERVAL 5 MINUTE")).withColumn("ended", (F.col("event_type") == "signup") & (F.col("value") > 95))
+    return timers.drain_timers(timers.stale_stream(e, "user_id", 600)).filter("user_id >= 0")
+
+
 @query("stale_sweep", """SELECT o_orderkey FROM orders o WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate >= TIMESTAMP '1998-06-01')""")
 def stale_sweep(spark, sf):
     o = table(spark, sf, "orders").filter((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")))

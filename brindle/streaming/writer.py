@@ -5,10 +5,11 @@ from __future__ import annotations
 import bisect
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,17 @@ _STATE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def with_timers(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state where timers can be kept too."""
+    before = spark.conf.get(_STATE, None)
+    spark.conf.set(_STATE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STATE, before) if before else spark.conf.unset(_STATE)
+
+
 def add_number(ranges: list[list[int]], n: int) -> bool:
     """Put a number into ascending ranges (first, last) that neither overlap nor touch; false if it is there."""
     at = bisect.bisect_right(ranges, [n, float("inf")])
@@ -127,12 +139,8 @@ def write_journal(messages: DataFrame, path: str, size: int = SIZE, milliseconds
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={epoch}")
 
-    before = spark.conf.get(_STATE, None)
-    spark.conf.set(_STATE, _ROCKS)  # state with timers needs it; the query keeps it
-    try:
+    with with_timers(spark):
         return out.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=f"{milliseconds} milliseconds").foreachBatch(sink).start()
-    finally:
-        spark.conf.set(_STATE, before) if before else spark.conf.unset(_STATE)
 
 
 def read_journal(spark, path: str, schema: T.StructType | None = None) -> DataFrame:

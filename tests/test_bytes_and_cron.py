@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -115,3 +116,23 @@ def test_gaps_on_the_tables(spark):
     yearly = [got[i] for i in got if i % 8 == 4]
     assert all(g in (365 * 86400,) and n for g, n in yearly)
     assert {got[i] for i in got if i % 8 == 5} == {(1461 * 86400, next(got[i][1] for i in got if i % 8 == 5))}
+
+
+def test_many_rare_schedules(spark):
+    rows = spark.range(5000, numPartitions=1).select("id", F.concat(F.lit("0 0 29 feb "), F.lit("?")).alias("e"), F.expr("timestamp_ntz'2024-03-01 00:00:00' + make_interval(0, 0, 0, cast(id as int))").alias("a"))
+    began = time.time()
+    found = rows.select("id", cron.ticks(cron.fields(F.col("e")), F.col("a")).alias("t")).groupBy(F.size("t").alias("n"), F.get("t", F.lit(0)).alias("first")).count().collect()
+    assert time.time() - began < 15  # a walk over the days of each row's own 290 years takes minutes
+    want = [datetime(y, 2, 29) for y in (2028, 2032, 2036, 2040)]
+    assert {r["n"] for r in found} == {64} and sorted(r["first"] for r in found) == [(d - datetime(1970, 1, 1)) // timedelta(seconds=1) for d in want]
+    assert sum(r["count"] for r in found) == 5000
+
+
+def test_fewer_ticks_than_asked_for(spark):
+    row = spark.createDataFrame([("0 0 29 2 */7", datetime(2024, 2, 29)), ("0 0 30 2 *", datetime(2024, 1, 1)), ("* * * * *", None), (None, datetime(2024, 1, 1))], "e string, a timestamp_ntz")
+    sundays, date = [], datetime(2024, 3, 1)
+    while date < datetime(2314, 3, 1):
+        sundays += [date] * ((date.month, date.day, date.weekday()) == (2, 29, 6))
+        date += timedelta(days=1)
+    got = [r["t"] for r in row.select(cron.ticks(cron.fields(F.col("e")), F.col("a")).alias("t")).collect()]
+    assert got == [[(d - datetime(1970, 1, 1)) // timedelta(seconds=1) for d in sundays], [], [], None]

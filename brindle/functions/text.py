@@ -64,7 +64,7 @@ def html_to_markdown(html: Column) -> Column:
 def cut_at_line(text: Column, n: int) -> Column:
     """At most ``n`` characters, without the line that the cut tears (if there is a whole one)."""
     head = F.substring(text, 1, n)
-    whole = F.regexp_replace(head, r"[^\n]*$", "")
+    whole = F.regexp_replace(head, r"[^\n]*\z", "")  # $ would also stand before a line break at the end
     return F.when(F.length(text) <= n, text).when(whole == "", head).otherwise(whole)
 
 

@@ -416,3 +416,11 @@ def test_overlapping_chunks_join(spark):
     got = {r["k"]: r["page"] for r in tables.join_chunks(spark.createDataFrame(rows, "k int, o int, t string"), "k", "o", "t").collect()}
     assert got[1].replace("\n\n", "") == body and got[2] == "short\n\nshort"
     assert tables.overlap("x" * 50, "x" * 40) == 40 and tables.overlap("abc", "abc") == 0
+
+
+def test_cut_at_line_that_ends_with_a_break(spark):
+    from brindle.functions.text import cut_at_line
+
+    texts = ["abc\ndef", "abcd\n\nef", "ab\r\ncd", "abcde\nf", "\n\n\n\n\n\n", "ab\ncdef", "abcdefg", "ab", "", None]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(cut_at_line(F.col("t"), 5).alias("t")).collect()]
+    assert got == ["abc\n", "abcd\n", "ab\r\n", "abcde", "\n\n\n\n\n", "ab\n", "abcde", "ab", "", None]

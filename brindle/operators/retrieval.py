@@ -17,8 +17,10 @@ from brindle.functions import vectors as V
 from brindle.functions.text import words
 from brindle.sources.shared import cut
 
-#: Queries and rows of a tile.
-QUERY_BLOCK, ROW_BLOCK = 1024, 32768
+#: Queries and rows of a tile, and the scores of it that a task holds at a time.
+QUERY_BLOCK, ROW_BLOCK, SCORES = 4096, 16384, 1 << 20
+#: Short points that are looked for in every text at a time.
+POINT_BLOCK = 1024
 #: Search terms whose set travels with the plan; more are joined.
 MAX_TERMS = 20_000
 
@@ -28,16 +30,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
 
     ``rows`` has vec_id and embedding, ``queries`` query_id and query. measure is cosine (larger is
     nearer) or l2 (squared, smaller is nearer), rounded to 6 places; ties go to the smaller vec_id. Both sides are dealt into blocks;
-    a pair of blocks is a tile that returns its k best. A query is compared with the rows of its own length, so tiles are
+    a pair of blocks is a tile that returns its k best, ``SCORES`` scores at a time. A query is compared with the rows of its own length, so tiles are
     of one length; vectors with null or non-finite components take no part, nor do zero vectors by cosine. With ``cell``, an int column of
     both frames, a query (a row for each of its cells) meets only the rows of its cells.
     """
     within, cells = within or [], [cell] if cell else []
     fine = lambda c: V.finite(F.col(c)) if measure == "cosine" else V.finite(F.col(c)) | (F.size(c) > 0) & F.forall(c, lambda v: v == 0)
-    own = lambda c: F.col(c).cast("array<double>").alias(c)
-    left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", *cells, own("query"), F.size("query").alias("width"))
+    own = lambda df, c: F.col(c) if dict(df.dtypes)[c] == "array<float>" else F.col(c).cast("array<double>").alias(c)
+    left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", *cells, own(queries, "query"), F.size("query").alias("width"))
     widths = left.groupBy("width").agg(F.count("*").alias("n"))  # a row for each length
-    right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, *cells, own("embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
+    right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, *cells, own(rows, "embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
     most = lambda df: df.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0  # noqa: E731  rows of the largest cell, or all
     n_q, n_r = max(1, -(-most(left) // QUERY_BLOCK)), max(1, -(-most(right) // ROW_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -53,25 +55,29 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
             return pa.table({f.name: pa.array([], f.type) for f in [q.schema.field("query_id"), r.schema.field("vec_id"), *(r.schema.field(c) for c in within), pa.field("score", pa.float64())]})
         a, b = (np.asarray(t[c].combine_chunks().flatten(), dtype=float).reshape(t.num_rows, -1) for t, c in ((q, "query"), (r, "embedding")))
         if measure == "cosine":
-            score = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-        else:
-            score = (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
-        far = np.round(-score if measure == "cosine" else score, 6)
+            a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+        squares = (b * b).sum(axis=1)
         vec = r["vec_id"].to_numpy()
         parts = {}
         for i, g in enumerate(zip(*(r[c].to_pylist() for c in within)) if within else [()] * len(vec)):
             parts.setdefault(g, []).append(i)
-        at_q, at_r = [], []
-        for members in map(np.array, parts.values()):
-            own = far[:, members]
-            limit = np.partition(own, k - 1, axis=1)[:, k - 1] if len(members) > k else np.full(len(own), np.inf)
-            for i, (row, most) in enumerate(zip(own, limit)):
-                near = np.flatnonzero(row <= most)
-                near = members[near[np.lexsort((vec[members[near]], row[near]))[:k]]]
-                at_q += [i] * len(near)
-                at_r += near.tolist()
+        parts = [np.array(members) for members in parts.values()]
+        step, steps = max(1, SCORES // len(b)), []
+        for begin in range(0, len(a), step):
+            some = a[begin : begin + step]
+            far = -(some @ b.T) if measure == "cosine" else (some * some).sum(axis=1)[:, None] - 2 * some @ b.T + squares
+            np.round(far, 6, out=far)
+            every = []
+            for members in parts:
+                own = far[:, members] if len(parts) > 1 else far
+                limit = np.partition(own, k - 1, axis=1)[:, k - 1] if len(members) > k else np.full(len(own), np.inf)
+                for i, (row, most) in enumerate(zip(own, limit)):
+                    near = np.flatnonzero(row <= most)
+                    near = near[np.lexsort((vec[members[near]], row[near]))[:k]]
+                    every.append((np.full(len(near), begin + i), members[near], row[near]))
+            steps.append([np.concatenate(x) for x in zip(*every)])
+        at_q, at_r, value = (np.concatenate(x) for x in zip(*steps))
         found = r.take(pa.array(at_r, pa.int64())).select(["vec_id", *within])
-        value = far[at_q, at_r] if at_q else np.zeros(0)
         return found.add_column(0, "query_id", q["query_id"].take(pa.array(at_q, pa.int64()))).append_column("score", pa.array(-value if measure == "cosine" else value))
 
     scored = left.groupBy("width", *cells, "q", "r").cogroup(right.groupBy("width", *cells, "q", "r")).applyInArrow(tile, schema)
@@ -143,7 +149,7 @@ def points_found(docs: DataFrame, points: DataFrame, run: int = 3) -> DataFrame:
     pairs = runs.join(anchored.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
     found = pairs.join(docs, "doc_id").join(anchored.select("item_id", "point"), "item_id").filter(F.col("t").contains(F.col("point"))).select("item_id", "doc_id")
     short = points.filter(F.size(ws) < run + 2).select("item_id", "point")
-    blocks = max(1, -(-short.count() // QUERY_BLOCK))
+    blocks = max(1, -(-short.count() // POINT_BLOCK))
     for block in range(blocks):
         few = short.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         found = found.unionByName(docs.join(F.broadcast(few), F.col("t").contains(F.col("point"))).select("item_id", "doc_id"))

@@ -424,3 +424,17 @@ def test_cut_at_line_that_ends_with_a_break(spark):
     texts = ["abc\ndef", "abcd\n\nef", "ab\r\ncd", "abcde\nf", "\n\n\n\n\n\n", "ab\ncdef", "abcdefg", "ab", "", None]
     got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(cut_at_line(F.col("t"), 5).alias("t")).collect()]
     assert got == ["abc\n", "abcd\n", "ab\r\n", "abcde", "\n\n\n\n\n", "ab\n", "abcde", "ab", "", None]
+
+
+def test_nearest_in_few_scores_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id int, embedding array<float>, label int")
+    asked = rows.filter("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    once = {m: sorted(retrieval.nearest(rows, asked, 4, m, ["label"]).collect()) for m in ("cosine", "l2")}
+    monkeypatch.setattr(retrieval, "SCORES", 130)  # two queries at a time
+    for m, want in once.items():
+        got = sorted(retrieval.nearest(rows, asked, 4, m, ["label"]).collect())
+        assert got == want and len(got) == 20 * 3 * 4
+    d = ((x[0].astype(float) - x[1::3].astype(float)) ** 2).sum(axis=1).round(6)
+    assert [r["vec_id"] for r in once["l2"] if r["query_id"] == 0 and r["label"] == 1 and r["rank"] == 1] == [1 + 3 * int(d.argmin())]

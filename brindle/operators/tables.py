@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.aggregates import reassemble
@@ -17,31 +18,51 @@ LEADER = r"^(.*?)\s*\.{3,}\s*(.+)$"
 TRAILING = r"^(.*?[^\s\d,.])\s+([\d$(].*)$"
 
 
+#: Where a line stands in a table.
+OUTSIDE, FIRST, INNER, LAST, ONLY = range(5)
+
+
+def _places(widths: list[int], min_rows: int) -> list[int]:
+    """Of each line its place in a table, by the numbers of its values (0 for what is no row)."""
+    found: list[int] = []
+    for is_row, run in groupby(widths, bool):
+        own = list(run)
+        if is_row and len(own) >= min_rows and len(set(own)) == 1:
+            found += [FIRST, *[INNER] * (len(own) - 2), LAST] if len(own) > 1 else [ONLY]
+        else:
+            found += [OUTSIDE] * len(own)
+    return found
+
+
 def tableize(docs: DataFrame, min_rows: int = 3) -> DataFrame:
     """doc_id, text: runs of at least ``min_rows`` lines that are a label and equally many numbers become tables.
 
     A line with dot leaders needs one number, another one two. Runs are islands of consecutive lines
-    within a document; everything else stays as it is. A null text stays null.
+    within a document, found within its row, so nothing is shuffled or sorted; everything else stays as it is. A null text stays null.
     """
-    lines = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    bare = F.trim("raw")
-    leader = bare.rlike(LEADER)
-    of = lambda group: F.when(leader, F.regexp_extract(bare, LEADER, group)).otherwise(F.regexp_extract(bare, TRAILING, group))
-    label = F.regexp_replace(of(1), r"^[ .]+|[ .]+$", "")
-    values = F.split(F.trim(F.regexp_replace(of(2), r"\$\s+", r"\$")), r"\s+")
-    parsed = lines.select("doc_id", "line", "raw", leader.alias("leader"), label.alias("label"), values.alias("values"))
-    ok = (F.col("label") != "") & ~F.col("label").rlike(f"^{NUMBER}$") & F.forall("values", lambda v: v.rlike(f"^{NUMBER}$")) & (F.col("leader") | (F.size("values") >= 2))
-    in_doc = Window.partitionBy("doc_id", "ok").orderBy("line")
-    island = Window.partitionBy("doc_id", "ok", "island")
-    marked = parsed.withColumn("ok", ok).withColumn("island", F.col("line") - F.row_number().over(in_doc)).withColumn("width", F.size("values"))
-    for name, value in (("n", F.count("*")), ("low", F.min("width")), ("high", F.max("width")), ("first", F.min("line")), ("last", F.max("line"))):
-        marked = marked.withColumn(name, value.over(island))
-    cells = F.concat(F.lit("| "), F.array_join(F.concat(F.array(F.replace("label", F.lit("|"), F.lit("\\|"))), F.col("values")), " | "), F.lit(" |"))
-    head = F.concat(F.lit("\n|"), F.repeat(F.lit("   |"), F.col("width") + 1), F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("width") + 1), F.lit("\n"))
-    row = F.concat(F.when(F.col("line") == F.col("first"), head).otherwise(F.lit("")), cells, F.when(F.col("line") == F.col("last"), F.lit("\n")).otherwise(F.lit("")))
-    table = F.col("ok") & (F.col("n") >= min_rows) & (F.col("low") == F.col("high"))
-    listed = F.array_sort(F.collect_list(F.struct("line", F.when(table, row).otherwise(F.col("raw")).alias("out"))))
-    done = marked.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["out"]), "\n").alias("text"))
+
+    def parsed(raw):
+        bare = F.trim(raw)
+        leader = bare.rlike(LEADER)
+        of = lambda group: F.when(leader, F.regexp_extract(bare, LEADER, group)).otherwise(F.regexp_extract(bare, TRAILING, group))
+        values = F.split(F.trim(F.regexp_replace(of(2), r"\$\s+", r"\$")), r"\s+")
+        return F.struct(raw.alias("raw"), leader.alias("leader"), F.regexp_replace(of(1), r"^[ .]+|[ .]+$", "").alias("label"), values.alias("values"))
+
+    def width(x):
+        ok = (x["label"] != "") & ~x["label"].rlike(f"^{NUMBER}$") & F.forall(x["values"], lambda v: v.rlike(f"^{NUMBER}$")) & (x["leader"] | (F.size(x["values"]) >= 2))
+        return F.when(ok, F.size(x["values"])).otherwise(0)
+
+    def out(x, place):
+        n = F.size(x["values"]) + 1
+        cells = F.concat(F.lit("| "), F.array_join(F.concat(F.array(F.replace(x["label"], F.lit("|"), F.lit("\\|"))), x["values"]), " | "), F.lit(" |"))
+        head = F.concat(F.lit("\n|"), F.repeat(F.lit("   |"), n), F.lit("\n|"), F.repeat(F.lit(" --- |"), n), F.lit("\n"))
+        row = F.concat(F.when(place.isin(FIRST, ONLY), head).otherwise(F.lit("")), cells, F.when(place.isin(LAST, ONLY), F.lit("\n")).otherwise(F.lit("")))
+        return F.when(place == OUTSIDE, x["raw"]).otherwise(row)
+
+    places = F.arrow_udf(lambda widths: pa.array([_places(w, min_rows) for w in widths.to_pylist()], pa.list_(pa.int32())), "array<int>")
+    lines = docs.filter("text is not null").select("doc_id", F.transform(F.split("text", "\n"), parsed).alias("lines"))
+    marked = lines.select("doc_id", "lines", places(F.transform("lines", width)).alias("places"))
+    done = marked.select("doc_id", F.array_join(F.zip_with("lines", "places", out), "\n").alias("text"))
     return done.unionByName(docs.filter("text is null").select("doc_id", "text"))
 
 

@@ -438,3 +438,15 @@ def test_nearest_in_few_scores_at_a_time(spark, monkeypatch):
         assert got == want and len(got) == 20 * 3 * 4
     d = ((x[0].astype(float) - x[1::3].astype(float)) ** 2).sum(axis=1).round(6)
     assert [r["vec_id"] for r in once["l2"] if r["query_id"] == 0 and r["label"] == 1 and r["rank"] == 1] == [1 + 3 * int(d.argmin())]
+
+
+def test_tableize_without_shuffles(spark):
+    text = "a 1 2\nb 3 4\nc 5 6\n\nd 1 2\ne 3 4\n\nf... 9\ng... 8\nh... 7\nx\ni 1 2\nj 3 4\nk 1 2 3"
+    docs = spark.createDataFrame([(1, text), (1, "a 1 2"), (2, None)], "doc_id long, text string")
+    got = tables.tableize(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Sort"))
+    first = "\n|   |   |   |\n| --- | --- | --- |\n| a | 1 | 2 |\n| b | 3 | 4 |\n| c | 5 | 6 |\n\n\nd 1 2\ne 3 4\n\n\n|   |   |\n| --- | --- |\n| f | 9 |\n| g | 8 |\n| h | 7 |\n\nx\ni 1 2\nj 3 4\nk 1 2 3"
+    assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == [(1, first), (1, "a 1 2"), (2, "")]
+    one = tables.tableize(docs.limit(1).select("doc_id", F.lit("a 1 2\nb\nc... 3").alias("text")), 1).first()["text"]
+    assert one == "\n|   |   |   |\n| --- | --- | --- |\n| a | 1 | 2 |\n\nb\n\n|   |   |\n| --- | --- |\n| c | 3 |\n"

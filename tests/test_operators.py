@@ -450,3 +450,18 @@ def test_tableize_without_shuffles(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == [(1, first), (1, "a 1 2"), (2, "")]
     one = tables.tableize(docs.limit(1).select("doc_id", F.lit("a 1 2\nb\nc... 3").alias("text")), 1).first()["text"]
     assert one == "\n|   |   |   |\n| --- | --- | --- |\n| a | 1 | 2 |\n\nb\n\n|   |   |\n| --- | --- |\n| c | 3 |\n"
+
+
+def test_pagerank_computes_no_round_twice(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: cuts.append(name) or f(df, name))
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 2.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "node string, weight double")
+    got = {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, seeds, iterations=3, cut_every=5).collect()}
+    assert cuts.count("ranks") == 3
+    flow, score, home = np.zeros((4, 4)), np.array([1.0, 0, 0, 0]), np.array([1.0, 0, 0, 0])
+    for i, j, w in ((0, 1, 1), (1, 2, 1), (2, 3, 2)):
+        flow[i, j] = flow[j, i] = w
+    for _ in range(3):
+        score = 0.85 * (flow / flow.sum(axis=1, keepdims=True)).T @ score + 0.15 * home
+    assert [got[n] for n in "abcd"] == pytest.approx(score.tolist())

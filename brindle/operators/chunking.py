@@ -193,6 +193,10 @@ def windows_of(text: str, spans: list[tuple[int, int]], first: int, rest: int) -
     return out + [(text[begin:], used)] * (begin < len(text))
 
 
+#: Texts of a batch that are held as Python objects at a time.
+TEXTS = 64
+
+
 def tokenizer_windows(docs: DataFrame, tokenizer_path: str, first: int, rest: int) -> DataFrame:
     """doc_id, part, chunk, tokens: windows in units of a tokenizer whose file all executors have."""
 
@@ -200,13 +204,17 @@ def tokenizer_windows(docs: DataFrame, tokenizer_path: str, first: int, rest: in
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+        kind = pa.list_(pa.struct([("chunk", pa.string()), ("tokens", pa.int32())]))
         for batch in texts:
-            rows = []
-            for text in batch.to_pylist():
-                text = text or ""
-                pieces = windows_of(text, tokenizer.encode(text, add_special_tokens=False).offsets, first, rest)
-                rows.append([{"chunk": c, "tokens": n} for c, n in pieces])
-            yield pa.array(rows, pa.list_(pa.struct([("chunk", pa.string()), ("tokens", pa.int32())])))
+            done = [pa.array([], kind)]
+            for begin in range(0, len(batch), TEXTS):
+                rows = []
+                for text in batch.slice(begin, TEXTS).to_pylist():
+                    text = text or ""
+                    pieces = windows_of(text, tokenizer.encode(text, add_special_tokens=False).offsets, first, rest)
+                    rows.append([{"chunk": c, "tokens": n} for c, n in pieces])
+                done.append(pa.array(rows, kind))
+            yield pa.concat_arrays(done)
 
     pieces = docs.select("doc_id", F.posexplode(F.arrow_udf(cut_up, "array<struct<chunk:string,tokens:int>>")("text")).alias("part", "x"))
     return pieces.select("doc_id", "part", "x.chunk", "x.tokens")

@@ -465,3 +465,13 @@ def test_pagerank_computes_no_round_twice(spark, monkeypatch):
     for _ in range(3):
         score = 0.85 * (flow / flow.sum(axis=1, keepdims=True)).T @ score + 0.15 * home
     assert [got[n] for n in "abcd"] == pytest.approx(score.tolist())
+
+
+def test_tokenizer_windows_a_few_texts_at_a_time(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "word and other words " * (i % 7) if i % 5 else None) for i in range(50)], "doc_id long, text string").coalesce(1)
+    once = sorted(map(tuple, chunking.tokenizer_windows(docs, path, 4, 8).collect()))
+    monkeypatch.setattr(chunking, "TEXTS", 3)
+    assert sorted(map(tuple, chunking.tokenizer_windows(docs, path, 4, 8).collect())) == once and len(once) > 50

@@ -17,8 +17,8 @@ from brindle.functions import vectors as V
 from brindle.functions.text import words
 from brindle.sources.shared import cut
 
-#: Queries and rows of a tile, and the scores of it that a task holds at a time.
-QUERY_BLOCK, ROW_BLOCK, SCORES = 4096, 16384, 1 << 20
+#: Queries and rows of a tile, the scores of it that a task holds at a time, and the hits that it returns.
+QUERY_BLOCK, ROW_BLOCK, SCORES, HITS = 4096, 16384, 1 << 20, 1 << 20
 #: Short points that are looked for in every text at a time.
 POINT_BLOCK = 1024
 #: Search terms whose set travels with the plan; more are joined.
@@ -30,7 +30,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
 
     ``rows`` has vec_id and embedding, ``queries`` query_id and query. measure is cosine (larger is
     nearer) or l2 (squared, smaller is nearer), rounded to 6 places; ties go to the smaller vec_id. Both sides are dealt into blocks;
-    a pair of blocks is a tile that returns its k best, ``SCORES`` scores at a time. A query is compared with the rows of its own length, so tiles are
+    a pair of blocks is a tile that returns its k best, ``SCORES`` scores at a time; with many groups it has fewer queries, so that
+    they find about ``HITS`` rows at most. A query is compared with the rows of its own length, so tiles are
     of one length; vectors with null or non-finite components take no part, nor do zero vectors by cosine. With ``cell``, an int column of
     both frames, a query (a row for each of its cells) meets only the rows of its cells.
     """
@@ -40,15 +41,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
     left = queries.filter(F.coalesce(fine("query"), F.lit(False))).select("query_id", *cells, own(queries, "query"), F.size("query").alias("width"))
     widths = left.groupBy("width").agg(F.count("*").alias("n"))  # a row for each length
     right = rows.filter(F.coalesce(fine("embedding"), F.lit(False))).select("vec_id", *within, *cells, own(rows, "embedding"), F.size("embedding").alias("width")).join(F.broadcast(widths.select("width")), "width", "left_semi")
-    most = lambda df: df.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0  # noqa: E731  rows of the largest cell, or all
-    n_q, n_r = max(1, -(-most(left) // QUERY_BLOCK)), max(1, -(-most(right) // ROW_BLOCK))
+    sizes = lambda df, *by: df.groupBy(*cells, *by).agg(F.count("*").alias("_n")).groupBy(*cells).agg(F.sum("_n").alias("_n"), F.count("*").alias("_groups"))
+    most = lambda df, *by: [n or 0 for n in sizes(df, *by).agg(F.max("_n"), F.max("_groups")).first()]  # noqa: E731  rows of the largest cell, or all, and groups
+    (asked, _), (there, groups) = most(left), most(right, *within)
+    hits = min(k * groups, ROW_BLOCK)  # of a query in a tile
+    n_q, n_r = max(1, -(-asked // QUERY_BLOCK), -(-asked * hits // HITS)), max(1, -(-there // ROW_BLOCK))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("*", deal("query_id", n_q).alias("q"), every(n_r).alias("r"))
     right = right.select("*", deal("vec_id", n_r).alias("r"), every(n_q).alias("q"))
-    groups = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in within)
+    parted = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in within)
     ids = {"query_id": dict(queries.dtypes)["query_id"], "vec_id": dict(rows.dtypes)["vec_id"]}
-    schema = f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, {groups + ', ' if within else ''}score double"
+    schema = f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, {parted + ', ' if within else ''}score double"
 
     def tile(q: pa.Table, r: pa.Table) -> pa.Table:
         if not (q.num_rows and r.num_rows):
@@ -77,7 +81,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
                     every.append((np.full(len(near), begin + i), members[near], row[near]))
             steps.append([np.concatenate(x) for x in zip(*every)])
         at_q, at_r, value = (np.concatenate(x) for x in zip(*steps))
-        found = r.take(pa.array(at_r, pa.int64())).select(["vec_id", *within])
+        found = r.select(["vec_id", *within]).take(pa.array(at_r, pa.int64()))
         return found.add_column(0, "query_id", q["query_id"].take(pa.array(at_q, pa.int64()))).append_column("score", pa.array(-value if measure == "cosine" else value))
 
     scored = left.groupBy("width", *cells, "q", "r").cogroup(right.groupBy("width", *cells, "q", "r")).applyInArrow(tile, schema)

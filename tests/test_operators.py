@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from brindle.functions import routing, text, vectors
 from brindle.operators import aggregates, chunking, graph, relational, retrieval, scan, tables, topics, windows
@@ -475,3 +479,43 @@ def test_tokenizer_windows_a_few_texts_at_a_time(spark, monkeypatch):
     once = sorted(map(tuple, chunking.tokenizer_windows(docs, path, 4, 8).collect()))
     monkeypatch.setattr(chunking, "TEXTS", 3)
     assert sorted(map(tuple, chunking.tokenizer_windows(docs, path, 4, 8).collect())) == once and len(once) > 50
+
+
+def test_a_tile_copies_no_vectors_of_its_hits(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema, apply=PandasCogroupedOps.applyInArrow: held.append(f) or apply(self, f, schema))
+    rows = spark.createDataFrame([(1, [1.0], "a")], "vec_id int, embedding array<double>, label string")
+    retrieval.nearest(rows, rows.selectExpr("vec_id AS query_id", "embedding AS query"), 20, within=["label"])
+    x = np.random.default_rng(7).normal(size=(200, 500))
+    r = pa.table({"vec_id": pa.array(range(200), pa.int32()), "embedding": pa.array(x.tolist()), "label": [str(i % 5) for i in range(200)]})
+    q = pa.table({"query_id": pa.array(range(100), pa.int32()), "query": pa.array(x[:100].tolist())})
+    pool = pa.default_memory_pool()
+    before, begin = pool.max_memory(), pool.bytes_allocated()
+    out = held[0](q, r)
+    assert out.num_rows == 100 * 5 * 20 and pool.max_memory() <= max(before, begin + 4 * out.nbytes + 4 * r.nbytes)  # vectors of hits: 40 MB
+
+
+
+def test_a_tile_returns_few_hits_of_many_groups(spark, monkeypatch, tmp_path):
+    x = np.random.default_rng(8).normal(size=(80, 4))
+    rows = spark.createDataFrame([(i, v.tolist(), i % 40, i % 2) for i, v in enumerate(x)], "vec_id int, embedding array<double>, label int, cell int")
+    asked = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "query_id int, query array<double>, cell int")
+
+    def counted(self, f, schema, apply=PandasCogroupedOps.applyInArrow):
+        def tile(q, r):
+            out = f(q, r)
+            (tmp_path / uuid.uuid4().hex).write_text(str(out.num_rows))
+            return out
+
+        return apply(self, tile, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+    for cell in (None, "cell"):
+        want = sorted(retrieval.nearest(rows, asked, 1, within=["label"], cell=cell).collect())
+        assert len(want) == 80 * (20 if cell else 40)
+        [p.unlink() for p in tmp_path.iterdir()]
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "HITS", 400)
+            assert sorted(retrieval.nearest(rows, asked, 1, within=["label"], cell=cell).collect()) == want
+        sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+        assert sum(sizes) == len(want) and max(sizes) < 3 * 400  # blocks are dealt by hash

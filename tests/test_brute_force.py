@@ -346,3 +346,19 @@ def test_snapshot_id_does_not_depend_on_order(spark):
     one = [(0, [2, 1], [0.6, 0.8]), (1, [3], [1.0, 0.0])]
     assert make(one) == make([(1, [3], [1.0, 1e-14]), (0, [1, 2], [0.6, 0.8])]) != make([(0, [1], [0.6, 0.8]), (1, [2, 3], [1.0, 0.0])])
     assert len(QUERIES["topic_snapshot_id"](spark, SF).first()[0]) == 64
+
+
+def test_pagerank_of_the_tables_is_the_limit(spark):
+    edges = rows("SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM '@/lineitem.parquet'")
+    names = sorted({n for e in edges for n in e})
+    place = {n: i for i, n in enumerate(names)}
+    a, b = np.array([(place[s], place[d]) for s, d in edges]).T
+    ends, other = np.append(a, b), np.append(b, a)
+    degree = np.bincount(ends, minlength=len(names))
+    seed = np.zeros(len(names))
+    seed[place["s1"]], seed[place["s2"]] = 2 / 3, 1 / 3
+    rank = seed
+    for _ in range(250):
+        rank = 0.15 * seed + 0.85 * np.bincount(other, (rank / degree)[ends], minlength=len(names))
+    got = {r["node"]: r["score"] for r in QUERIES["ppr_scores"](spark, SF).collect()}
+    assert got.keys() == place.keys() and np.abs(np.array([got[n] for n in names]) * np.log(2 + degree) - rank).sum() < 1e-6

@@ -519,3 +519,43 @@ def test_a_tile_returns_few_hits_of_many_groups(spark, monkeypatch, tmp_path):
             assert sorted(retrieval.nearest(rows, asked, 1, within=["label"], cell=cell).collect()) == want
         sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
         assert sum(sizes) == len(want) and max(sizes) < 3 * 400  # blocks are dealt by hash
+
+
+def _ranks(edges, seeds, damping):
+    """Exact personalised PageRank of a small graph, by solving its equations."""
+    names = sorted({n for a, b, _ in edges for n in (a, b)})
+    w = np.zeros((len(names), len(names)))
+    for a, b, x in edges:
+        w[names.index(a), names.index(b)] += x
+        if a != b:
+            w[names.index(b), names.index(a)] += x
+    home = np.array([seeds.get(n, 0.0) for n in names])
+    home = home / home.sum() if home.sum() else np.full(len(names), 1 / len(names))
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - damping * (w / w.sum(axis=1, keepdims=True)).T, (1 - damping) * home)))
+
+
+@pytest.mark.parametrize("seeds,damping", [({"a000": 1.0, "a030": 3.0}, 0.3), ({"elsewhere": 1.0}, 0.3), ({"b0": 2.0, "b3": 1.0, "elsewhere": 5.0}, 0.85)])
+def test_pagerank_goes_on_to_its_limit(spark, seeds, damping):
+    path = [(f"a{i:03}", f"a{i + 1:03}", 1.0 + i % 3) for i in range(40)]
+    knot = [(f"b{i}", f"b{i * i % 7}", 1.0 + i) for i in range(7)] + [("b2", "b1", 4.0), ("b3", "b0", 0.5), ("b6", "b5", 2.0)]
+    frames = spark.createDataFrame(path + knot, "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "node string, weight double")
+    got = {r["node"]: r["score"] for r in graph.personalized_pagerank(*frames, damping=damping).collect()}
+    want = _ranks(path + knot, seeds, damping)
+    assert got.keys() == want.keys() and sum(abs(got[n] - want[n]) for n in want) < 1e-6
+    if "b0" in seeds:
+        assert all(got[n] == 0 for n in got if n.startswith("a"))
+
+
+def test_pagerank_of_many_nodes_does_not_end_sooner(spark):
+    star = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "e", 1.0)]
+    others = spark.range(3000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("y"), F.col("id").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
+    edges = spark.createDataFrame(star, others.schema).unionByName(others)
+    got = {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, spark.createDataFrame([("a", 1.0)], "node string, weight double"), tolerance=1e-3).collect()}
+    want = _ranks(star, {"a": 1.0}, 0.85)
+    assert len(got) == 6005 and sum(abs(got[n] - want.get(n, 0.0)) for n in got) < 1e-3
+
+
+def test_pagerank_that_has_no_limit_is_an_error(spark):
+    edges = spark.createDataFrame([("a", "b", float("nan")), ("b", "c", 1.0)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="converge"):
+        graph.personalized_pagerank(edges, spark.createDataFrame([("a", 1.0)], "node string, weight double"), damping=0.1, tolerance=1e-2)
